@@ -30,7 +30,7 @@ def sql(query: str) -> str:
         if re.search(rf"\b{name}\b", text):
             needed.add(name)
             text += " " + body
-    steps = [f"{name} AS ({body})" for name, body in _CTES if name in needed]
+    steps = [f"{name} AS MATERIALIZED ({body})" for name, body in _CTES if name in needed]
     return (f"WITH RECURSIVE {', '.join(steps)} " if steps else "") + query
 
 

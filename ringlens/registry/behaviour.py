@@ -42,14 +42,19 @@ LEFT JOIN beh_entities e ON e.user_id = u.user_id LEFT JOIN beh_device d ON d.us
 _INTEGER = {n for n in S.BASELINE_FEATURES if n.startswith("unique_") or "_count" in n}
 
 
+def _digits(name: str) -> int:
+    """Enough digits to avoid ties, few enough to absorb summation order."""
+    return {"transaction_amount_std": 6, "average_transaction_amount": 7}.get(name, 8)
+
+
 def _expr(name: str) -> str:
     if name in _INTEGER:
         return f"coalesce({name}, 0)::BIGINT AS {name}"
-    return f"round(coalesce({name}, 0)::DOUBLE, 8) AS {name}"
+    return f"round(coalesce({name}, 0)::DOUBLE, {_digits(name)}) AS {name}"
 
 
 def _col(name: str):
-    return F.col(name).cast("bigint").alias(name) if name in _INTEGER else F.round(name, 8).alias(name)
+    return F.col(name).cast("bigint").alias(name) if name in _INTEGER else F.round(name, _digits(name)).alias(name)
 
 
 _ACTIVITY = {
@@ -115,9 +120,9 @@ _ROUNDED = ("avg_amount", "total_amount", "promo_rate", "active_days_span")
 REGISTRY.add(
     "beh_25_account_features",
     lambda d: B.account_features(d.users, d.transactions).select(
-        "*", *[F.round(c, 8).alias(f"{c}_r") for c in _ROUNDED]).drop(*_ROUNDED),
+        "*", *[F.round(c, 7).alias(f"{c}_r") for c in _ROUNDED]).drop(*_ROUNDED),
     "SELECT * EXCLUDE (avg_amount, total_amount, promo_rate, active_days_span), "
-    + ", ".join(f"round({c}, 8) AS {c}_r" for c in _ROUNDED) + " FROM account_features",
+    + ", ".join(f"round({c}, 7) AS {c}_r" for c in _ROUNDED) + " FROM account_features",
 )
 REGISTRY.add(
     "beh_all_features",

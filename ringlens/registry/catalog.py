@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ringlens.registry import behaviour  # noqa: F401
+from ringlens.registry import behaviour, graph  # noqa: F401
 from ringlens.registry.base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -16,6 +16,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Fixed at start-up: no per-column call-site capture while plans are built.
+STARTUP_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -28,7 +31,7 @@ def build_session(app_name: str = "ringlens", master: str | None = None, **conf:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_SETTINGS, **conf}.items():
+    for key, value in {**RUNTIME_SETTINGS, **STARTUP_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

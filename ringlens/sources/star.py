@@ -8,26 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ringlens import schema as S
 
-GROUP_TYPES = {"AUTOMOBILE": "family", "BUILDING": "office", "FURNITURE": "college", "HOUSEHOLD": "hostel"}
-
-
-def _pick(values: Sequence[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
-
-
-def _joined(prefix: str, *parts: Column) -> Column:
-    """Id such as ``DEV_12_199801``; null as soon as a part is null."""
-    pieces: list[Column] = [F.lit(prefix)]
-    for part in parts:
-        pieces += [F.lit("_"), part.cast("string")]
-    return F.concat(*pieces)
-
-
 # Declared so that planning never opens a file to infer a schema.
 STAR_SCHEMAS = {
     "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -44,141 +28,133 @@ def read_star(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _users_raw(spark: SparkSession, folder: str) -> DataFrame:
-    key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    abuse = F.col("c_acctbal") < 0
-    ring = _joined("RING", nation)
-    group_type = F.element_at(
-        F.create_map(*[F.lit(x) for pair in GROUP_TYPES.items() for x in pair]), F.col("c_mktsegment")
-    )
-    return read_star(spark, folder, "customer").select(
-        _joined("USR", key).alias("user_id"),
-        F.date_add(F.lit("1995-01-01").cast("date"), (key % 365).cast("int")).alias("account_created_at"),
-        _pick(S.USER_SEGMENTS, key).alias("user_segment"),
-        _joined("CITY", key % 12).alias("city"),
-        _pick(S.AGE_GROUPS, key % 7).alias("age_group"),
-        abuse.alias("is_abuse_account"),
-        F.when(abuse, ring).otherwise("").alias("ring_id"),
-        F.when(abuse, _pick(S.RING_TYPES, nation)).otherwise("").alias("ring_type"),
-        F.when(abuse, ring)
-        .when(group_type.isNull(), "")
-        .otherwise(_joined("GRP", nation, F.col("c_mktsegment")))
-        .alias("group_id"),
-        F.when(abuse, "abuse_ring").otherwise(F.coalesce(group_type, F.lit(""))).alias("group_type"),
-        F.when(abuse, F.abs("c_acctbal")).otherwise(F.lit(0.0)).alias("estimated_abuse_value"),
-        F.when(nation % 20 < 14, "train").when(nation % 20 < 17, "val").otherwise("test").alias("split"),
-        _joined("ADR", nation, F.floor(F.col("c_acctbal") / 100)).alias("address_id"),
-        nation.alias("nation"),
-        key.alias("custkey"),
+def _pick(values: Sequence[str], index: str) -> str:
+    """SQL choosing from a list by ``index`` modulo its length."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), cast(({index}) % {len(values)} + 1 AS int))"
+
+
+def _accounts(spark: SparkSession, folder: str) -> DataFrame:
+    return read_star(spark, folder, "customer").selectExpr(
+        "concat('USR_', c_custkey) AS user_id",
+        "date_add(DATE'1995-01-01', cast(c_custkey % 365 AS int)) AS account_created_at",
+        f"{_pick(S.USER_SEGMENTS, 'c_custkey')} AS user_segment",
+        "concat('CITY_', c_custkey % 12) AS city",
+        f"{_pick(S.AGE_GROUPS, 'c_custkey % 7')} AS age_group",
+        "c_acctbal < 0 AS is_abuse_account",
+        "if(c_acctbal < 0, concat('RING_', c_nationkey), '') AS ring_id",
+        f"if(c_acctbal < 0, {_pick(S.RING_TYPES, 'c_nationkey')}, '') AS ring_type",
+        "CASE WHEN c_acctbal < 0 THEN concat('RING_', c_nationkey) WHEN c_mktsegment = 'MACHINERY' THEN '' "
+        "ELSE concat('GRP_', c_nationkey, '_', c_mktsegment) END AS group_id",
+        "CASE WHEN c_acctbal < 0 THEN 'abuse_ring' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'family' "
+        "WHEN c_mktsegment = 'BUILDING' THEN 'office' WHEN c_mktsegment = 'FURNITURE' THEN 'college' "
+        "WHEN c_mktsegment = 'HOUSEHOLD' THEN 'hostel' ELSE '' END AS group_type",
+        "if(c_acctbal < 0, abs(c_acctbal), 0D) AS estimated_abuse_value",
+        "CASE WHEN c_nationkey % 20 < 14 THEN 'train' WHEN c_nationkey % 20 < 17 THEN 'val' ELSE 'test' END AS split",
+        "concat('ADR_', c_nationkey, '_', cast(floor(c_acctbal / 100) AS bigint)) AS address_id",
+        "c_nationkey AS nation",
+        "c_custkey AS custkey",
     )
 
 
 def users(spark: SparkSession, folder: str) -> DataFrame:
-    return _users_raw(spark, folder).select(*S.TABLES["users"].fieldNames())
+    return _accounts(spark, folder).select(*S.TABLES["users"].fieldNames())
 
 
 def _orders_with_first_line(spark: SparkSession, folder: str) -> DataFrame:
-    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    first = (
-        read_star(spark, folder, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.min(F.struct(*order, "l_returnflag", "l_discount")).alias("line"))
-        .select("o_orderkey", "line.*")
+    lines = read_star(spark, folder, "lineitem").selectExpr(
+        "l_orderkey AS o_orderkey",
+        "struct(l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_returnflag, l_discount) AS line",
     )
+    first = lines.groupBy("o_orderkey").agg({"line": "min"}).selectExpr("o_orderkey", "`min(line)`.*")
     return read_star(spark, folder, "orders").join(first, "o_orderkey", "left")
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    orders = _orders_with_first_line(spark, folder).withColumn("user_id", _joined("USR", F.col("o_custkey")))
-    owners = _users_raw(spark, folder).select("user_id", "is_abuse_account", F.col("ring_id").alias("_ring"), "address_id")
-    key = F.col("o_orderkey")
-    abuse = F.coalesce(F.col("is_abuse_account"), F.lit(False)) & (key % 2 == 0)
-    discount = F.round(F.col("l_discount") * 100).cast("int")
-    midnight = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
-    return orders.join(owners, "user_id", "left").select(
-        _joined("TXN", key).alias("transaction_id"),
-        "user_id",
-        F.timestamp_seconds(midnight + (key * 7919) % 86400).alias("timestamp"),
-        F.col("o_totalprice").alias("amount"),
-        _joined("MER", F.col("l_suppkey")).alias("merchant_id"),
-        _joined("PAY", F.col("l_suppkey"), F.date_format("l_shipdate", "yyyyMMdd")).alias("payment_instrument_id"),
-        _joined("DEV", F.col("l_suppkey"), F.date_format("o_orderdate", "yyyyMM")).alias("device_id"),
-        _joined("IP", F.col("l_partkey"), F.col("l_returnflag")).alias("ip_id"),
+    owners = _accounts(spark, folder).selectExpr(
+        "custkey AS o_custkey", "is_abuse_account AS owner_abuse", "ring_id AS owner_ring", "address_id"
+    )
+    abuse = "(coalesce(owner_abuse, false) AND o_orderkey % 2 = 0)"
+    return _orders_with_first_line(spark, folder).join(owners, "o_custkey", "left").selectExpr(
+        "concat('TXN_', o_orderkey) AS transaction_id",
+        "concat('USR_', o_custkey) AS user_id",
+        "timestamp_seconds(unix_seconds(cast(o_orderdate AS timestamp)) + (o_orderkey * 7919) % 86400) AS timestamp",
+        "o_totalprice AS amount",
+        "concat('MER_', l_suppkey) AS merchant_id",
+        "concat('PAY_', l_suppkey, '_', date_format(l_shipdate, 'yyyyMMdd')) AS payment_instrument_id",
+        "concat('DEV_', l_suppkey, '_', date_format(o_orderdate, 'yyyyMM')) AS device_id",
+        "concat('IP_', l_partkey, '_', l_returnflag) AS ip_id",
         "address_id",
-        F.when(F.col("l_discount") == 0, "").otherwise(_joined("PROMO", discount)).alias("promo_id"),
-        F.when((F.col("l_returnflag") == "R") & (F.col("o_orderstatus") == "F"), "refunded")
-        .when((F.col("l_returnflag") == "A") & (F.col("o_orderstatus") == "P"), "failed")
-        .otherwise("success")
-        .alias("transaction_status"),
-        abuse.alias("is_abuse_transaction"),
-        F.when(abuse, F.col("_ring")).otherwise("").alias("ring_id"),
+        "if(l_discount = 0, '', concat('PROMO_', cast(round(l_discount * 100) AS int))) AS promo_id",
+        "CASE WHEN l_returnflag = 'R' AND o_orderstatus = 'F' THEN 'refunded' "
+        "WHEN l_returnflag = 'A' AND o_orderstatus = 'P' THEN 'failed' ELSE 'success' END AS transaction_status",
+        f"{abuse} AS is_abuse_transaction",
+        f"if({abuse}, owner_ring, '') AS ring_id",
     )
 
 
 def devices(spark: SparkSession, folder: str) -> DataFrame:
-    keys = _orders_with_first_line(spark, folder).where(F.col("l_suppkey").isNotNull()).select(
-        "l_suppkey", F.date_format("o_orderdate", "yyyyMM").alias("month")
-    ).distinct()
-    return keys.select(
-        _joined("DEV", F.col("l_suppkey"), F.col("month")).alias("device_id"),
-        _pick(S.DEVICE_TYPES, F.col("l_suppkey") + F.col("month").cast("int")).alias("device_type"),
-        _joined("FPG", F.col("l_suppkey") % 50).alias("device_fingerprint_group"),
-        F.to_date(F.concat("month", F.lit("01")), "yyyyMMdd").alias("first_seen_at"),
+    keys = _orders_with_first_line(spark, folder).where("l_suppkey IS NOT NULL").selectExpr(
+        "l_suppkey", "date_format(o_orderdate, 'yyyyMM') AS month"
+    )
+    return keys.distinct().selectExpr(
+        "concat('DEV_', l_suppkey, '_', month) AS device_id",
+        f"{_pick(S.DEVICE_TYPES, 'l_suppkey + cast(month AS int)')} AS device_type",
+        "concat('FPG_', l_suppkey % 50) AS device_fingerprint_group",
+        "to_date(concat(month, '01'), 'yyyyMMdd') AS first_seen_at",
     )
 
 
 def ips(spark: SparkSession, folder: str) -> DataFrame:
-    keys = _orders_with_first_line(spark, folder).where(F.col("l_partkey").isNotNull()).select(
-        "l_partkey", "l_returnflag"
-    ).distinct()
-    return keys.select(
-        _joined("IP", F.col("l_partkey"), F.col("l_returnflag")).alias("ip_id"),
-        _pick(S.NETWORK_TYPES, F.col("l_partkey")).alias("network_type"),
-        _joined("CITY", F.col("l_partkey") % 12).alias("city"),
-        _joined("NET", F.col("l_partkey") % 40).alias("network_cluster"),
+    keys = _orders_with_first_line(spark, folder).where("l_partkey IS NOT NULL").select("l_partkey", "l_returnflag")
+    return keys.distinct().selectExpr(
+        "concat('IP_', l_partkey, '_', l_returnflag) AS ip_id",
+        f"{_pick(S.NETWORK_TYPES, 'l_partkey')} AS network_type",
+        "concat('CITY_', l_partkey % 12) AS city",
+        "concat('NET_', l_partkey % 40) AS network_cluster",
     )
 
 
 def addresses(spark: SparkSession, folder: str) -> DataFrame:
-    keys = _users_raw(spark, folder).select("address_id", "nation").distinct()
-    return keys.select(
+    return _accounts(spark, folder).select("address_id", "nation").distinct().selectExpr(
         "address_id",
-        _pick(S.ADDRESS_TYPES, F.col("nation")).alias("address_type"),
-        _joined("CITY", F.col("nation") % 12).alias("city"),
-        _joined("HH", F.col("nation")).alias("household_group"),
+        f"{_pick(S.ADDRESS_TYPES, 'nation')} AS address_type",
+        "concat('CITY_', nation % 12) AS city",
+        "concat('HH_', nation) AS household_group",
     )
 
 
 def payment_instruments(spark: SparkSession, folder: str) -> DataFrame:
-    keys = _orders_with_first_line(spark, folder).where(F.col("l_suppkey").isNotNull()).select(
-        "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd").alias("day")
-    ).distinct()
-    return keys.select(
-        _joined("PAY", F.col("l_suppkey"), F.col("day")).alias("payment_instrument_id"),
-        _pick(S.INSTRUMENT_TYPES, F.col("l_suppkey")).alias("instrument_type"),
-        _joined("ISS", F.col("l_suppkey") % 20).alias("issuer_group"),
+    keys = _orders_with_first_line(spark, folder).where("l_suppkey IS NOT NULL").selectExpr(
+        "l_suppkey", "date_format(l_shipdate, 'yyyyMMdd') AS day"
+    )
+    return keys.distinct().selectExpr(
+        "concat('PAY_', l_suppkey, '_', day) AS payment_instrument_id",
+        f"{_pick(S.INSTRUMENT_TYPES, 'l_suppkey')} AS instrument_type",
+        "concat('ISS_', l_suppkey % 20) AS issuer_group",
     )
 
 
 def promotions(spark: SparkSession, folder: str) -> DataFrame:
-    percent = F.round(F.col("l_discount") * 100).cast("int")
-    keys = _orders_with_first_line(spark, folder).where(F.col("l_discount") != 0).select(percent.alias("percent")).distinct()
-    return keys.select(
-        _joined("PROMO", F.col("percent")).alias("promo_id"),
-        F.when(F.col("percent") % 2 == 0, "cashback").otherwise("discount").alias("promo_type"),
-        (F.col("percent") * 10).cast("double").alias("discount_value"),
-        F.col("percent").cast("double").alias("discount_percentage"),
-        F.lit("all").alias("eligibility_type"),
-        (F.col("percent") * 100).cast("int").alias("max_usage"),
+    keys = _orders_with_first_line(spark, folder).where("l_discount <> 0").selectExpr(
+        "cast(round(l_discount * 100) AS int) AS percent"
+    )
+    return keys.distinct().selectExpr(
+        "concat('PROMO_', percent) AS promo_id",
+        "if(percent % 2 = 0, 'cashback', 'discount') AS promo_type",
+        "cast(percent * 10 AS double) AS discount_value",
+        "cast(percent AS double) AS discount_percentage",
+        "'all' AS eligibility_type",
+        "percent * 100 AS max_usage",
     )
 
 
 def merchants(spark: SparkSession, folder: str) -> DataFrame:
-    keys = _orders_with_first_line(spark, folder).where(F.col("l_suppkey").isNotNull()).select("l_suppkey").distinct()
-    return keys.select(
-        _joined("MER", F.col("l_suppkey")).alias("merchant_id"),
-        _pick(S.MERCHANT_CATEGORIES, F.col("l_suppkey")).alias("merchant_category"),
-        _joined("CITY", F.col("l_suppkey") % 12).alias("city"),
+    keys = _orders_with_first_line(spark, folder).where("l_suppkey IS NOT NULL").select("l_suppkey")
+    return keys.distinct().selectExpr(
+        "concat('MER_', l_suppkey) AS merchant_id",
+        f"{_pick(S.MERCHANT_CATEGORIES, 'l_suppkey')} AS merchant_category",
+        "concat('CITY_', l_suppkey % 12) AS city",
     )
 
 
@@ -196,10 +172,9 @@ def star_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def scored_users(spark: SparkSession, folder: str) -> DataFrame:
     """(user_id, label, prob) with a deterministic stand-in score, higher for labelled users."""
-    noise = (F.col("custkey") * 7919) % 1000
-    scaled = F.when(F.col("is_abuse_account"), 400_000 + 600 * noise).otherwise(850 * noise)
-    return _users_raw(spark, folder).select(
+    noise = "((custkey * 7919) % 1000)"
+    return _accounts(spark, folder).selectExpr(
         "user_id",
-        F.col("is_abuse_account").cast("int").alias("label"),
-        (scaled.cast("double") / F.lit(1_000_000.0)).alias("prob"),
+        "cast(is_abuse_account AS int) AS label",
+        f"cast(if(is_abuse_account, 400000 + 600 * {noise}, 850 * {noise}) AS double) / 1000000D AS prob",
     )
