@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ringlens.registry import behaviour, checks, graph, summaries  # noqa: F401
+from ringlens.registry import behaviour, checks, evaluation, evidence, graph, summaries  # noqa: F401
 from ringlens.registry.base import REGISTRY
 
 __all__ = ["REGISTRY"]
