@@ -24,17 +24,18 @@ def _modularity(arcs: DataFrame, labels: DataFrame, resolution: float) -> dict[s
     return {row.view: row.q for row in rows.collect()}  # one row per view
 
 
-def _local_moves(arcs: DataFrame, resolution: float, seed: int, level: int, max_rounds: int) -> DataFrame:
-    """Move nodes to the neighbouring community of the best gain until nothing moves.
+def _local_moves(arcs: DataFrame, resolution: float, seed: int, level: int, max_rounds: int, min_share: float) -> DataFrame:
+    """Move nodes to the neighbouring community of the best gain until few still move.
 
-    All nodes decide at once, but only a hashed half may move per round, and a singleton joins
-    another singleton only if that one has the smaller id, so two nodes never just swap.
+    All nodes decide at once, but only a hashed half may move per round, the other half in the
+    next, and a singleton joins another singleton only if that one has the smaller id, so two
+    nodes never just swap. A pair of rounds moving at most ``min_share`` of the nodes is the last.
     """
     strength = arcs.groupBy("view", F.col("u").alias("node")).agg(F.sum("w").alias("k"))
     mass = arcs.groupBy("view").agg(F.sum("w").alias("m2"))
     state = cut_lineage(strength.join(F.broadcast(mass), "view").selectExpr("view", "node", "k", "m2", "node AS community"))
     outward = arcs.where("u <> v")
-    quiet = 0
+    moved = 0.0
     for turn in range(max_rounds):
         totals = state.groupBy("view", "community").agg(F.sum("k").alias("mass"), F.count(F.lit(1)).alias("members"))
         toward = (
@@ -58,20 +59,22 @@ def _local_moves(arcs: DataFrame, resolution: float, seed: int, level: int, max_
             # Without a neighbour at home, staying still costs the expected weight to the rest of it.
             .withColumn("keep", F.expr(f"coalesce(stay, -{resolution}D * k * (own_mass - k) / m2)"))
             .withColumn("moves", F.expr(
-                f"coalesce(go.community <> community AND go.gain > keep + 1e-12 AND pmod(xxhash64(node, {seed}, {level}, {turn}), 2) = 0 "
+                f"coalesce(go.community <> community AND go.gain > keep + 1e-12 AND pmod(xxhash64(node, {seed}, {level}, {turn // 2}), 2) = {turn % 2} "
                 "AND NOT (own_members = 1 AND go.members = 1 AND go.community > community), false)"))
         )
         state = cut_lineage(decided.selectExpr(
             "view", "node", "k", "m2", "if(moves, go.community, community) AS community", "moves"))
-        moved = not state.where("moves").isEmpty()
+        moved += state.agg(F.expr("count_if(moves) / greatest(count(1), 1)")).first()[0]
         state = state.drop("moves")
-        quiet = 0 if moved else quiet + 1
-        if quiet == 3:  # the hashed halves of three quiet rounds cover nearly every node
-            break
+        if turn % 2:  # two rounds gave every node its chance
+            if moved <= min_share:
+                break
+            moved = 0.0
     return state.select("view", "node", "community")
 
 
-def louvain(graph: UserGraph, *, resolution: float = 1.0, seed: int = 42, max_levels: int = 12, max_rounds: int = 24) -> DataFrame:
+def louvain(graph: UserGraph, *, resolution: float = 1.0, seed: int = 42, max_levels: int = 12, max_rounds: int = 12,
+            min_share: float = 0.02) -> DataFrame:
     """``(view, user_id, raw)``: a community label per projection node, isolated users alone.
 
     Weighted by the edges' ``weight``. A level is kept only where it raises a view's
@@ -84,7 +87,7 @@ def louvain(graph: UserGraph, *, resolution: float = 1.0, seed: int = 42, max_le
     score = _modularity(base, label, resolution)
     arcs = base
     for level in range(max_levels):
-        moved = _local_moves(arcs, resolution, seed, level, max_rounds)
+        moved = _local_moves(arcs, resolution, seed, level, max_rounds, min_share)
         renamed = moved.selectExpr("view", "node AS community", "community AS wider")
         merged = cut_lineage(
             label.join(renamed, ["view", "community"], "left").selectExpr("view", "node", "coalesce(wider, community) AS community")
@@ -113,18 +116,19 @@ def modularity(graph: UserGraph, labels: DataFrame, resolution: float = 1.0) ->
     return labels.sparkSession.createDataFrame(sorted(scores.items()), "view string, modularity double")
 
 
-def number_communities(labels: DataFrame) -> DataFrame:
+def number_communities(labels: DataFrame, *, prefix: int = 8) -> DataFrame:
     """``(view, raw, community_id, community_size)`` with ids by falling size, then smallest member.
 
-    The numbering is a distributed rank: communities are counted per size first, and inside a
-    size they are ranked by their smallest member within its hash-free order buckets.
+    The numbering is a distributed rank. Communities are counted per size, and those of one
+    size are ranked among the members sharing the first ``prefix`` characters, which keeps the
+    order; so a large number of communities of one size is spread over many tasks.
     """
     sizes = labels.groupBy("view", "raw").agg(F.count(F.lit(1)).alias("community_size"), F.min("user_id").alias("first_member"))
     per_size = running_totals(
         sizes.groupBy("view", "community_size").agg(F.count(F.lit(1)).alias("n")), ["view"], "community_size", ["n"], descending=True
     ).selectExpr("view", "community_size", "cum_n - n AS larger")
     within = Window.partitionBy("view", "community_size", "head").orderBy("first_member")
-    headed = sizes.withColumn("head", F.expr("left(first_member, greatest(length(first_member) - 2, 1))"))
+    headed = sizes.withColumn("head", F.expr(f"left(first_member, {prefix})"))
     heads = headed.groupBy("view", "community_size", "head").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("view", "community_size").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
     offsets = heads.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")

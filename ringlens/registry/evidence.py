@@ -207,7 +207,7 @@ add("ex_08_audit_path_edges", lambda d: (lambda e: X.audit_path_edges(_paths(d,
 _prev = ""
 for _i, (_reason, _cond, _order, _n) in enumerate(X._TARGETS):
     _not = f"AND user_id NOT IN ({_prev})" if _prev else ""
-    cte(f"target{_i}", f"SELECT user_id, '{_reason}' AS selection_reason, prob FROM scored WHERE {_cond.format(t=T).replace('D', '')} {_not} ORDER BY {_order}, user_id LIMIT {_n}")
+    cte(f"target{_i}", f"SELECT user_id, '{_reason}' AS selection_reason, prob FROM scored WHERE {_cond.replace('{t}D', str(T))} {_not} ORDER BY {_order}, user_id LIMIT {_n}")
     _prev = (_prev + " UNION ALL " if _prev else "") + f"SELECT user_id FROM target{_i}"
 add("ex_09_select_targets", lambda d: X.select_targets(d.scored, T), " UNION ALL ".join(f"SELECT * FROM target{i}" for i in range(len(X._TARGETS))))
 

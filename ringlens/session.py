@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,20 +37,28 @@ def build_session(app_name: str = "ringlens", master: str | None = None, **conf:
     return configure(builder.getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path in the folder all executors can read, taken from ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder; on a cluster a missing
+    setting is an error, because another executor could not read a folder of this machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can read")
+        folder = tempfile.mkdtemp(prefix="ringlens-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/ringlens-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary one; on a cluster a missing setting is an error, because
-    another executor could not read a folder of this machine.
+    The result has no history: a lost executor re-reads files instead of recomputing, and the
+    optimizer of an iterative job starts from a plain scan with known sizes each round.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can read")
-            folder = tempfile.mkdtemp(prefix="ringlens-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
