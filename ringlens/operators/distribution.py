@@ -46,7 +46,7 @@ def overlap(values: DataFrame, bins: int = 30) -> DataFrame:
         .agg(F.expr("count_if(abuse)").alias("in_abuse"), F.expr("count_if(NOT abuse)").alias("in_legit"))
     )
     shared = counted.join(F.broadcast(ranges), "feature").groupBy("feature").agg(
-        F.sum(F.expr("least(in_abuse / n_abuse, in_legit / n_legit)")).alias("shared"),
+        F.sum(F.expr("least(in_abuse / greatest(n_abuse, 1), in_legit / greatest(n_legit, 1))")).alias("shared"),
         F.expr("bool_or(n_abuse = 0 OR n_legit = 0 OR hi <= lo)").alias("trivial"),
     )
     return shared.selectExpr("feature", "if(trivial, 1D, shared) AS overlap")
@@ -198,7 +198,7 @@ def feature_quality(table: DataFrame, features: Sequence[str]) -> DataFrame:
     medians = exact_quantiles(values, keys, "value", {"median": 0.5})
     return spread.join(moments, keys).join(medians, keys, "left").selectExpr(
         *keys, "missing / n AS missing_rate", "unique_count", "min", "max", "mean", "median", "std",
-        "top / (n - missing) AS top_share",
+        "top / nullif(n - missing, 0) AS top_share",
     )
 
 

@@ -87,8 +87,8 @@ def bootstrap_metrics(scored: DataFrame, threshold: float, *, replicates: int =
         .join(F.broadcast(totals), "replicate")
         .groupBy("replicate")
         .agg(
-            F.sum(F.expr("pos * (n_neg - cum_neg + neg / 2.0D) / (n_pos * cast(n_neg AS double))")).alias("roc_auc"),
-            F.sum(F.expr("pos / cast(n_pos AS double) * cum_pos / (cum_pos + cum_neg)")).alias("pr_auc"),
+            F.sum(F.expr("pos * (n_neg - cum_neg + neg / 2.0D) / nullif(n_pos * cast(n_neg AS double), 0)")).alias("roc_auc"),
+            F.sum(F.expr("pos / nullif(cast(n_pos AS double), 0) * cum_pos / (cum_pos + cum_neg)")).alias("pr_auc"),
         )
     )
     return totals.join(areas, "replicate").selectExpr(
@@ -161,7 +161,7 @@ def connected_legit_fpr(users: DataFrame, scored: DataFrame, threshold: float, *
     large = legit.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("group_id")
     rows = legit.join(large, "group_id", "left_semi").join(scored.select("user_id", "prob"), "user_id")
     return rows.agg(F.count(F.lit(1)).alias("n_users"), F.expr(f"count_if(prob >= {threshold}D)").alias("false_positives")).withColumn(
-        "fpr", F.expr("round(false_positives / n_users, 4)")
+        "fpr", F.expr("round(false_positives / nullif(n_users, 0), 4)")
     )
 
 

@@ -78,15 +78,15 @@ def train_boosted(
 ) -> PipelineModel:
     """Boosted trees weighted by ``scale_pos_weight``; ``validation`` turns on early stopping."""
     rows = _weighted(train, "scale_pos_weight", "1.0D")
-    booster = GBTClassifier(
+    settings = dict(
         featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step,
         subsamplingRate=subsample, featureSubsetStrategy=str(feature_share), seed=seed, maxBins=64,
     )
     if validation is not None:
         held = validation.withColumns({"weight": F.lit(1.0), "label": F.col("label").cast("double"), "held_out": F.lit(True)})
         rows = rows.withColumn("held_out", F.lit(False)).unionByName(held.select(*rows.columns, "held_out"))
-        booster = booster.setValidationIndicatorCol("held_out").setValidationTol(tolerance)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features"), booster]).fit(rows)
+        settings |= {"validationIndicatorCol": "held_out", "validationTol": tolerance}
+    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features"), GBTClassifier(**settings)]).fit(rows)
 
 
 def score(model: PipelineModel, table: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def tree_nodes(model: PipelineModel) -> DataFrame:
     return session.read.parquet(f"{path}/data").selectExpr(
         "treeID AS tree", "nodeData.id AS node", "nodeData.prediction AS value", "cast(nodeData.rawCount AS double) AS cover",
         "nodeData.gain AS gain", "nodeData.leftChild AS left", "nodeData.rightChild AS right",
-        "nodeData.split.featureIndex AS feature", "nodeData.split.leftCategoriesOrThreshold[0] AS threshold",
+        "nodeData.split.featureIndex AS feature", "get(nodeData.split.leftCategoriesOrThreshold, 0) AS threshold",
     ).join(F.broadcast(weights), "tree")
 
 

@@ -112,7 +112,7 @@ def graph_size(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     counted = nodes.agg(F.count(F.lit(1)).alias("total_nodes")).withColumn("total_edges", edges.agg(F.count(F.lit(1))).scalar())
     return counted.selectExpr(
         "total_nodes", "total_edges",
-        "round(2 * total_edges / (cast(total_nodes AS double) * (total_nodes - 1)), 8) AS density",
+        "round(2 * total_edges / nullif(cast(total_nodes AS double) * (total_nodes - 1), 0), 8) AS density",
     )
 
 

@@ -106,16 +106,16 @@ def all_strategies(curve: DataFrame) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve; a tie between a positive and a negative counts one half."""
+    """Area under the ROC curve; a tie between a positive and a negative counts one half. Null for one class."""
     return _cumulated(scored).groupBy("model_id").agg(
-        (F.sum(F.expr("pos * (n_neg - cum_neg + neg / 2.0D)")) / F.first(F.expr("n_pos * cast(n_neg AS double)"))).alias("roc_auc")
+        (F.sum(F.expr("pos * (n_neg - cum_neg + neg / 2.0D)")) / F.first(F.expr("nullif(n_pos * cast(n_neg AS double), 0)"))).alias("roc_auc")
     )
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """Step-wise sum of precision over recall increments."""
     return _cumulated(scored).groupBy("model_id").agg(
-        F.sum(F.expr("pos / cast(n_pos AS double) * cum_pos / (cum_pos + cum_neg)")).alias("pr_auc")
+        F.sum(F.expr("pos / nullif(cast(n_pos AS double), 0) * cum_pos / (cum_pos + cum_neg)")).alias("pr_auc")
     )
 
 

@@ -62,7 +62,7 @@ def assess(record: DataFrame, *, model_version: str, policy: risk.Policy = risk.
         "user_id", *risk.GRAPH_INPUTS[:5], F.coalesce(F.size("multi_hop_paths"), F.lit(0)).alias("n_paths"),
         F.coalesce("community_context.community_density", F.lit(0.0)).alias("community_density"),
         *[F.col("feature_values")[c].alias(c) for c in risk.BEHAVIOUR_INPUTS],
-        F.expr("top_model_factors[0].direction AS top_direction"), F.expr("top_model_factors[0].description AS top_description"),
+        F.expr("get(top_model_factors, 0).direction AS top_direction"), F.expr("get(top_model_factors, 0).description AS top_description"),
     )
     decided = risk.decide(record.select("user_id", F.col("risk_score").alias("prob")), policy)
     return risk.assess(decided, inputs, model_version=model_version)
