@@ -102,31 +102,21 @@ def two_hop_users(arcs: DataFrame, *, heavy_degree: int = 2000) -> DataFrame:
     links = arcs.select("view", "u", "v")
     degrees = links.groupBy("view", "v").agg(F.count(F.lit(1)).alias("d"))
     heavy = degrees.where(F.col("d") > heavy_degree).select("view", "v")
+    if heavy.isEmpty():
+        return _per_end(_two_hop_pairs(links, links))
+
     touched = (
         links.join(heavy, ["view", "v"])
         .groupBy("view", F.col("u").alias("user_id"))
         .agg(F.array_sort(F.collect_set("v")).alias("heavy"))
     )
-
-    light = links.join(heavy, ["view", "v"], "left_anti")
-    wedges = (
-        light.alias("l")
-        .join(light.withColumnRenamed("u", "w").alias("r"), ["view", "v"])
-        .where("u <> w")
-        .select("view", "u", "w")
-        .distinct()
-    )
-    mine, other = touched.selectExpr("view", "user_id AS u", "heavy AS hu"), touched.selectExpr("view", "user_id AS w", "heavy AS hw")
+    mine = touched.selectExpr("view", "user_id AS u", "heavy AS hu")
+    other = touched.selectExpr("view", "user_id AS w", "heavy AS hw")
     overlap = F.expr("coalesce(arrays_overlap(hu, hw), false)")
-    by_light = (
-        wedges.join(links.withColumnRenamed("v", "w"), ["view", "u", "w"], "left_anti")
-        .join(mine, ["view", "u"], "left")
-        .join(other, ["view", "w"], "left")
-        .where(~overlap)
-        .groupBy("view", "u")
-        .agg(F.count(F.lit(1)).alias("n"))
+    by_light = _per_end(
+        _two_hop_pairs(links.join(heavy, ["view", "v"], "left_anti"), links)
+        .join(mine, ["view", "u"], "left").join(other, ["view", "w"], "left").where(~overlap)
     )
-
     groups = touched.groupBy("view", "heavy").agg(F.count(F.lit(1)).alias("members"))
     exploded = groups.select("view", "heavy", "members", F.explode("heavy").alias("h"))
     reach = (
@@ -137,20 +127,36 @@ def two_hop_users(arcs: DataFrame, *, heavy_degree: int = 2000) -> DataFrame:
         .groupBy("view", "heavy")
         .agg(F.sum("members").alias("reached"))
     )
-    by_heavy = touched.join(reach, ["view", "heavy"]).selectExpr("view", "user_id AS u", "reached - 1 AS n")
+    by_heavy = touched.join(reach, ["view", "heavy"]).selectExpr("view", "user_id", "reached - 1 AS two_hop_user_count")
     adjacent = (
         links.withColumnRenamed("v", "w").join(mine, ["view", "u"]).join(other, ["view", "w"])
         .where(overlap)
-        .groupBy("view", "u")
-        .agg((-F.count(F.lit(1))).alias("n"))
+        .groupBy("view", F.col("u").alias("user_id"))
+        .agg((-F.count(F.lit(1))).alias("two_hop_user_count"))
     )
     return (
         by_light.unionByName(by_heavy).unionByName(adjacent)
-        .groupBy("view", F.col("u").alias("user_id"))
-        .agg(F.sum("n").alias("two_hop_user_count"))
+        .groupBy("view", "user_id")
+        .agg(F.sum("two_hop_user_count").alias("two_hop_user_count"))
     )
 
 
+def _two_hop_pairs(middle: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct pairs u < w joined by a wedge of ``middle`` but not by a link.
+
+    Direct neighbours ride along as marked rows, so one aggregation both removes duplicates
+    and drops them; it combines on the map side before the shuffle.
+    """
+    wedges = middle.join(middle.withColumnRenamed("u", "w"), ["view", "v"]).where("u < w").selectExpr("view", "u", "w", "false AS linked")
+    near = links.where("u < v").selectExpr("view", "u", "v AS w", "true AS linked")
+    return wedges.unionByName(near).groupBy("view", "u", "w").agg(F.max("linked").alias("linked")).where("NOT linked")
+
+
+def _per_end(pairs: DataFrame) -> DataFrame:
+    ends = pairs.select("view", F.explode(F.array("u", "w")).alias("user_id"))
+    return ends.groupBy("view", "user_id").agg(F.count(F.lit(1)).alias("two_hop_user_count"))
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """Triangles per user. Edges point from lower to higher (degree, id), which bounds every
     node's out-degree by the square root of twice the edge count."""
