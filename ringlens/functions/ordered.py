@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
-def _with_bucket(values: DataFrame, column: str) -> DataFrame:
+def _with_bucket(values: DataFrame, column: str, buckets: int) -> DataFrame:
     """Add ``_bucket``, the number of cut points below ``column`` (equal values share one)."""
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    shares = [i / buckets for i in range(1, buckets)]
     cuts = values.agg(F.percentile_approx(column, shares, 1000).alias("_cuts"))
     return (
         values.withColumn("_cuts", cuts.scalar())
@@ -27,11 +27,12 @@ def _with_bucket(values: DataFrame, column: str) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], column: str, quantiles: dict[str, float]
+    df: DataFrame, keys: Sequence[str], column: str, quantiles: dict[str, float], *, buckets: int = BUCKETS
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``column`` per key, one output column per entry.
 
-    Nulls are ignored; a key without values has no output row.
+    Nulls are ignored; a key without values has no output row. More ``buckets`` spread one
+    large key over more tasks.
     """
     groups = list(keys) or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(0))
@@ -40,7 +41,7 @@ def exact_quantiles(
         .groupBy(*groups, F.col(column).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cells = _with_bucket(values, "_value")
+    cells = _with_bucket(values, "_value", buckets)
 
     whole = Window.partitionBy(*groups)
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +86,8 @@ def exact_quantiles(
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], *, descending: bool = False
+    df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], *, descending: bool = False,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Add ``cum_<measure>``: the inclusive running sum by ``order`` within each key.
 
@@ -93,7 +95,7 @@ def running_totals(
     """
     groups = list(keys) or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(0))
-    cells = _with_bucket(source, order)
+    cells = _with_bucket(source, order, buckets)
     direction = F.desc if descending else F.asc
     before = Window.partitionBy(*groups).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.groupBy(*groups, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])

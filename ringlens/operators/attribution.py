@@ -76,18 +76,30 @@ def leaves(model: PipelineModel) -> list[Leaf]:
     return found
 
 
+def _attributor():
+    """The batch function, self-contained so that workers need no package of ours."""
+    import numpy
+
+    def attribute(rows, trees):
+        out = numpy.zeros(rows.shape)
+        for columns, low, high, table in trees:
+            if columns:
+                values = rows[:, columns]
+                inside = (values > low) & (values <= high)
+                pattern = inside.astype(numpy.int64) @ (1 << numpy.arange(len(columns)))
+                out[:, columns] += table[pattern]
+        return out
+
+    return attribute
+
+
+def _plain(trees: Sequence[Leaf]) -> list[tuple]:
+    return [(list(leaf.features), leaf.low, leaf.high, leaf.table) for leaf in trees]
+
+
 def attribute(rows: np.ndarray, trees: Sequence[Leaf]) -> np.ndarray:
     """Attributions (log-odds) of a batch of feature rows."""
-    out = np.zeros(rows.shape)
-    for leaf in trees:
-        if not leaf.features:
-            continue
-        columns = list(leaf.features)
-        values = rows[:, columns]
-        inside = (values > leaf.low) & (values <= leaf.high)
-        pattern = inside.astype(np.int64) @ (1 << np.arange(len(columns)))
-        out[:, columns] += leaf.table[pattern]
-    return out
+    return _attributor()(rows, _plain(trees))
 
 
 def base_value(trees: Sequence[Leaf]) -> float:
@@ -99,13 +111,14 @@ def attributions(model: PipelineModel, table: DataFrame, names: Sequence[str]) -
 
     Per user the attributions sum to the log-odds of the score minus :func:`base_value`.
     """
-    trees = table.sparkSession.sparkContext.broadcast(leaves(model))
+    trees = table.sparkSession.sparkContext.broadcast(_plain(leaves(model)))
+    batch_attributions = _attributor()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 values = np.stack(batch["x"].to_numpy()).astype(float)
-                yield pd.DataFrame({"user_id": batch["user_id"], "x": batch["x"], "phi": list(attribute(values, trees.value))})
+                yield pd.DataFrame({"user_id": batch["user_id"], "x": batch["x"], "phi": list(batch_attributions(values, trees.value))})
 
     packed = table.select("user_id", F.array(*[F.col(n).cast("double") for n in names]).alias("x"))
     wide = packed.mapInPandas(run, "user_id string, x array<double>, phi array<double>")

@@ -121,7 +121,8 @@ def number_communities(labels: DataFrame, *, prefix: int = 8) -> DataFrame:
 
     The numbering is a distributed rank. Communities are counted per size, and those of one
     size are ranked among the members sharing the first ``prefix`` characters, which keeps the
-    order; so a large number of communities of one size is spread over many tasks.
+    order; so a large number of communities of one size is spread over many tasks. Different
+    sizes number at most the square root of twice the users, and their table is broadcast.
     """
     sizes = labels.groupBy("view", "raw").agg(F.count(F.lit(1)).alias("community_size"), F.min("user_id").alias("first_member"))
     per_size = running_totals(

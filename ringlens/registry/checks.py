@@ -301,9 +301,9 @@ findings_query(
 findings_query(
     "val_31_recency_bounds",
     lambda d: GC.recency_bounds(
-        B.recency_features(d.transactions, B.decision_times(d.transactions)), d.transactions.where("cast(substr(transaction_id, 5) AS bigint) % 5 = 0")),
+        B.recency_features(d.transactions, B.decision_times(d.transactions)), d.transactions.where("transaction_status = 'success' AND amount > 400000")),
     *[("recency_exceeds_total", "error", f"recent_transaction_count_{w}d", f"""SELECT count(*) AS n FROM beh_recent
-        JOIN (SELECT user_id, count(*) AS total FROM txns WHERE substr(transaction_id, 5)::BIGINT % 5 = 0 GROUP BY user_id) USING (user_id)
+        JOIN (SELECT user_id, count(*) AS total FROM txns WHERE transaction_status = 'success' AND amount > 400000 GROUP BY user_id) USING (user_id)
         WHERE recent_transaction_count_{w}d > total""") for w in (1, 7, 30)])
 
 _QUALITY = ("transaction_count", "average_transaction_amount", "promo_usage_rate", "unique_device_count", "unique_address_count",
