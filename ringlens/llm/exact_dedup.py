@@ -65,7 +65,8 @@ def build_directory(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int
     distinct = cut_lineage(docs.select(F.col("text").cast("string")).mapInArrow(keys, "key bigint, bytes bigint")
                            .groupBy("key").agg(F.max("bytes").alias("bytes")))
     total = distinct.agg(F.sum("bytes")).first()[0] or 0
-    fine = min(key_bits, max(1, int(4 * total / bucket_bytes)).bit_length())
+    initial = min(key_bits, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    fine = min(key_bits, initial + max(1, int(4 * total / bucket_bytes) >> initial).bit_length())
     while True:  # a few bins per bucket; finer while a bin of several keys is overfull
         prefix = F.shiftright("key", key_bits - fine).alias("prefix")
         bins = np.zeros(1 << fine, dtype=np.int64)
@@ -75,7 +76,8 @@ def build_directory(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int
         if fine >= key_bits or not ((bins > bucket_bytes) & several).any():
             break
         fine += 1
-    depth, directory, local, sizes = 0, np.zeros(1, dtype=np.int32), [0], [int(bins.sum())]
+    depth, directory = initial, np.arange(1 << initial, dtype=np.int32)
+    local, sizes = [initial] * len(directory), bins.reshape(len(directory), -1).sum(axis=1).tolist()
     while full := [b for b, size in enumerate(sizes) if size > bucket_bytes and local[b] < fine]:
         for bucket in full:
             if local[bucket] == depth:  # doubling: every entry is followed by its copy
@@ -93,10 +95,9 @@ def build_directory(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int
 
 def index_texts(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(index, members)``: a row per representative and a row per document."""
-    spark = docs.sparkSession
     directory = build_directory(docs, key_bits, bucket_bytes)
     depth = len(directory).bit_length() - 1
-    slots = max(int(directory.max()) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slots = int(directory.max()) + 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
