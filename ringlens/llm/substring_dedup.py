@@ -90,7 +90,9 @@ def segments(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
 def repeated_segments(found: DataFrame) -> DataFrame:
     """The segments whose minimizer occurs in several documents."""
     several = found.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    return found.join(several.select("minimizer"), "minimizer").distinct()  # repeated rows of one text count once
+    # a stored table: both sides of the join are then plain exchanges, whose hot partitions Spark can split
+    several = cut_lineage(several.select("minimizer"))
+    return found.join(several, "minimizer").distinct()  # repeated rows of one text count once
 
 
 def variants(repeated: DataFrame) -> DataFrame:
@@ -144,12 +146,13 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -
     readings = cut_lineage(_read(docs, wanted, window))
     digests = readings.where("kind = 'path'")
     # the occurrences of a path in all documents; its source is one of them
-    source = digests.where("doc_id = path_doc AND text_key = path_text AND first = path_first") \
-        .select("path_doc", "path_text", "path_first", "words", "digest").distinct()
+    source = cut_lineage(digests.where("doc_id = path_doc AND text_key = path_text AND first = path_first")
+                         .select("path_doc", "path_text", "path_first", "words", "digest").distinct())
     verified = digests.where("doc_id > path_doc").join(source, ["path_doc", "path_text", "path_first", "words", "digest"]) \
         .select("doc_id", "text_key", "first", "words")
     edges = readings.where("kind = 'edge'")
-    earliest = edges.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("digest", "low")
+    earliest = edges.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    earliest = cut_lineage(earliest.select("digest", "low"))
     covered = edges.join(earliest, "digest").where("doc_id > low").select("doc_id", "text_key", "first", "words")
     return cut_lineage(verified.union(covered))
 
