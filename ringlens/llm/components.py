@@ -12,16 +12,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs the larger neighbours of every node on its smallest neighbour (large star), then the
     smaller ones (small star); the links never become more, and O(log^2 n) rounds leave stars. Rounds are
-    written to the shared folder; a node's neighbours are never gathered in one place.
+    written to the shared folder, so are the minima, which leaves a hub's partition free to be split in the joins; a node's
+    neighbours are never gathered in one place.
     """
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(cut_lineage(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut_lineage(large)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+        small = large.join(cut_lineage(lowest), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                                                F.col("m").alias("v")).where("u <> v").distinct()
         small = cut_lineage(small)
         # done when every node hangs on one root and no root hangs on another node

@@ -115,7 +115,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
         if found:  # two masks of the level before may lead to the same one
             keyed = keyed.distinct()
         free = -(-free // BLOCKS) * DISTANCE if free > BLOCKS else min(free, DISTANCE)
-        sizes = keyed.groupBy("mask", "fixed").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = cut_lineage(keyed.groupBy("mask", "fixed").agg(F.count("*").alias("n")).where("n > 1"))
         keyed = cut_lineage(keyed.join(sizes, ["mask", "fixed"]))
         last = 2 ** free <= BUCKET
         found.append(_bucket_links(keyed if last else keyed.where(F.col("n") <= BUCKET)))
@@ -143,7 +143,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     labelled = nodes.join(labels, nodes.fp == labels.node, "left").select(
         "fp", "smallest", F.coalesce("label", "fp").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    by_print = labelled.join(ids, "label").select("fp", "component_id")
+    by_print = cut_lineage(labelled.join(cut_lineage(ids), "label").select("fp", "component_id"))
     return prints.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
