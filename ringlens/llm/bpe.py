@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from ringlens.llm.words import text_slices, worker_store
 
 SHORT = 64
-KEPT_WORDS = 300_000  # words whose ids a worker remembers
+KEPT_WORDS = 200_000  # words whose ids a worker remembers
 NO_RANK = np.int32(2**31 - 1)
 
 

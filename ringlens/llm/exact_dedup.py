@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ringlens.llm.store import cut_lineage
 
@@ -184,8 +184,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def one_row_each(docs: DataFrame, stays: DataFrame, fingerprint: Column) -> DataFrame:
-    """One row of ``docs`` for each row (_id, _sha) of ``stays``; among repeated rows any one stays."""
-    joined = docs.withColumn("_key", fingerprint).join(
-        stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")))
-    rank = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("_id"))
-    return joined.withColumn("_rank", rank).where("_rank = 1").select(docs.columns)
+    """One row of ``docs`` for each row (_id, _sha) of ``stays``; among repeated rows any one stays.
+
+    The join and the removal of repeated rows have one key, so the texts are shuffled once.
+    """
+    def key(doc_id: Column, sha: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
+
+    keys = stays.select(key(F.col("_id"), F.col("_sha")).alias("_row"))
+    keyed = docs.withColumn("_row", key(F.col("doc_id"), fingerprint))
+    return keyed.join(keys, "_row").dropDuplicates(["_row"]).select(docs.columns)

@@ -159,8 +159,10 @@ def layout(article: list[str], others: list[list[str]], chance: random.Random) -
 
 
 def sample_pages(pages: DataFrame, limit: int = PAGES) -> list[str]:
-    rows = pages.where(F.col("html").isNotNull() & (F.length("html") <= LONGEST)).select("page_id", "html") \
-        .orderBy(F.xxhash64("page_id"), "page_id", "html").limit(limit).collect()
+    """The html of ``limit`` pages by smallest hash: ids are chosen first, then their pages are read."""
+    usable = pages.where(F.col("html").isNotNull() & (F.length("html") <= LONGEST)).select(F.col("page_id").alias("_id"), "html")
+    chosen = usable.select("_id").where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(limit)
+    rows = usable.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "html").limit(limit).collect()
     return [r.html for r in rows]
 
 

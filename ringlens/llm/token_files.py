@@ -6,8 +6,8 @@ Bloom filters on the document id let a reader that filters on ids skip stripes a
 stripes of a file can be read by different tasks. Each row also carries its range and its offset there; the start
 of a document is that offset plus the totals of the ranges before, one number per file.
 
-Texts are encoded with the tokenizers library; a stretch of text between safe borders (one space between two
-characters that are not white space, where the vocabulary's pattern always cuts) is encoded once and remembered.
+Texts are encoded with the tokenizers library. They are cut at borders where the vocabulary's pattern cuts in any
+surroundings, and a stretch between two borders is encoded once per worker and remembered under a 128-bit hash.
 
 Null texts count as empty (only the end id). Null ids come first; rows of one id keep any order. Extra columns are
 ignored; an empty table gives no rows.
@@ -15,8 +15,8 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,16 +25,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ringlens.llm.store import shared_folder
-from ringlens.llm.words import text_slices, worker_store
+from ringlens.llm.words import span_hashes, text_bytes, text_slices, worker_store
 
 END_ID = 0
 INDEX_ROWS = 1000
-KEPT_STRETCHES = 400_000
+KEPT_STRETCHES = 1_500_000  # about 40 bytes each
 
-_DOUBLE_SPACE = re.compile(r"\s\s")
-_BORDER = re.compile(r"(?<=\S)(?= \S)")
 _DDL = "part int, offset bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 
+# Kinds of bytes for the borders
+_LETTER, _MARK, _SPACE, _FEED, _SOLID = 1, 2, 3, 4, 5
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[0x21:0x7F] = _SOLID
+_KIND[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = _MARK
+_KIND[list(range(ord("A"), ord("Z") + 1)) + list(range(ord("a"), ord("z") + 1))] = _LETTER
+_KIND[0x20], _KIND[0x0A], _KIND[0xC3] = _SPACE, _FEED, _SOLID
+
+
+def borders(data: np.ndarray) -> np.ndarray:
+    """Positions before which the vocabulary's pattern cuts whatever stands around: between an ASCII letter and a
+    mark other than the apostrophe, before a single space, and on both sides of a single line feed.
+
+    A space or feed counts only between two characters known to be neither white space nor part of it: visible ASCII
+    and the accented letters under the lead byte C3.
+    """
+    kind = _KIND[data]
+    kind[1:][data[:-1] == 0xC3] = _SOLID
+    left, right = kind[:-1], kind[1:]
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[1:-1] = ((left == _LETTER) & (right == _MARK)) | ((left == _MARK) & (right == _LETTER))
+    if len(data) > 2:
+        visible = (kind == _LETTER) | (kind == _MARK) | (kind == _SOLID)
+        between = visible[:-2] & visible[2:]
+        middle = kind[1:-1]
+        cut[1:-2] |= between & ((middle == _SPACE) | (middle == _FEED))
+        cut[2:-1] |= between & (middle == _FEED)
+    return cut
+
+
+class Memory:
+    """Ids of stretches, looked up by two 64-bit hashes: a large sorted part and a small one for what is new."""
+
+    def __init__(self) -> None:
+        self.ids = np.zeros(0, np.uint32)
+        self.parts = [self._part(*np.zeros((4, 0), np.uint64)) for _ in range(2)]
+
+    @staticmethod
+    def _part(first, second, starts, counts):
+        order = np.argsort(first)
+        return first[order], second[order], starts.astype(np.int64)[order], counts.astype(np.int64)[order]
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start in ``ids``, count) of each stretch; count -1 where it is not known."""
+        starts, counts = np.zeros(len(first), np.int64), np.full(len(first), -1, np.int64)
+        for keys, checks, places, sizes in self.parts:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, first), len(keys) - 1)
+                same = (keys[at] == first) & (checks[at] == second)
+                starts[same], counts[same] = places[at[same]], sizes[at[same]]
+        return starts, counts
+
+    def add(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, ids])
+        large, small = self.parts
+        small = self._part(*(np.concatenate(pair) for pair in zip(small, (first, second, starts, counts))))
+        if len(small[0]) > max(1 << 16, len(large[0]) // 4):
+            large, small = self._part(*(np.concatenate(pair) for pair in zip(large, small))), Memory().parts[1]
+        self.parts = [large, small]
+
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
 
 class Encoder:
     """The tokenizer of one file with a memory of stretches."""
@@ -47,27 +109,46 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def stretches(self, text: str) -> list[str]:
-        if any(s in text for s in self.specials):
-            return [text]
-        if text[:1] == " " or text[-1:] == " " or _DOUBLE_SPACE.search(text):
-            return _BORDER.split(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + piece for piece in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        cut = [self.stretches(t) for t in texts]
-        wanted = {s for stretches in cut for s in stretches}
-        if len(self.known) + len(wanted) > KEPT_STRETCHES:
-            self.known = {}
-        fresh = [s for s in wanted if s not in self.known]
-        for stretch, encoding in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[stretch] = np.array(encoding.ids, dtype="<u4").tobytes()
-        known = self.known
-        return [b"".join([known[s] for s in stretches]) for stretches in cut]
+        self.memory = Memory()
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text)"""
+        data, offsets = text_bytes(column)
+        cut = borders(data)
+        whole = data.tobytes()
+        for special in map(str.encode, self.specials):
+            at = whole.find(special)
+            while at >= 0:  # special tokens are found before the pattern cuts: such a text stays in one piece
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                cut[offsets[text] + 1 : offsets[text + 1]] = False
+                at = whole.find(special, int(offsets[text + 1]))
+        cut[offsets] = True
+        places = np.flatnonzero(cut)
+        starts, ends = places[:-1], places[1:]
+        first, second = (span_hashes(data, starts, ends, salt) for salt in (0, 1))
+        unique, example, which = np.unique(first, return_index=True, return_inverse=True)
+        if (second != second[example][which]).any():  # two stretches share a 64-bit hash
+            plain = self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)
+            ids = [np.array(e.ids, dtype=np.uint32) for e in plain]
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(i) for i in ids], dtype=np.int64)
+        if len(self.memory) + len(unique) > KEPT_STRETCHES:
+            self.memory = Memory()
+        own, counts = self.memory.find(unique, second[example])
+        fresh = np.flatnonzero(counts < 0)
+        if len(fresh):
+            texts = [whole[a:b].decode() for a, b in zip(starts[example[fresh]].tolist(), ends[example[fresh]].tolist())]
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            own[fresh] = len(self.memory.ids) + np.cumsum(sizes) - sizes
+            counts[fresh] = sizes
+            ids = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+            self.memory.add(unique[fresh], second[example[fresh]], ids, sizes)
+        sizes = counts[which]
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        at = np.repeat(own[which] - (upto - sizes), sizes) + np.arange(total)
+        per_text = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)] if len(starts) else np.zeros(len(offsets), np.int64)
+        return self.memory.ids[at], np.diff(per_text)
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -> None:
@@ -81,13 +162,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         store = worker_store()
         encoder = store.get(("tokens", vocabulary)) or store.setdefault(("tokens", vocabulary), Encoder(vocabulary))
         part, offset = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in text_slices(batches, "text"):
-            encoded = [ids + end for ids in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
-            counts = np.array([len(ids) // 4 for ids in encoded], dtype=np.int64)
+            ids, lengths = encoder.encode(batch.column("text"))
+            counts = lengths + 1
             ends = np.cumsum(counts)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                                             pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+            ids = np.insert(ids.astype(np.int32), np.cumsum(lengths), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(counts), part, np.int32)), pa.array(offset + ends - counts), batch.column("doc_id"),
                  pa.array(counts), lists], names=names)

@@ -106,21 +106,26 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, from its bytes eight at a time."""
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        lanes = np.ndarray((max(len(padded) - 7, 1),), dtype="<u8", buffer=padded, strides=(1,))
-        length = self.ends - self.starts
-        result = mix(length.astype(np.uint64) + np.uint64(_MULTIPLIER))
-        at, left, rows = self.starts, length, slice(None)
-        while len(at):
-            lane = lanes[at]
-            short = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
-            keep = np.where(short == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (short % np.uint64(64))) - np.uint64(1))
-            result[rows] = mix((result[rows] ^ (lane & keep)) * np.uint64(_MULTIPLIER))
-            more = np.flatnonzero(left > 8)
-            rows = more if isinstance(rows, slice) else rows[more]
-            at, left = at[more] + 8, left[more] - 8
-        return result
+        """A 64-bit hash of each word."""
+        return span_hashes(self.data, self.starts, self.ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range, taken eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((max(len(padded) - 7, 1),), dtype="<u8", buffer=padded, strides=(1,))
+    length = ends - starts
+    result = mix(length.astype(np.uint64) + np.uint64((_MULTIPLIER + salt) % (1 << 64)))
+    at, left, rows = starts, length, slice(None)
+    while len(at):
+        lane = lanes[at]
+        short = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+        keep = np.where(short == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (short % np.uint64(64))) - np.uint64(1))
+        result[rows] = mix((result[rows] ^ (lane & keep)) * np.uint64(_MULTIPLIER))
+        more = np.flatnonzero(left > 8)
+        rows = more if isinstance(rows, slice) else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    return result
 
 
 class RunHashes:
