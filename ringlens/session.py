@@ -7,14 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Every operator relies on these: UTC clocks, adaptive re-planning, and splitting of
-# skewed join partitions even when a later stage then needs one more exchange.
+# Every operator relies on these: UTC clocks, adaptive re-planning, splitting of skewed join
+# partitions even when a later stage then needs one more exchange, and Arrow batches bounded
+# in bytes, not only in rows, because rows may hold long texts.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 # Fixed at start-up: no per-column call-site capture while plans are built.
