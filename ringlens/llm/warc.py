@@ -195,6 +195,7 @@ class WarcSource(DataSource):
 
 
 def read_archives(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+    """The records under ``folder``. Read anew for every filter: Spark keeps the pushed filters with the relation."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     reader = spark.read.format("warc")
