@@ -27,10 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ringlens.llm.words import text_slices, worker_store
+from ringlens.llm.words import text_slices, worker_model
 
 SHORT = 64
-KEPT_WORDS = 200_000  # words whose ids a worker remembers
+KEPT_WORDS = 120_000  # words whose ids a worker remembers
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -193,8 +193,7 @@ def _encoded(docs: DataFrame, path: str, ddl: str, result, types: list[pa.DataTy
     names = [column.split()[0] for column in ddl.split(", ")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = worker_store()
-        model = store.get(("word_bpe", path)) or store.setdefault(("word_bpe", path), WordBpe(path))
+        model = worker_model("word_bpe", path, lambda: WordBpe(path))
         for batch in text_slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             columns = list(zip(*(result(*pair) for pair in model.encode(texts))))

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ringlens.llm.words import text_slices, worker_store
+from ringlens.llm.words import text_slices, worker_model
 
 DOCUMENTS = 60
 PIECE = 1500
@@ -195,15 +195,13 @@ def drop_unknown_language(docs: DataFrame) -> DataFrame:
 
 
 def _with_prediction(docs: DataFrame, sample: dict[str, list[str]], kept: list[str]) -> DataFrame:
-    name = "language-" + hashlib.sha256(repr(sorted(sample.items())).encode()).hexdigest()
+    name = hashlib.sha256(repr(sorted(sample.items())).encode()).hexdigest()
     shipped = docs.sparkSession.sparkContext.broadcast(sample)  # languages x PIECES x PIECE characters at most
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = worker_store()
-        if name not in store:
-            store[name] = CrossParser(shipped.value)
+        parser = worker_model("language", name, lambda: CrossParser(shipped.value))
         for batch in text_slices(batches, "text"):
-            answers = store[name].predict(batch.column("text").to_pylist())
+            answers = parser.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array([a for a, _ in answers]), pa.array([s for _, s in answers], pa.float64())],
                 names=[*kept, "lang_pred", "score"])

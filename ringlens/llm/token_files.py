@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ringlens.llm.store import shared_folder
-from ringlens.llm.words import span_hashes, text_bytes, text_slices, worker_store
+from ringlens.llm.words import span_hashes, text_bytes, text_slices, worker_model
 
 END_ID = 0
 INDEX_ROWS = 1000
@@ -159,8 +159,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store = worker_store()
-        encoder = store.get(("tokens", vocabulary)) or store.setdefault(("tokens", vocabulary), Encoder(vocabulary))
+        encoder = worker_model("token_files", vocabulary, lambda: Encoder(vocabulary))
         part, offset = TaskContext.get().partitionId(), 0
         for batch in text_slices(batches, "text"):
             ids, lengths = encoder.encode(batch.column("text"))

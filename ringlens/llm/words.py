@@ -27,6 +27,15 @@ def worker_store() -> dict:
     return sys.__dict__.setdefault("_ringlens_llm_store", {})
 
 
+def worker_model(kind: str, name: str, build):
+    """The worker's model of a kind: built once per name; another name takes its place."""
+    store = worker_store()
+    if store.get(kind, ("",))[0] != name:
+        store.pop(kind, None)
+        store[kind] = name, build()
+    return store[kind][1]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice hold about ``limit`` bytes; no row is lost or split."""
     for batch in batches:
@@ -37,6 +46,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             last = max(first + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()  # the worker lives on beside others
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
