@@ -9,8 +9,9 @@ Links are sought between distinct fingerprints, so exact copies cost nothing her
 six blocks: three differing bits leave at least three blocks equal, so close pairs share one of the twenty
 choices of three blocks (32 bits). Fingerprints are joined on those keys and verified by Hamming distance. A
 bucket of more than ``BUCKET`` fingerprints (a cloud of near copies) is split further by the same rule applied to
-the bits not yet fixed, which fixes half of them each time; within a small bucket a spanning forest of the links is
+the bits not yet fixed, which fixes half of them each time; within a small bucket a spanning forest is
 kept, at most one link less than fingerprints, which connects exactly what all links connect.
+Document ids are below 2^62.
 
 Null texts have fingerprint zero; null ids share their component's id but never give it one (null if no
 document of the component has an id). Extra columns are ignored; an empty table gives no rows.
@@ -37,6 +38,7 @@ SEED = 42
 DISTANCE = 3
 BLOCKS = 6
 BUCKET = 64
+_NO_ID = 1 << 62
 
 
 def fingerprint(words: list[bytes]) -> int:
@@ -74,44 +76,43 @@ def _choices(mask: int) -> list[int]:
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, mask) to (fp, mask, fixed) for each choice of blocks: ``fixed`` has the bits of fp that the mask keeps."""
+    """(node, fp, mask) to (node, fp, mask, fixed) for each choice of blocks: ``fixed`` has the bits of fp that the mask keeps."""
     for batch in batches:
-        prints = batch.column(0).to_numpy().view(np.uint64)
-        masks = batch.column(1).to_numpy().view(np.uint64)
+        nodes, prints, masks = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
         for mask in np.unique(masks):
-            of = prints[masks == mask]
+            own = masks == mask
             for chosen in map(np.uint64, _choices(int(mask))):
-                columns = of, np.full(len(of), chosen), of & chosen
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["fp", "mask", "fixed"])
+                columns = nodes[own], prints[own], np.full(own.sum(), chosen), prints[own] & chosen
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["node", "fp", "mask", "fixed"])
 
 
-def _forest(values: list[int]) -> list[tuple[int, int]]:
-    """Links that connect the values as all pairs at most DISTANCE bits apart do."""
-    v = np.array(values, dtype=np.int64).view(np.uint64)
+def _stars(nodes: list[int], prints: list[int]) -> list[tuple[int, int]]:
+    """Links from the smallest node to the others of each group that pairs at most DISTANCE bits apart connect."""
+    v = np.array(prints, dtype=np.int64).view(np.uint64)
     close = np.bitwise_count(v[:, None] ^ v[None, :]) <= DISTANCE
+    order = np.argsort(nodes)
     seen = np.zeros(len(v), dtype=bool)
     links = []
-    for root in range(len(v)):
+    for root in order.tolist():
         if seen[root]:
             continue
         seen[root] = True
-        stack = [root]
-        while stack:
-            at = stack.pop()
-            fresh = np.flatnonzero(close[at] & ~seen)
+        front = [root]
+        while front:
+            fresh = np.flatnonzero(close[front].any(axis=0) & ~seen)
             seen[fresh] = True
-            stack.extend(fresh.tolist())
-            links.extend((int(values[at]), int(values[i])) for i in fresh)
+            front = fresh.tolist()
+            links.extend((nodes[root], nodes[i]) for i in front)
     return links
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between fingerprints (column fp) that connect what all close pairs connect."""
+    """Links (a, b) between the nodes of ``distinct`` (node, fp) that connect what all close pairs connect."""
     found: list[DataFrame] = []
-    level = distinct.select("fp", F.lit(0).cast("bigint").alias("mask"))
+    level = distinct.select("node", "fp", F.lit(0).cast("bigint").alias("mask"))
     free = 64  # bits that a bucket of this level may still differ in
     while True:
-        keyed = level.mapInArrow(_expand, "fp bigint, mask bigint, fixed bigint")
+        keyed = level.mapInArrow(_expand, "node bigint, fp bigint, mask bigint, fixed bigint")
         if found:  # two masks of the level before may lead to the same one
             keyed = keyed.distinct()
         free = -(-free // BLOCKS) * DISTANCE if free > BLOCKS else min(free, DISTANCE)
@@ -119,32 +120,37 @@ def near_links(distinct: DataFrame) -> DataFrame:
         keyed = cut_lineage(keyed.join(sizes, ["mask", "fixed"]))
         last = 2 ** free <= BUCKET
         found.append(_bucket_links(keyed if last else keyed.where(F.col("n") <= BUCKET)))
-        level = keyed.where(F.col("n") > BUCKET).select("fp", "mask")
+        level = keyed.where(F.col("n") > BUCKET).select("node", "fp", "mask")
         if last or level.isEmpty():
-            return reduce(DataFrame.union, found).distinct()
+            return reduce(DataFrame.union, found)
 
 
 def _bucket_links(keyed: DataFrame) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = [link for members in batch.column(0).to_pylist() for link in _forest(members)]
+            links = [link for members in batch.column(0).to_pylist()
+                     for link in _stars([m["node"] for m in members], [m["fp"] for m in members])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
-    buckets = keyed.groupBy("mask", "fixed").agg(F.array_sort(F.collect_list("fp")).alias("members"))
+    buckets = keyed.groupBy("mask", "fixed").agg(F.collect_list(F.struct("node", "fp")).alias("members"))
     return buckets.select("members").mapInArrow(of, "a bigint, b bigint")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id: one row per document."""
+    """doc_id, fingerprint (16 hexadecimal digits), component_id: one row per document.
+
+    The node of a fingerprint is its smallest document id, so a component's label is its id. Fingerprints of
+    null ids alone get nodes above all ids; two of them can only be equal if they link anyway.
+    """
     prints = cut_lineage(fingerprints(docs))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
-    labels = components(near_links(nodes.select("fp")))  # fingerprints without links have no label
-    labelled = nodes.join(labels, nodes.fp == labels.node, "left").select(
-        "fp", "smallest", F.coalesce("label", "fp").alias("label"))
-    ids = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    by_print = cut_lineage(labelled.join(cut_lineage(ids), "label").select("fp", "component_id"))
-    return prints.join(by_print, "fp").select(
+    no_id = F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(_NO_ID))
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("smallest")).select(
+        "fp", F.coalesce("smallest", no_id).alias("node")))
+    labels = components(near_links(nodes)).withColumnRenamed("node", "n")  # nodes without links have no label
+    label = F.coalesce("label", "node")
+    labelled = nodes.join(labels, F.col("node") == F.col("n"), "left").select("fp", F.when(label < _NO_ID, label).alias("component_id"))
+    return prints.join(labelled, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

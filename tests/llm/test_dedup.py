@@ -170,8 +170,7 @@ def test_large_buckets_are_split(spark, monkeypatch):
             values.add(v)
     values = sorted(values)
     signed = np.array(values, dtype=np.uint64).view(np.int64).tolist()
-    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp bigint"))
-    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 3 for r in links.collect())
+    links = simhash.near_links(spark.createDataFrame([(v, v) for v in signed], "node bigint, fp bigint"))
     got = {r.node: r.label for r in components(links).collect()}
     label = {v: v for v in signed}
     changed = True
