@@ -16,16 +16,17 @@ def pivots(nodes: DataFrame, count: int, seed: int = 42) -> DataFrame:
     return hashed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= count).selectExpr("view", "user_id AS source")
 
 
-def betweenness(graph: UserGraph, *, cap: int = 500, seed: int = 42) -> DataFrame:
+def betweenness(graph: UserGraph, sources: DataFrame | None = None) -> DataFrame:
     """``(view, user_id, betweenness_centrality, betweenness_approx)``, normalised, 8 decimals.
 
-    Exact when a view has at most ``cap`` nodes, otherwise from ``cap`` pivots scaled up.
+    Exact from all nodes without ``sources``; from a table ``(view, source)`` such as :func:`pivots`
+    gives, an estimate scaled up by nodes over sources. The caller chooses, not the size of the data.
     Each step extends every source's frontier by one join; path counts add up by (source,
     node), and the walk back accumulates dependencies from the deepest level.
     """
     arcs = cut_lineage(both_directions(graph.edges.select("view", "a", "b")).repartition("view", "u"))
     nodes = cut_lineage(graph.nodes)
-    start = pivots(nodes, cap, seed)
+    start = nodes.selectExpr("view", "user_id AS source") if sources is None else cut_lineage(sources.select("view", "source"))
     key = ["view", "source", "node"]
     levels = [cut_lineage(start.selectExpr("view", "source", "source AS node", "1D AS paths"))]
     while True:
@@ -61,7 +62,8 @@ def betweenness(graph: UserGraph, *, cap: int = 500, seed: int = 42) -> DataFram
         deeper = cut_lineage(scored)
         settled.append(deeper.groupBy("view", "node").agg(F.sum("dependency").alias("dependency")))
 
-    sizes = nodes.groupBy("view").agg(F.count(F.lit(1)).alias("n"))
+    used = start.groupBy("view").agg(F.count(F.lit(1)).alias("k"))
+    sizes = nodes.groupBy("view").agg(F.count(F.lit(1)).alias("n")).join(used, "view", "left")
     table = nodes.join(F.broadcast(sizes), "view")
     if settled:
         total = settled[0]
@@ -71,9 +73,9 @@ def betweenness(graph: UserGraph, *, cap: int = 500, seed: int = 42) -> DataFram
         table = table.join(total, ["view", "user_id"], "left")
     else:
         table = table.withColumn("dependency", F.lit(0.0))
-    scale = f"if(n > {cap}, n / {float(cap)}D, 1D) / ((n - 1D) * (n - 2D))"
+    scale = "(n / cast(k AS double)) / ((n - 1D) * (n - 2D))"
     return table.selectExpr(
         "view", "user_id",
         f"if(n > 2, round(coalesce(dependency, 0D) * {scale}, 8), 0D) AS betweenness_centrality",
-        f"n > {cap} AS betweenness_approx",
+        f"{str(sources is not None).lower()} AS betweenness_approx",
     )

@@ -23,9 +23,9 @@ def connected_components(nodes: DataFrame, arcs: DataFrame, *, max_rounds: int =
             .groupBy(F.col("u").alias("id"))
             .agg(F.min("component").alias("nearest"))
         )
-        lowered = labels.join(nearby, "id", "left").selectExpr(
+        lowered = cut_lineage(labels.join(nearby, "id", "left").selectExpr(
             "id", "component AS old", "least(component, coalesce(nearest, component)) AS mid"
-        )
+        ))
         jump = lowered.selectExpr("id AS mid", "mid AS further")
         stepped = cut_lineage(
             lowered.join(jump, "mid").selectExpr("id", "old", "least(mid, further) AS component")

@@ -28,18 +28,10 @@ def entities(edges: DataFrame, *, shared_only: bool = False) -> DataFrame:
     return rows.selectExpr("src AS user_id", f"{_NODE_OF_EDGE} AS node_type", "dst AS entity_id", "weight")
 
 
-def entity_lists(entity_rows: DataFrame, *, part_size: int = 1000) -> DataFrame:
-    """Sorted entity ids per user and kind, ``(user_id, node_type, part, entity_ids)``.
-
-    A user with more than ``part_size`` entities of a kind gets several parts, chosen by
-    hash, so no list grows without bound and none is cut off.
-    """
-    sizes = entity_rows.groupBy("user_id", "node_type").agg(F.ceil(F.count(F.lit(1)) / part_size).alias("parts"))
-    return (
-        entity_rows.join(sizes, ["user_id", "node_type"])
-        .groupBy("user_id", "node_type", F.expr("pmod(xxhash64(entity_id), parts)").alias("part"))
-        .agg(F.array_sort(F.collect_list("entity_id")).alias("entity_ids"))
-    )
+def entity_lists(entity_rows: DataFrame) -> DataFrame:
+    """``(user_id, node_type, rank, entity_id)``: every entity of a user and kind, one row each, ranked by id."""
+    order = Window.partitionBy("user_id", "node_type").orderBy("entity_id")
+    return entity_rows.select("user_id", "node_type", F.row_number().over(order).alias("rank"), "entity_id")
 
 
 def related_accounts(graph_edges: DataFrame) -> DataFrame:
@@ -57,19 +49,10 @@ def ranked_related(related: DataFrame, limit: int) -> DataFrame:
     return related.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def related_lists(related: DataFrame, *, part_size: int = 1000) -> DataFrame:
-    """All related accounts nested per user, strongest first, in parts like :func:`entity_lists`."""
-    sizes = related.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / part_size).alias("parts"))
-    item = F.struct((-F.col("shared_entity_count")).alias("o"), "related_id", "relationship_types", "shared_entity_count")
-    listed = (
-        related.join(sizes, "user_id")
-        .groupBy("user_id", F.expr("pmod(xxhash64(related_id), parts)").alias("part"))
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-    )
-    return listed.selectExpr(
-        "user_id", "part",
-        "transform(items, x -> struct(x.related_id AS user_id, x.relationship_types, x.shared_entity_count)) AS related_accounts",
-    )
+def related_lists(related: DataFrame) -> DataFrame:
+    """All related accounts with their rank, strongest first, one row each."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("shared_entity_count"), "related_id")
+    return related.withColumn("rank", F.row_number().over(order))
 
 
 # --- Multi-hop paths ----------------------------------------------------------------

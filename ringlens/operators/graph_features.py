@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ringlens import schema as S
 from ringlens.functions.exprs import present, unpivot_ids
 from ringlens.functions.ordered import exact_quantiles
-from ringlens.operators.projection import COUNTS, UserGraph, both_directions
+from ringlens.operators.projection import COUNTS, UserGraph, both_directions, pairs_within
 
 _DIRECT_COUNTS = {
     "device": "unique_devices", "ip": "unique_ips", "address": "unique_addresses",
@@ -25,23 +25,24 @@ _SHARING = {
 
 
 def direct_features(transactions: DataFrame) -> DataFrame:
-    """Degree, weighted degree and distinct counts in the typed graph.
+    """Degree, weighted degree and distinct counts in the typed graph, per view if there are views.
 
     Entities count once in the degree and once per use in the weighted degree; each
     transaction node adds one to both.
     """
     columns = {kind: column for kind, (column, *_) in S.ENTITY_KINDS.items()}
     columns |= {"merchant": "merchant_id", "promotion": "promo_id", "transaction": "user_id"}
+    user = [c for c in ("view", "user_id") if c in transactions.columns]
     item = unpivot_ids(columns).alias("item")
     links = (
-        transactions.select("user_id", item)
-        .select("user_id", "item.kind", "item.value")
+        transactions.select(*user, item)
+        .select(*user, "item.kind", "item.value")
         .where(present("value"))
-        .groupBy("user_id", "kind", "value")
+        .groupBy(*user, "kind", "value")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
     entity = "kind IN ({})".format(", ".join(f"'{k}'" for k in S.ENTITY_KINDS))
-    return links.groupBy("user_id").agg(
+    return links.groupBy(*user).agg(
         F.expr(f"sum(CASE WHEN {entity} THEN 1L WHEN kind = 'transaction' THEN uses END) AS degree"),
         F.expr(f"sum(CASE WHEN {entity} OR kind = 'transaction' THEN uses END) AS weighted_degree"),
         *[F.expr(f"count_if(kind = '{kind}') AS {name}") for kind, name in _DIRECT_COUNTS.items()],
@@ -91,65 +92,18 @@ def neighbour_features(arcs: DataFrame, totals: DataFrame, thresholds: DataFrame
     )
 
 
-def two_hop_users(arcs: DataFrame, *, heavy_degree: int = 2000) -> DataFrame:
+def two_hop_users(arcs: DataFrame) -> DataFrame:
     """Distinct users exactly two hops away, per user (users with none are absent).
 
-    Wedges are formed only around nodes of at most ``heavy_degree`` neighbours. A heavier
-    node would emit the square of its degree, so those are counted without pairs: users are
-    grouped by the set of heavy nodes they touch, and two users are joined through a heavy
-    node exactly when their sets overlap. Both parts together are exact.
-    """
-    links = arcs.select("view", "u", "v")
-    degrees = links.groupBy("view", "v").agg(F.count(F.lit(1)).alias("d"))
-    heavy = degrees.where(F.col("d") > heavy_degree).select("view", "v")
-    if heavy.isEmpty():
-        return _per_end(_two_hop_pairs(links, links))
-
-    touched = (
-        links.join(heavy, ["view", "v"])
-        .groupBy("view", F.col("u").alias("user_id"))
-        .agg(F.array_sort(F.collect_set("v")).alias("heavy"))
-    )
-    mine = touched.selectExpr("view", "user_id AS u", "heavy AS hu")
-    other = touched.selectExpr("view", "user_id AS w", "heavy AS hw")
-    overlap = F.expr("coalesce(arrays_overlap(hu, hw), false)")
-    by_light = _per_end(
-        _two_hop_pairs(links.join(heavy, ["view", "v"], "left_anti"), links)
-        .join(mine, ["view", "u"], "left").join(other, ["view", "w"], "left").where(~overlap)
-    )
-    groups = touched.groupBy("view", "heavy").agg(F.count(F.lit(1)).alias("members"))
-    exploded = groups.select("view", "heavy", "members", F.explode("heavy").alias("h"))
-    reach = (
-        exploded.select("view", "heavy", "h")
-        .join(exploded.selectExpr("view", "heavy AS other", "members", "h"), ["view", "h"])
-        .select("view", "heavy", "other", "members")
-        .distinct()
-        .groupBy("view", "heavy")
-        .agg(F.sum("members").alias("reached"))
-    )
-    by_heavy = touched.join(reach, ["view", "heavy"]).selectExpr("view", "user_id", "reached - 1 AS two_hop_user_count")
-    adjacent = (
-        links.withColumnRenamed("v", "w").join(mine, ["view", "u"]).join(other, ["view", "w"])
-        .where(overlap)
-        .groupBy("view", F.col("u").alias("user_id"))
-        .agg((-F.count(F.lit(1))).alias("two_hop_user_count"))
-    )
-    return (
-        by_light.unionByName(by_heavy).unionByName(adjacent)
-        .groupBy("view", "user_id")
-        .agg(F.sum("two_hop_user_count").alias("two_hop_user_count"))
-    )
-
-
-def _two_hop_pairs(middle: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct pairs u < w joined by a wedge of ``middle`` but not by a link.
-
+    The neighbours of a node are paired block by block, so the wedges of a hub spread over many tasks.
     Direct neighbours ride along as marked rows, so one aggregation both removes duplicates
     and drops them; it combines on the map side before the shuffle.
     """
-    wedges = middle.join(middle.withColumnRenamed("u", "w"), ["view", "v"]).where("u < w").selectExpr("view", "u", "w", "false AS linked")
+    links = arcs.select("view", "u", "v")
+    wedges = pairs_within(links, ["view", "v"], "u").selectExpr("view", "a AS u", "b AS w", "false AS linked")
     near = links.where("u < v").selectExpr("view", "u", "v AS w", "true AS linked")
-    return wedges.unionByName(near).groupBy("view", "u", "w").agg(F.max("linked").alias("linked")).where("NOT linked")
+    pairs = wedges.unionByName(near).groupBy("view", "u", "w").agg(F.max("linked").alias("linked")).where("NOT linked")
+    return _per_end(pairs)
 
 
 def _per_end(pairs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ringlens.session import cut_lineage
 
 WHOLE = "all"
 COUNTS = tuple(S.SHARED_COUNTS.values())
+BLOCK_USERS = 1000
 
 
 @dataclass(frozen=True)
@@ -55,47 +56,56 @@ def entity_users(transactions: DataFrame) -> DataFrame:
     )
 
 
-def hub_entities(members: DataFrame, hub_cap: int = S.HUB_CAP) -> DataFrame:
-    """Entities used by more than ``hub_cap`` users, which link nobody."""
-    return (
-        members.groupBy("view", "kind", "entity_id")
-        .agg(F.count(F.lit(1)).alias("n_users"))
-        .where(F.col("n_users") > hub_cap)
-    )
+def hub_entities(members: DataFrame, hub_cap: int | None) -> DataFrame:
+    """Entities used by more than ``hub_cap`` users, which link nobody; without a cap there are none."""
+    sizes = members.groupBy("view", "kind", "entity_id").agg(F.count(F.lit(1)).alias("n_users"))
+    return sizes.where(F.lit(False) if hub_cap is None else F.col("n_users") > hub_cap)
+
+
+def pairs_within(members: DataFrame, group: list[str], user: str = "user_id") -> DataFrame:
+    """``(group, a, b)`` with a < b for all users of each group.
+
+    The users of a group are dealt into hash blocks of about ``BLOCK_USERS``, and every two blocks meet under a
+    key of their own: a large group's pairs spread over as many tasks as it has pairs of blocks.
+    """
+    blocks = members.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_USERS).cast("int").alias("_blocks"))
+    placed = members.select(*group, user).join(blocks, group).withColumn("_own", F.pmod(F.xxhash64(user), F.col("_blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = placed.select(*group, F.col(user).alias("a"), F.col("_own").alias("_i"), others.alias("_j"))
+    right = placed.select(*group, F.col(user).alias("b"), others.alias("_i"), F.col("_own").alias("_j"))
+    return left.join(right, [*group, "_i", "_j"]).where("a < b").drop("_i", "_j")
 
 
 def shared_promotions(edges: DataFrame, transactions: DataFrame) -> DataFrame:
     """Number of promotions used by both ends of each existing edge (edges without any are absent)."""
-    used = transactions.where(present("promo_id")).select("user_id", "promo_id").distinct()
+    used = transactions.where(present("promo_id")).select("view", "user_id", "promo_id").distinct()
     return (
-        edges.select("a", "b")
-        .join(used.select(F.col("user_id").alias("a"), "promo_id"), "a")
-        .join(used.select(F.col("user_id").alias("b"), "promo_id"), ["b", "promo_id"])
-        .groupBy("a", "b")
+        edges.select("view", "a", "b")
+        .join(used.select("view", F.col("user_id").alias("a"), "promo_id"), ["view", "a"])
+        .join(used.select("view", F.col("user_id").alias("b"), "promo_id"), ["view", "b", "promo_id"])
+        .groupBy("view", "a", "b")
         .agg(F.count(F.lit(1)).alias("shared_promotion_count"))
     )
 
 
-def project_users(transactions: DataFrame, users: DataFrame | None = None, *, hub_cap: int = S.HUB_CAP) -> UserGraph:
+def project_users(transactions: DataFrame, users: DataFrame | None = None, *, hub_cap: int | None = None) -> UserGraph:
     """Build the projection of ``transactions`` (with a ``view`` column).
 
-    ``users(view, user_id)`` adds isolated users to the node set. Hubs leave before pairs
-    are formed, so one entity yields at most ``hub_cap``² / 2 pairs; a hub's many rows meet
-    the hub list in an anti join, which adaptive execution may split.
+    ``users(view, user_id)`` adds isolated users to the node set. Every entity links its users
+    unless the caller sets ``hub_cap``; entities above it then leave before pairs are formed and
+    are listed in ``skipped_hubs``.
     """
     members = entity_users(transactions)
     hubs = hub_entities(members, hub_cap)
     entity = ["view", "kind", "entity_id"]
-    linking = members.join(hubs, entity, "left_anti")
-    pairs = linking.withColumnRenamed("user_id", "a").join(
-        linking.withColumnRenamed("user_id", "b"), entity
-    ).where("a < b")
+    linking = members if hub_cap is None else members.join(hubs, entity, "left_anti")
+    pairs = pairs_within(linking, entity)
     physical = {k: c for k, c in S.SHARED_COUNTS.items() if k != "promotion"}
     counted = pairs.groupBy("view", "a", "b").agg(
         *[F.expr(f"count_if(kind = '{kind}') AS {name}") for kind, name in physical.items()]
     )
     edges = (
-        counted.join(shared_promotions(counted, transactions), ["a", "b"], "left")
+        counted.join(shared_promotions(counted, transactions), ["view", "a", "b"], "left")
         .na.fill(0, ["shared_promotion_count"])
         .selectExpr(
             "view", "a", "b", *COUNTS,

@@ -40,9 +40,11 @@ def risk_level(score: Column) -> Column:
 
 
 def decide(scored: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Decision and priority of each score; a ``risk_level`` that the rows already carry is kept."""
     score = F.col("prob")
+    level = F.col("risk_level") if "risk_level" in scored.columns else risk_level(score)
     return scored.select(
-        "user_id", score.alias("risk_score"), risk_level(score).alias("risk_level"),
+        "user_id", score.alias("risk_score"), level.alias("risk_level"),
         policy.decision(score).alias("decision"), policy.priority(score).alias("review_priority"),
     )
 

@@ -13,7 +13,7 @@ from ringlens.session import cut_lineage
 
 def investigate(
     features: DataFrame, train: DataFrame, transactions: DataFrame, graph: UserGraph, communities: DataFrame,
-    model: PipelineModel, names: tuple[str, ...], *, top_k: int = 10, part_size: int = 1000,
+    model: PipelineModel, names: tuple[str, ...], *, top_k: int = 10,
 ) -> dict[str, DataFrame]:
     """The parts of every user's record, keyed by user: ``record`` plus the long lists.
 
@@ -50,8 +50,8 @@ def investigate(
         record = record.join(part, "user_id", "left")
     record = record.na.fill(0, ["n_devices", "n_ips", "n_addresses", "n_payments", "n_related"])
     return {
-        "record": record, "entities": evidence.entity_lists(held, part_size=part_size),
-        "related": evidence.related_lists(related, part_size=part_size), "counterfactuals": changed,
+        "record": record, "entities": evidence.entity_lists(held),
+        "related": evidence.related_lists(related), "counterfactuals": changed,
         "factors": top, "paths": paths, "edges": edges, "scores": scored, "held": held,
     }
 
@@ -64,5 +64,6 @@ def assess(record: DataFrame, *, model_version: str, policy: risk.Policy = risk.
         *[F.col("feature_values")[c].alias(c) for c in risk.BEHAVIOUR_INPUTS],
         F.expr("get(top_model_factors, 0).direction AS top_direction"), F.expr("get(top_model_factors, 0).description AS top_description"),
     )
-    decided = risk.decide(record.select("user_id", F.col("risk_score").alias("prob")), policy)
+    # the level is that of the raw score; the rounded one may lie on the other side of a band's edge
+    decided = risk.decide(record.select("user_id", F.col("risk_score").alias("prob"), "risk_level"), policy)
     return risk.assess(decided, inputs, model_version=model_version)

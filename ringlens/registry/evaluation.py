@@ -69,7 +69,7 @@ cte("cost_curve", f"""SELECT round(threshold, 4) AS threshold, round(precision,
 add("ev_13_cost_curve", lambda d: E.cost_curve(d.scored).drop("model_id"), "SELECT * FROM cost_curve")
 add("ev_14_cost_optimal", lambda d: E.cost_optimal(E.cost_curve(d.scored)).select("threshold", "total_cost"),
     "SELECT threshold, total_cost FROM cost_curve ORDER BY total_cost, threshold LIMIT 1")
-add("ev_15_bootstrap_replicates", lambda d: E.bootstrap_metrics(d.scored, T, replicates=200))
+add("ev_15_bootstrap_replicates", lambda d: E.bootstrap_metrics(d.scored, T, replicates=1000))
 add("ev_16_bootstrap_intervals", lambda d: E.bootstrap_intervals(d.scored, T, replicates=500))
 cte("rated_rings", f"""SELECT ring_id, min(ring_type) AS ring_type, count(*) AS ring_size, count(*) FILTER (prob >= {T}) / count(*) AS rate, max(prob) AS mx, avg(prob) AS mn
   FROM users JOIN scored USING (user_id) WHERE is_abuse_account AND ring_id <> '' GROUP BY ring_id""")

@@ -24,9 +24,9 @@ def _edges(d):
 cte("ent", "SELECT src AS user_id, kind AS node_type, dst AS entity_id, weight FROM entity_edges")
 for _i, _kind in enumerate(S.ENTITY_KINDS, start=1):
     add(f"inv_{_i:02d}_{_kind}_lists",
-        lambda d, k=_kind: V.entity_lists(V.entities(_edges(d)).where(F.col("node_type") == k)).select(
-            "user_id", F.array_join("entity_ids", ",").alias("entity_ids")),
-        f"SELECT user_id, array_to_string(list_sort(list(entity_id)), ',') AS entity_ids FROM ent WHERE node_type = '{_kind}' GROUP BY user_id")
+        lambda d, k=_kind: V.entity_lists(V.entities(_edges(d)).where(F.col("node_type") == k)),
+        f"""SELECT user_id, node_type, row_number() OVER (PARTITION BY user_id ORDER BY entity_id) AS rank, entity_id
+            FROM ent WHERE node_type = '{_kind}'""")
 add("inv_04_shared_only", lambda d: V.entities(_edges(d), shared_only=True),
     "SELECT * FROM ent WHERE (node_type, entity_id) IN (SELECT (node_type, entity_id) FROM ent GROUP BY ALL HAVING count(*) > 1)")
 _TYPES = ", ".join(f"CASE WHEN {c} > 0 THEN '{label}' END" for c, label in S.RELATIONSHIP_LABELS.items())
@@ -44,9 +44,9 @@ add("inv_05_ranked_related", lambda d: V.ranked_related(V.related_accounts(whole
     """SELECT user_id, related_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY shared_entity_count DESC, related_id) AS rank
        FROM related) WHERE rank <= 20""")
 add("inv_05_related_lists",
-    lambda d: V.related_lists(V.related_accounts(whole_graph(d).edges)).select(
-        "user_id", F.expr("array_join(transform(related_accounts, x -> x.user_id), ',') AS related")),
-    "SELECT user_id, array_to_string(list(related_id ORDER BY shared_entity_count DESC, related_id), ',') AS related FROM related GROUP BY user_id")
+    lambda d: _flat(V.related_lists(V.related_accounts(whole_graph(d).edges))),
+    """SELECT user_id, related_id, array_to_string(types, ',') AS relationship_types, shared_entity_count,
+       row_number() OVER (PARTITION BY user_id ORDER BY shared_entity_count DESC, related_id) AS rank FROM related""")
 
 # Paths: every candidate, written out without the limits of the distributed plan.
 

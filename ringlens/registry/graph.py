@@ -56,7 +56,7 @@ add("gr_10_allowed_columns", lambda d: G.graph_columns(d.transactions),
 LOW_CAP = 4
 
 
-def whole_graph(d, hub_cap: int = S.HUB_CAP) -> P.UserGraph:
+def whole_graph(d, hub_cap: int | None = None) -> P.UserGraph:
     return P.project_users(P.single_view(d.transactions), hub_cap=hub_cap)
 
 
@@ -65,10 +65,11 @@ def split_graph(d) -> P.UserGraph:
     return P.project_users(P.split_views(d.transactions, d.users), users)
 
 
-def _projection_sql(prefix: str, view: str, cap: int) -> None:
+def _projection_sql(prefix: str, view: str, cap: int | None = None, members: str | None = None, used: str | None = None) -> None:
     """Steps ``<prefix>members/hubs/edges/nodes/arcs`` for one choice of view."""
-    cte(f"{prefix}members", f"SELECT DISTINCT {view} AS view, kind, dst AS entity_id, src AS user_id FROM entity_edges JOIN users ON user_id = src")
-    cte(f"{prefix}hubs", f"SELECT view, kind AS attr, entity_id, count(*) AS n_users FROM {prefix}members GROUP BY ALL HAVING count(*) > {cap}")
+    cte(f"{prefix}members", members or f"SELECT DISTINCT {view} AS view, kind, dst AS entity_id, src AS user_id FROM entity_edges JOIN users ON user_id = src")
+    cte(f"{prefix}used", used or f"SELECT DISTINCT {view} AS view, user_id, promo_id FROM txns JOIN users USING (user_id) WHERE promo_id <> ''")
+    cte(f"{prefix}hubs", f"SELECT view, kind AS attr, entity_id, count(*) AS n_users FROM {prefix}members GROUP BY ALL HAVING {'false' if cap is None else f'count(*) > {cap}'}")
     cte(f"{prefix}linking", f"""SELECT * FROM {prefix}members m WHERE NOT EXISTS (SELECT 1 FROM {prefix}hubs h
         WHERE h.view = m.view AND h.attr = m.kind AND h.entity_id = m.entity_id)""")
     counts = ", ".join(
@@ -77,21 +78,34 @@ def _projection_sql(prefix: str, view: str, cap: int) -> None:
     cte(f"{prefix}pairs", f"""SELECT l.view, l.user_id AS a, r.user_id AS b, {counts} FROM {prefix}linking l
         JOIN {prefix}linking r ON l.view = r.view AND l.kind = r.kind AND l.entity_id = r.entity_id AND l.user_id < r.user_id
         GROUP BY l.view, l.user_id, r.user_id""")
-    cte(f"{prefix}promos", f"""SELECT a, b, count(*) AS shared_promotion_count FROM {prefix}pairs
-        JOIN (SELECT DISTINCT user_id, promo_id FROM txns WHERE promo_id <> '') x ON x.user_id = a
-        JOIN (SELECT DISTINCT user_id, promo_id FROM txns WHERE promo_id <> '') y ON y.user_id = b AND y.promo_id = x.promo_id
-        GROUP BY a, b""")
+    cte(f"{prefix}promos", f"""SELECT view, a, b, count(*) AS shared_promotion_count FROM {prefix}pairs
+        JOIN {prefix}used x USING (view) JOIN {prefix}used y USING (view)
+        WHERE x.user_id = a AND y.user_id = b AND y.promo_id = x.promo_id GROUP BY view, a, b""")
     total = " + ".join(P.COUNTS)
     types = " + ".join(f"({c} > 0)::INT" for c in P.COUNTS)
     cte(f"{prefix}edges", f"""SELECT *, {total} AS weight, {types} AS shared_entity_types FROM (
-        SELECT p.*, coalesce(s.shared_promotion_count, 0) AS shared_promotion_count FROM {prefix}pairs p LEFT JOIN {prefix}promos s USING (a, b))""")
+        SELECT p.*, coalesce(s.shared_promotion_count, 0) AS shared_promotion_count FROM {prefix}pairs p LEFT JOIN {prefix}promos s USING (view, a, b))""")
     cte(f"{prefix}arcs", f"""SELECT view, a AS u, b AS v, * EXCLUDE (view, a, b) FROM {prefix}edges
         UNION ALL SELECT view, b, a, * EXCLUDE (view, a, b) FROM {prefix}edges""")
 
 
-_projection_sql("g_", "'all'", S.HUB_CAP)
+_projection_sql("g_", "'all'")
 _projection_sql("low_", "'all'", LOW_CAP)
-_projection_sql("s_", "split", S.HUB_CAP)
+_projection_sql("s_", "split")
+# Views that overlap: all transactions, and those from a day on.
+SINCE = "1996-01-01"
+_periods = f"SELECT 'all' AS view, * FROM txns UNION ALL SELECT 'since', * FROM txns WHERE ts >= DATE '{SINCE}'"
+cte("period_txns", _periods)
+_projection_sql("v_", "", members="SELECT DISTINCT view, kind, entity_id, user_id FROM (" + " UNION ALL ".join(
+    f"SELECT view, user_id, {column} AS entity_id, '{kind}' AS kind FROM period_txns" for kind, (column, *_) in S.ENTITY_KINDS.items())
+    + ") WHERE entity_id <> ''", used="SELECT DISTINCT view, user_id, promo_id FROM period_txns WHERE promo_id <> ''")
+
+
+def overlapping_views(d):
+    whole = P.single_view(d.transactions)
+    return whole.unionByName(whole.where(F.col("timestamp") >= F.lit(SINCE).cast("timestamp")).withColumn("view", F.lit("since")))
+
+
 cte("g_nodes", "SELECT DISTINCT 'all' AS view, user_id FROM txns")
 cte("s_nodes", "SELECT split AS view, user_id FROM users")
 
@@ -101,7 +115,8 @@ add("prj_02_skipped_hubs", lambda d: whole_graph(d, LOW_CAP).skipped_hubs, "SELE
 add("prj_02_edges_with_low_cap", lambda d: whole_graph(d, LOW_CAP).edges, f"SELECT {EDGE_COLUMNS} FROM low_edges")
 add("prj_03_pair_counts", lambda d: whole_graph(d).edges.select("a", "b", *P.COUNTS[:4]),
     f"SELECT a, b, {', '.join(P.COUNTS[:4])} FROM g_edges")
-add("prj_04_shared_promotions", lambda d: P.shared_promotions(whole_graph(d).edges, d.transactions), "SELECT * FROM g_promos")
+add("prj_04_shared_promotions", lambda d: P.shared_promotions(whole_graph(d).edges, P.single_view(d.transactions)), "SELECT * FROM g_promos")
+add("prj_04_overlapping_views", lambda d: P.project_users(overlapping_views(d)).edges, f"SELECT {EDGE_COLUMNS} FROM v_edges")
 add("prj_05_edge_weight", lambda d: whole_graph(d).edges.select("a", "b", "weight"), "SELECT a, b, weight FROM g_edges")
 add("prj_06_shared_entity_types", lambda d: whole_graph(d).edges.select("a", "b", "shared_entity_types"),
     "SELECT a, b, shared_entity_types FROM g_edges")
@@ -195,8 +210,6 @@ for _name, _column in (
     _sql = f"round({_column}, 8) AS {_column}" if _column == "average_neighbor_degree" else _column
     add(_name, lambda d, c=_column: _around(d).select("user_id", c), f"SELECT user_id, {_sql} FROM g_around")
 add("gf_18_two_hop_user_count", lambda d: GF.two_hop_users(P.both_directions(whole_graph(d).stored().edges)), "SELECT * FROM g_reach")
-add("gf_18_two_hop_heavy_nodes", lambda d: GF.two_hop_users(P.both_directions(whole_graph(d).stored().edges), heavy_degree=60).where("two_hop_user_count > 0"),
-    "SELECT * FROM g_reach")
 for _name, _column in (("gf_22_degree_centrality", "degree_centrality"), ("gf_23_clustering_coefficient", "clustering_coefficient")):
     add(_name, lambda d, c=_column: (lambda g, t: GF.degree_and_clustering(g, t).select("user_id", c))(*_totals(d)[::2]),
         f"SELECT user_id, {_column} FROM g_degrees")
@@ -223,30 +236,38 @@ def _betweenness_sql(p: str, cap: int) -> None:
             JOIN {p}arcs a ON a.view = f.view AND a.u = f.node GROUP BY f.view, s, v) r USING (view, s, node)""")
     union = " UNION ALL ".join(f"SELECT view, node, dep FROM {p}d{i}" for i in range(1, LEVELS + 1))
     cte(f"{p}betweenness", f"""SELECT view, user_id, CASE WHEN n > 2 THEN round(coalesce(dep, 0)
-            * (CASE WHEN n > {cap} THEN n / {cap}.0::DOUBLE ELSE 1 END) / ((n - 1.0::DOUBLE) * (n - 2.0::DOUBLE)), 8) ELSE 0 END AS betweenness_centrality,
-          n > {cap} AS betweenness_approx
+            * (n / least(n, {cap})::DOUBLE) / ((n - 1.0::DOUBLE) * (n - 2.0::DOUBLE)), 8) ELSE 0 END AS betweenness_centrality,
+          true AS betweenness_approx
         FROM {p}nodes JOIN (SELECT view, count(*) AS n FROM {p}nodes GROUP BY view) USING (view)
         LEFT JOIN (SELECT view, node AS user_id, sum(dep) AS dep FROM ({union}) GROUP BY view, node) USING (view, user_id)""")
 
 
 _betweenness_sql("s_", PIVOTS)
-add("gf_24_betweenness_per_split", lambda d: C.betweenness(split_graph(d), cap=PIVOTS), "SELECT * FROM s_betweenness")
+add("gf_24_betweenness_per_split", lambda d: (lambda g: C.betweenness(g, C.pivots(g.nodes, PIVOTS)))(split_graph(d).stored()),
+    "SELECT * FROM s_betweenness")
 
 # --- Components -------------------------------------------------------------------
 
 cte("typed_arcs", "SELECT src AS u, dst AS v FROM all_edges UNION ALL SELECT dst, src FROM all_edges")
-_CAP6 = "low_"
-cte("walk", f"""SELECT user_id AS id, user_id AS reached FROM (SELECT DISTINCT user_id FROM txns)
-UNION SELECT w.id, e.v FROM walk w JOIN low_arcs e ON e.u = w.reached""")
-cte("low_components", "SELECT id, min(reached) AS component FROM walk GROUP BY id")
-
-
-def low_components(d):
-    graph = whole_graph(d, LOW_CAP)
-    arcs = P.both_directions(graph.edges.select("a", "b"))
-    return CC.connected_components(graph.nodes.selectExpr("user_id AS id"), arcs)
-
-
-add("com_04_components", low_components, "SELECT * FROM low_components")
-add("com_04_component_summary", lambda d: CC.component_summary(low_components(d)),
-    """SELECT count(*) AS components, max(size) AS largest_component FROM (SELECT count(*) AS size FROM low_components GROUP BY component)""")
+# Smallest labels spread over user-entity links, one user-to-user step per round; no component is wider than this.
+ROUNDS = 14
+cte("label0", "SELECT DISTINCT user_id AS id, user_id AS component FROM txns")
+for _i in range(1, ROUNDS + 1):
+    cte(f"spread{_i}", f"SELECT kind, entity_id, min(component) AS component FROM g_members JOIN label{_i - 1} ON id = user_id GROUP BY kind, entity_id")
+    cte(f"label{_i}", f"""SELECT id, least(any_value(l.component), coalesce(min(s.component), any_value(l.component))) AS component FROM label{_i - 1} l
+        LEFT JOIN g_members ON user_id = id LEFT JOIN spread{_i} s USING (kind, entity_id) GROUP BY id""")
+
+
+def user_components(d):
+    """Components of the whole projection from the user-entity links, so a hub costs its size and no pair is formed."""
+    transactions = P.single_view(d.transactions)
+    links = P.entity_users(transactions).select("user_id", F.concat_ws("|", F.lit("~entity"), "kind", "entity_id").alias("entity"))
+    users = transactions.select(F.col("user_id").alias("id")).distinct()
+    arcs = links.selectExpr("user_id AS u", "entity AS v").union(links.selectExpr("entity", "user_id"))
+    labels = CC.connected_components(users.union(links.select("entity").distinct()), arcs)
+    return labels.join(users, "id", "left_semi")  # entity names sort behind all user names: the smallest id is a user
+
+
+add("com_04_components", user_components, f"SELECT id, component FROM label{ROUNDS}")
+add("com_04_component_summary", lambda d: CC.component_summary(user_components(d)),
+    f"""SELECT count(*) AS components, max(size) AS largest_component FROM (SELECT count(*) AS size FROM label{ROUNDS} GROUP BY component)""")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ringlens import schema as S
 from ringlens.operators import attribution as A
+from ringlens.operators import centrality as C
 from ringlens.operators import explain as X
 from ringlens.operators import models as M
 from ringlens.operators import projection as P
@@ -71,7 +72,7 @@ def feature_table(d, variant="graph", split=None):
 
 _EXACT = S.BASELINE_FEATURES[5:11] + S.FEATURE_GROUPS["direct"]
 add("gf_28_user_graph_features",
-    lambda d: (lambda t, g: features.user_graph_features(t, g.stored(), betweenness_cap=16).select("user_id", *S.FEATURE_GROUPS["direct"], "two_hop_user_count"))(
+    lambda d: (lambda t, g: (lambda stored: features.user_graph_features(t, stored, betweenness_sources=C.pivots(stored.nodes, 16)))(g.stored()).select("user_id", *S.FEATURE_GROUPS["direct"], "two_hop_user_count"))(
         P.single_view(d.transactions), P.project_users(P.single_view(d.transactions))),
     f"SELECT d.*, coalesce(two_hop_user_count, 0) AS two_hop_user_count FROM direct d LEFT JOIN g_reach USING (user_id)")
 add("gf_29_split_features", lambda d: feature_table(d).select("user_id", "split", "label", *_EXACT, *S.FEATURE_GROUPS["two_hop"], "number_of_user_neighbors"),

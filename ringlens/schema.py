@@ -60,7 +60,6 @@ GRAPH_TRANSACTION_COLUMNS = (
     "transaction_id", "user_id", "merchant_id", "payment_instrument_id",
     "device_id", "ip_id", "address_id", "promo_id",
 )
-HUB_CAP = 150
 SHARED_COUNTS = {
     "device": "shared_device_count",
     "ip": "shared_ip_count",

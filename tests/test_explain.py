@@ -104,10 +104,10 @@ def test_paths_are_bounded_and_exist(txns):
     assert X.audit_path_edges(paths, edges).isEmpty()
 
 
-def test_lists_come_in_parts_without_loss(txns):
-    edges = G.user_entity_edges(txns([("U1", f"D{i}", "", "") for i in range(25)]))
-    parts = V.entity_lists(V.entities(edges), part_size=10).collect()
-    assert len(parts) > 1 and sorted(e for p in parts for e in p.entity_ids) == sorted(f"D{i}" for i in range(25))
+def test_lists_are_ranked_without_loss(txns):
+    edges = G.user_entity_edges(txns([("U1", f"D{i:02}", "", "") for i in range(25)]))
+    rows = V.entity_lists(V.entities(edges)).collect()
+    assert sorted((r.rank, r.entity_id) for r in rows) == [(i + 1, f"D{i:02}") for i in range(25)]
 
 
 def test_label_fields_are_found_at_any_depth(spark):

@@ -24,6 +24,21 @@ def test_promotion_annotates_but_never_links(txns):
     assert [(e.a, e.b, e.shared_promotion_count, e.weight) for e in edges] == [("U1", "U2", 1, 2)]
 
 
+def test_nothing_is_dropped_without_a_cap(txns, monkeypatch):
+    monkeypatch.setattr(projection, "BLOCK_USERS", 10)
+    graph = project(txns([(f"U{i:03}", "D1", "", "") for i in range(160)]))
+    assert graph.edges.count() == 160 * 159 // 2 and graph.skipped_hubs.isEmpty()
+
+
+def test_views_that_overlap_do_not_mix(txns):
+    rows = projection.single_view(txns([("U1", "D1", "", "P1"), ("U2", "D1", "", "P1")]))
+    both = rows.unionByName(rows.withColumn("view", F.lit("jan")))
+    got = {(e.view, e.shared_promotion_count, e.weight) for e in projection.project_users(both).edges.collect()}
+    assert got == {("all", 1, 2), ("jan", 1, 2)}
+    direct = graph_features.direct_features(both).collect()
+    assert {(r.view, r.user_id, r.degree) for r in direct} == {(v, u, 2) for v in ("all", "jan") for u in ("U1", "U2")}
+
+
 def test_hub_is_skipped_and_reported(txns):
     graph = project(txns([(f"U{i}", "D1", "", "") for i in range(4)]), hub_cap=3)
     assert graph.edges.count() == 0
@@ -36,13 +51,14 @@ def test_edges_do_not_depend_on_labels(txns):
     assert typed_graph.build_edges(df).exceptAll(typed_graph.build_edges(bare)).isEmpty()
 
 
-@pytest.mark.parametrize("heavy", [1, 3, 1000])
-def test_two_hop_users_match_brute_force(user_graph, heavy):
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_two_hop_users_match_brute_force(user_graph, monkeypatch, block):
+    monkeypatch.setattr(projection, "BLOCK_USERS", block)
     pairs = [("h", f"n{i}") for i in range(8)] + [("n0", "x"), ("x", "y"), ("n1", "n2"), ("h2", "n3"), ("h2", "n4"), ("h2", "z"), ("h", "h2")]
     nodes = sorted({n for p in pairs for n in p})
     near = {n: {b if a == n else a for a, b in pairs if n in (a, b)} for n in nodes}
     want = {n: len(set().union(*(near[v] for v in near[n])) - near[n] - {n}) for n in nodes}
-    rows = graph_features.two_hop_users(both_directions(user_graph(pairs, nodes).edges), heavy_degree=heavy).collect()
+    rows = graph_features.two_hop_users(both_directions(user_graph(pairs, nodes).edges)).collect()
     got = {r.user_id: r.two_hop_user_count for r in rows}
     assert {n: got.get(n, 0) for n in nodes} == want
 
@@ -73,8 +89,9 @@ def test_betweenness_of_known_shapes(user_graph):
 def test_betweenness_counts_isolated_nodes_and_pivots(user_graph):
     graph = user_graph([("a", "b"), ("b", "c")], "abcz")
     assert values(graph)["b"] == round(2 / 6, 8)
-    assert values(graph, cap=4) == values(graph, cap=500)
-    sampled = centrality.betweenness(graph, cap=2).collect()
+    exact = centrality.betweenness(graph).collect()
+    assert values(graph, sources=centrality.pivots(graph.nodes, 4)) == values(graph) and not any(r.betweenness_approx for r in exact)
+    sampled = centrality.betweenness(graph, centrality.pivots(graph.nodes, 2)).collect()
     assert all(r.betweenness_approx for r in sampled) and len(sampled) == 4
 
 
