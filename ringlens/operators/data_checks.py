@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlens import schema as S
 from ringlens.functions.exprs import count_where, present
 
+# References, required columns and vocabularies of the tables.
 FOREIGN_KEYS = (
     ("user_id", "users", False), ("merchant_id", "merchants", False),
     ("payment_instrument_id", "payment_instruments", False), ("device_id", "devices", False),
@@ -37,14 +38,14 @@ ENUMS = (
 
 
 
-def finding(df: DataFrame, module: str, check: str, severity: str, subject: str | Column, message: str,
+def finding(df: DataFrame, module: str, check: str, severity: str, subject: str | Column, message: str | Column,
             context: Column | None = None) -> DataFrame:
     """Findings from rows holding a count ``n``; rows with n = 0 vanish. ``message`` follows the count."""
     return df.where("n > 0").select(
         F.lit(module).alias("module"), F.lit(check).alias("check"), F.lit(severity).alias("severity"),
         (F.lit(subject) if isinstance(subject, str) else subject).alias("subject"),
         F.col("n").cast("bigint").alias("n"),
-        F.concat_ws(" ", F.lit(subject) if isinstance(subject, str) else subject, F.col("n").cast("string"), F.lit(message)).alias("message"),
+        F.concat_ws(" ", F.lit(subject) if isinstance(subject, str) else subject, F.col("n").cast("string"), F.lit(message) if isinstance(message, str) else message).alias("message"),
         (context if context is not None else F.lit(None).cast("map<string,string>")).alias("context"),
     )
 
@@ -92,24 +93,22 @@ def primary_key_nulls(tables: Mapping[str, DataFrame]) -> DataFrame:
 def foreign_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Transaction references without a parent row, with up to five example values.
 
-    References are counted per value before meeting the parent table, so a value carried by
-    many rows is one row in the join.
+    The seven columns are unpivoted in one pass and counted per value before they meet the union of all
+    parents' keys, so a value carried by many rows is one row in the join.
     """
-    transactions = tables["transactions"]
-    parts = []
-    for column, parent, blank_allowed in FOREIGN_KEYS:
-        values = transactions.groupBy(F.coalesce(F.col(column), F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-        keys = tables[parent].select(F.col(S.PRIMARY_KEYS[parent]).alias("value"))
-        missing = values.join(keys, "value", "left_anti")
-        if blank_allowed:
-            missing = missing.where("value <> ''")
-        examples = missing.orderBy("value").limit(5).agg(F.array_join(F.array_sort(F.collect_list("value")), ","))
-        total = missing.agg(F.sum("rows").alias("n")).withColumn("_examples", examples.scalar())
-        parts.append(finding(
-            total, "integrity", "foreign_key", "error", f"transactions.{column}", f"values not in {parent}",
-            F.create_map(F.lit("examples"), F.col("_examples")),
-        ))
-    return combine(parts)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("")).alias("value")) for c, *_ in FOREIGN_KEYS])
+    values = tables["transactions"].select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("rows"))
+    keys = combine(tables[parent].select(F.lit(column).alias("column"), F.col(S.PRIMARY_KEYS[parent]).alias("value"))
+                   for column, parent, _ in FOREIGN_KEYS)
+    blank_allowed = [c for c, _, blank in FOREIGN_KEYS if blank]
+    missing = values.join(keys, ["column", "value"], "left_anti").where((F.col("value") != "") | ~F.col("column").isin(*blank_allowed))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    first = missing.select("column", "value").withColumn("rank", rank).where("rank <= 5")
+    examples = first.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("examples"))
+    totals = missing.groupBy("column").agg(F.sum("rows").alias("n")).join(examples, "column")
+    parents = F.create_map(*[F.lit(x) for column, parent, _ in FOREIGN_KEYS for x in (column, parent)])
+    return finding(totals, "integrity", "foreign_key", "error", F.concat(F.lit("transactions."), "column"),
+                   F.concat(F.lit("values not in "), parents[F.col("column")]), F.create_map(F.lit("examples"), F.col("examples")))
 
 
 def required_values(tables: Mapping[str, DataFrame]) -> DataFrame:

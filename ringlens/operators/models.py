@@ -38,9 +38,10 @@ def audited(table: DataFrame, names: Sequence[str]) -> DataFrame:
     """The selected features, refused when a column or label fails the audit."""
     selected = select_features(table, names)
     problems = feature_name_audit(column_names(selected.drop("split"))).unionByName(label_is_binary(selected))
-    found = problems.select("subject", "check").limit(10).collect()
-    if found:
-        raise ValueError("feature audit failed: " + ", ".join(f"{r.subject} ({r.check})" for r in found))
+    count = problems.count()
+    if count:
+        first = problems.select("subject", "check").orderBy("subject", "check").limit(10).collect()
+        raise ValueError(f"feature audit failed with {count} findings, first: " + ", ".join(f"{r.subject} ({r.check})" for r in first))
     return selected
 
 

@@ -6,6 +6,8 @@ distributed, so a model with many distinct scores never sorts in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,39 +72,41 @@ def threshold_curve(scored: DataFrame) -> DataFrame:
     return with_metrics(points, "model_id", "threshold")
 
 
-def _best(curve: DataFrame, strategy: str, score: str, eligible: str = "true") -> DataFrame:
-    """Per model the eligible point of the highest score; the lowest threshold wins ties."""
-    rest = [c for c in curve.columns if c != "model_id"]
-    return (
-        curve.where(eligible).groupBy("model_id")
-        .agg(F.min_by(F.struct(*rest), F.struct(-F.expr(score), F.col("threshold"))).alias("point"))
-        .select("model_id", F.lit(strategy).alias("strategy"), "point.*")
-    )
+def _score(strategy: str, min_recall: float | None) -> tuple[str, str]:
+    """(score, eligibility) of a strategy; the highest score among eligible points wins."""
+    if strategy == "max_f1":
+        return "f1", "true"
+    if strategy == "balanced":
+        return "-abs(precision - recall)", "true"
+    if strategy == "high_recall":
+        return "precision", f"recall >= {0.80 if min_recall is None else min_recall}D"
+    if strategy == "low_fp_rate":
+        return "-(1 - specificity)", f"recall >= {0.50 if min_recall is None else min_recall}D"
+    raise ValueError(f"unknown strategy: {strategy}")
+
+
+def _picks(curve: DataFrame, strategies: Sequence[str], min_recall: float | None = None) -> DataFrame:
+    """All strategies' points in one pass over the curve: the lowest threshold wins ties, and the best F1 stands in
+    where no point is eligible."""
+    point = F.struct(*[c for c in curve.columns if c != "model_id"])
+
+    def best(score: str, eligible: str):
+        return F.min_by(point, F.when(F.expr(eligible), F.struct(-F.expr(score), F.col("threshold"))))
+
+    rows = curve.groupBy("model_id").agg(*[F.coalesce(best(*_score(s, min_recall)), best("f1", "true")).alias(s) for s in strategies])
+    named = F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("point")) for s in strategies])
+    return rows.select("model_id", F.explode(named).alias("pick")).select("model_id", "pick.strategy", "pick.point.*")
 
 
 def select_threshold(
     curve: DataFrame, strategy: str, *, min_recall: float | None = None
 ) -> DataFrame:
     """One row per model: the threshold the strategy picks on ``curve`` with its metrics."""
-    if strategy == "max_f1":
-        return _best(curve, strategy, "f1")
-    if strategy == "balanced":
-        return _best(curve, strategy, "-abs(precision - recall)")
-    if strategy == "high_recall":
-        chosen = _best(curve, strategy, "precision", f"recall >= {0.80 if min_recall is None else min_recall}D")
-    elif strategy == "low_fp_rate":
-        chosen = _best(curve, strategy, "-(1 - specificity)", f"recall >= {0.50 if min_recall is None else min_recall}D")
-    else:
-        raise ValueError(f"unknown strategy: {strategy}")
-    fallback = _best(curve, strategy, "f1").join(chosen, "model_id", "left_anti")
-    return chosen.unionByName(fallback)
+    return _picks(curve, [strategy], min_recall)
 
 
 def all_strategies(curve: DataFrame) -> DataFrame:
-    table = select_threshold(curve, STRATEGIES[0])
-    for strategy in STRATEGIES[1:]:
-        table = table.unionByName(select_threshold(curve, strategy))
-    return table
+    return _picks(curve, STRATEGIES)
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:

@@ -48,8 +48,17 @@ def _two_models(d):
         d.scored.withColumns({"model_id": F.lit("second"), "prob": 1 - F.col("prob")}))
 
 
-add("ev_07_all_strategies", lambda d: TH.all_strategies(TH.threshold_curve(_two_models(d))).where("model_id = 'first'").select("strategy", "threshold", "tp", "fp"),
-    " UNION ALL ".join(f"SELECT '{s}' AS strategy, threshold, tp, fp FROM ({q})" for s, q in _PICK.items()))
+cte("scored_second", "SELECT user_id, label, 1 - prob AS prob FROM scored")
+cte("points_second", """
+SELECT threshold, (SELECT count(*) FROM scored_second WHERE prob >= threshold AND label = 1) AS tp,
+  (SELECT count(*) FROM scored_second WHERE prob >= threshold AND label = 0) AS fp,
+  (SELECT count(*) FROM scored_second WHERE prob < threshold AND label = 1) AS fn,
+  (SELECT count(*) FROM scored_second WHERE prob < threshold AND label = 0) AS tn
+FROM (SELECT prob AS threshold FROM scored_second UNION SELECT 1.0::DOUBLE)""")
+cte("curve_second", f"SELECT threshold, tp, fp, fn, tn, {_METRICS} FROM points_second")
+add("ev_07_all_strategies", lambda d: TH.all_strategies(TH.threshold_curve(_two_models(d))).select("model_id", "strategy", "threshold", "tp", "fp"),
+    " UNION ALL ".join(f"SELECT '{m}' AS model_id, '{s}' AS strategy, threshold, tp, fp FROM ({q.replace('FROM curve', f'FROM {c}')})"
+                       for m, c in (("first", "curve"), ("second", "curve_second")) for s, q in _PICK.items()))
 add("ev_08_apply_threshold", lambda d: TH.apply_threshold(d.scored, T), f"SELECT *, (prob >= {T})::INT AS prediction FROM scored")
 cte("roc", """SELECT sum(n * (SELECT count(*) FROM scored n WHERE n.label = 0 AND n.prob < p.prob) + 0.5 * n * (SELECT count(*) FROM scored n WHERE n.label = 0 AND n.prob = p.prob))
   / (sum(n) * (SELECT count(*) FROM scored WHERE label = 0)) AS roc_auc FROM (SELECT prob, count(*) AS n FROM scored WHERE label = 1 GROUP BY prob) p""")

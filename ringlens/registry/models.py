@@ -61,7 +61,7 @@ def _store(d):
     key = (d.spark.sparkContext.applicationId, d.folder)
     if key not in _STORES:
         folder = shared_folder(d.spark)
-        shapes = IO.write_features(features.build_split_features(d.tables), folder)
+        shapes = IO.write_features(features.build_split_features(d.tables, betweenness_pivots=250), folder)
         _STORES[key] = folder, shapes.collect()
     return _STORES[key]
 
