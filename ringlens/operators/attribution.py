@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -35,25 +34,32 @@ class Leaf:
     base: float
 
 
-def _leaf_table(value: float, ratios: Sequence[float]) -> np.ndarray:
-    d = len(ratios)
-    table = np.zeros((2**d, d))
-    for pattern in range(2**d):
-        held = [float(pattern >> j & 1) for j in range(d)]
-        for i in range(d):
-            others = [j for j in range(d) if j != i]
-            for size in range(d):
-                share = factorial(size) * factorial(d - size - 1) / factorial(d)
-                for chosen in combinations(others, size):
-                    rest = np.prod([held[j] if j in chosen else ratios[j] for j in others])
-                    table[pattern, i] += share * value * rest * (held[i] - ratios[i])
-    return table
+def _leaf_tables(values: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Attributions ``(leaf, pattern, feature)`` of leaves that have ``d`` features each.
+
+    The worth of a coalition of ``size`` others is a coefficient of the polynomial
+    ``prod (ratio + held * t)`` over those others, so each feature needs ``d - 1`` products.
+    """
+    d = ratios.shape[1]
+    held = ((np.arange(2**d)[:, None] >> np.arange(d)) & 1).astype(float)
+    tables = np.zeros((len(values), 2**d, d))
+    shares = [factorial(size) * factorial(d - size - 1) / factorial(d) for size in range(d)]
+    for i in range(d):
+        worth = np.zeros((len(values), 2**d, d))
+        worth[:, :, 0] = 1.0
+        for j in range(d):
+            if j != i:
+                with_j = worth[:, :, :-1] * held[None, :, j, None]
+                worth *= ratios[:, None, j, None]
+                worth[:, :, 1:] += with_j
+        tables[:, :, i] = values[:, None] * (worth @ np.array(shares)) * (held[None, :, i] - ratios[:, None, i])
+    return tables
 
 
 def leaves(model: PipelineModel) -> list[Leaf]:
     """The leaves of all trees; the node table is bounded by the model's size."""
     nodes = {(r.tree, r.node): r for r in tree_nodes(model).collect()}
-    found = []
+    paths = []
     for (tree, number), root in nodes.items():
         if number != 0:
             continue
@@ -61,18 +67,20 @@ def leaves(model: PipelineModel) -> list[Leaf]:
         while stack:
             node, path = stack.pop()
             if node.left < 0:
-                names = tuple(sorted(path))
-                value = LOG_ODDS * node.weight * node.value
-                ratios = [path[f][2] for f in names]
-                found.append(Leaf(
-                    names, np.array([path[f][0] for f in names]), np.array([path[f][1] for f in names]),
-                    _leaf_table(value, ratios), value * float(np.prod(ratios)),
-                ))
+                paths.append((path, LOG_ODDS * node.weight * node.value))
                 continue
             for child, is_left in ((nodes[tree, node.left], True), (nodes[tree, node.right], False)):
                 low, high, ratio = path.get(node.feature, (-np.inf, np.inf, 1.0))
                 bounds = (low, min(high, node.threshold)) if is_left else (max(low, node.threshold), high)
                 stack.append((child, {**path, node.feature: (*bounds, ratio * child.cover / node.cover)}))
+    found = []
+    for depth in sorted({len(path) for path, _ in paths}):
+        alike = [(path, value) for path, value in paths if len(path) == depth]
+        names = [tuple(sorted(path)) for path, _ in alike]
+        low, high, ratios = (np.array([[path[f][part] for f in n] for n, (path, _) in zip(names, alike)]).reshape(-1, depth) for part in range(3))
+        values = np.array([value for _, value in alike])
+        tables = _leaf_tables(values, ratios)
+        found += [Leaf(names[i], low[i], high[i], tables[i], float(values[i] * np.prod(ratios[i]))) for i in range(len(alike))]
     return found
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringlens.functions.ordered import running_totals
 from ringlens.operators.projection import UserGraph, both_directions
 from ringlens.session import cut_lineage
 
+# Smallest rise of modularity that counts.
+TOLERANCE = 1e-6
+
 
 def _modularity(arcs: DataFrame, labels: DataFrame, resolution: float) -> dict[str, float]:
     """Modularity per view of ``labels(view, node, community)`` on ``arcs(view, u, v, w)``."""
@@ -24,18 +29,22 @@ def _modularity(arcs: DataFrame, labels: DataFrame, resolution: float) -> dict[s
     return {row.view: row.q for row in rows.collect()}  # one row per view
 
 
-def _local_moves(arcs: DataFrame, resolution: float, seed: int, level: int, max_rounds: int, min_share: float) -> DataFrame:
-    """Move nodes to the neighbouring community of the best gain until few still move.
+def _local_moves(arcs: DataFrame, resolution: float, seed: int, level: int, max_rounds: int = 400) -> DataFrame:
+    """Move nodes to the neighbouring community of the best gain, until a view gains nothing more.
 
     All nodes decide at once, but only a hashed half may move per round, the other half in the
     next, and a singleton joins another singleton only if that one has the smaller id, so two
-    nodes never just swap. A pair of rounds moving at most ``min_share`` of the nodes is the last.
+    nodes never just swap. A view is finished when a pair of rounds raises its modularity by at
+    most ``TOLERANCE``; it keeps the better of the states before and after that pair. Reaching
+    ``max_rounds`` is an error.
     """
     strength = arcs.groupBy("view", F.col("u").alias("node")).agg(F.sum("w").alias("k"))
     mass = arcs.groupBy("view").agg(F.sum("w").alias("m2"))
     state = cut_lineage(strength.join(F.broadcast(mass), "view").selectExpr("view", "node", "k", "m2", "node AS community"))
     outward = arcs.where("u <> v")
-    moved = 0.0
+    finished: list[DataFrame] = []
+    earlier: DataFrame | None = None
+    before: dict[str, float] = {}
     for turn in range(max_rounds):
         totals = state.groupBy("view", "community").agg(F.sum("k").alias("mass"), F.count(F.lit(1)).alias("members"))
         toward = (
@@ -62,23 +71,31 @@ def _local_moves(arcs: DataFrame, resolution: float, seed: int, level: int, max_
                 f"coalesce(go.community <> community AND go.gain > keep + 1e-12 AND pmod(xxhash64(node, {seed}, {level}, {turn // 2}), 2) = {turn % 2} "
                 "AND NOT (own_members = 1 AND go.members = 1 AND go.community > community), false)"))
         )
-        state = cut_lineage(decided.selectExpr(
-            "view", "node", "k", "m2", "if(moves, go.community, community) AS community", "moves"))
-        moved += state.agg(F.expr("count_if(moves) / greatest(count(1), 1)")).first()[0]
-        state = state.drop("moves")
-        if turn % 2:  # two rounds gave every node its chance
-            if moved <= min_share:
-                break
-            moved = 0.0
-    return state.select("view", "node", "community")
-
-
-def louvain(graph: UserGraph, *, resolution: float = 1.0, seed: int = 42, max_levels: int = 12, max_rounds: int = 12,
-            min_share: float = 0.02) -> DataFrame:
+        judged = cut_lineage(decided.selectExpr(
+            "view", "node", "k", "m2", "community", "if(moves, go.community, community) AS target", "keep"))
+        if turn % 2 == 0:  # two rounds gave every node its chance
+            # the kept gains add up to the modularity of the state, but for a constant per view
+            quality = {r.view: r.q for r in judged.groupBy("view").agg(F.sum(F.expr("keep / m2")).alias("q")).collect()}
+            done = [view for view, q in quality.items() if view in before and q - before[view] <= TOLERANCE]
+            worse = [view for view in done if quality[view] < before[view]]
+            if done:
+                finished.append(judged.where(F.col("view").isin(done) & ~F.col("view").isin(worse)).select("view", "node", "community"))
+                finished.append(earlier.where(F.col("view").isin(worse)).select("view", "node", "community"))
+                judged = judged.where(~F.col("view").isin(done))
+                outward = outward.where(~F.col("view").isin(done))
+            if len(done) == len(quality):
+                return reduce(DataFrame.unionByName, finished)
+            before, earlier = quality, judged.select("view", "node", "community")
+        state = judged.selectExpr("view", "node", "k", "m2", "target AS community")
+    raise RuntimeError(f"local moves did not settle in {max_rounds} rounds")
+
+
+def louvain(graph: UserGraph, *, resolution: float = 1.0, seed: int = 42) -> DataFrame:
     """``(view, user_id, raw)``: a community label per projection node, isolated users alone.
 
     Weighted by the edges' ``weight``. A level is kept only where it raises a view's
-    modularity by more than 1e-6; contraction stops when no view improves.
+    modularity by more than ``TOLERANCE``; contraction stops when no view improves. Every kept
+    level merges nodes, so their number is bounded by that of the nodes.
     """
     base = cut_lineage(both_directions(graph.edges.selectExpr("view", "a", "b", "cast(weight AS double) AS w")).select("view", "u", "v", "w"))
     label = cut_lineage(graph.nodes.selectExpr("view", "user_id AS node", "user_id AS community"))
@@ -86,14 +103,14 @@ def louvain(graph: UserGraph, *, resolution: float = 1.0, seed: int = 42, max_le
         return label.selectExpr("view", "node AS user_id", "community AS raw")
     score = _modularity(base, label, resolution)
     arcs = base
-    for level in range(max_levels):
-        moved = _local_moves(arcs, resolution, seed, level, max_rounds, min_share)
+    for level in count():
+        moved = cut_lineage(_local_moves(arcs, resolution, seed, level))
         renamed = moved.selectExpr("view", "node AS community", "community AS wider")
         merged = cut_lineage(
             label.join(renamed, ["view", "community"], "left").selectExpr("view", "node", "coalesce(wider, community) AS community")
         )
         after = _modularity(base, merged, resolution)
-        improved = [view for view, q in after.items() if q > score[view] + 1e-6]
+        improved = [view for view, q in after.items() if q > score[view] + TOLERANCE]
         if not improved:
             break
         better = F.col("view").isin(*improved)
@@ -116,28 +133,23 @@ def modularity(graph: UserGraph, labels: DataFrame, resolution: float = 1.0) ->
     return labels.sparkSession.createDataFrame(sorted(scores.items()), "view string, modularity double")
 
 
-def number_communities(labels: DataFrame, *, prefix: int = 8) -> DataFrame:
+def number_communities(labels: DataFrame) -> DataFrame:
     """``(view, raw, community_id, community_size)`` with ids by falling size, then smallest member.
 
-    The numbering is a distributed rank. Communities are counted per size, and those of one
-    size are ranked among the members sharing the first ``prefix`` characters, which keeps the
-    order; so a large number of communities of one size is spread over many tasks. Different
-    sizes number at most the square root of twice the users, and their table is broadcast.
+    The numbering is a distributed rank: the communities are range-partitioned in that order and
+    stored, each range is ranked by itself, and the row counts of the ranges before it are added.
+    No size and no prefix of the ids decides how many tasks share the work.
     """
     sizes = labels.groupBy("view", "raw").agg(F.count(F.lit(1)).alias("community_size"), F.min("user_id").alias("first_member"))
-    per_size = running_totals(
-        sizes.groupBy("view", "community_size").agg(F.count(F.lit(1)).alias("n")), ["view"], "community_size", ["n"], descending=True
-    ).selectExpr("view", "community_size", "cum_n - n AS larger")
-    within = Window.partitionBy("view", "community_size", "head").orderBy("first_member")
-    headed = sizes.withColumn("head", F.expr(f"left(first_member, {prefix})"))
-    heads = headed.groupBy("view", "community_size", "head").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("view", "community_size").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = heads.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    order = [F.desc("community_size"), F.asc("first_member")]
+    ranges = cut_lineage(sizes.repartitionByRange(F.asc("view"), *order).withColumn("range", F.spark_partition_id()))
+    earlier = Window.partitionBy("view").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("view", "range").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     return (
-        headed.join(offsets, ["view", "community_size", "head"])
-        .withColumn("place", F.row_number().over(within) + F.col("before"))
-        .join(F.broadcast(per_size), ["view", "community_size"])
-        .selectExpr("view", "raw", "larger + place - 1 AS community_id", "community_size")
+        ranges.join(offsets, ["view", "range"])
+        .withColumn("place", F.row_number().over(Window.partitionBy("view", "range").orderBy(*order)))
+        .selectExpr("view", "raw", "before + place - 1 AS community_id", "community_size")
     )
 
 

@@ -32,6 +32,26 @@ def test_graph_without_edges(user_graph, spark):
 def test_numbering_by_size_then_smallest_member(spark):
     rows = [("all", f"u{i}", f"c{i // 2}") for i in range(40)] + [("all", "zz", "big"), ("all", "zy", "big"), ("all", "zx", "big")]
     labels = spark.createDataFrame(rows, "view string, user_id string, raw string")
-    got = {r.raw: r.community_id for r in C.number_communities(labels, prefix=2).collect()}
+    got = {r.raw: r.community_id for r in C.number_communities(labels).collect()}
     order = sorted({r[2] for r in rows}, key=lambda c: (-sum(r[2] == c for r in rows), min(r[1] for r in rows if r[2] == c)))
     assert got == {c: i for i, c in enumerate(order)}
+
+
+def test_numbering_spreads_one_size_over_ranges(spark):
+    rows = [("all", f"USER_{i:06d}", f"USER_{i:06d}") for i in range(2000)]
+    labels = spark.createDataFrame(rows, "view string, user_id string, raw string")
+    got = {r.raw: r.community_id for r in C.number_communities(labels).collect()}
+    assert got == {r[1]: i for i, r in enumerate(rows)}
+
+
+def test_views_settle_by_themselves(spark, user_graph):
+    graph, left, right = two_cliques(user_graph)
+    twice = type(graph)(
+        graph.edges.unionByName(graph.edges.selectExpr("'other' AS view", *[c for c in graph.edges.columns if c != "view"]).where("a <> 'a4' OR b <> 'b0'")),
+        graph.nodes.unionByName(graph.nodes.selectExpr("'other' AS view", *[c for c in graph.nodes.columns if c != "view"])), None)
+    by_view = {}
+    for row in C.louvain(twice).collect():
+        by_view.setdefault(row.view, {})[row.user_id] = row.raw
+    assert len(by_view) == 2
+    for labels in by_view.values():
+        assert len({labels[u] for u in left}) == 1 and len({labels[u] for u in right}) == 1 and len(set(labels.values())) == 3
