@@ -139,9 +139,9 @@ def transaction_overlaps(users: DataFrame, transactions: DataFrame) -> DataFrame
 
 
 def whitelist_guard(columns: DataFrame) -> DataFrame:
-    """Label columns among the allowed features; ``columns`` is (name)."""
-    hits = columns.where(F.col("name").isin(*S.FORBIDDEN_FEATURES)).select("name").distinct()
-    return finding(hits.withColumn("n", F.lit(1)), "leakage", "whitelist_guard", "error", F.col("name"), "label column in the whitelist")
+    """Label columns among the allowed features; ``columns`` is (name) or (name, rows read)."""
+    hits = _counted(columns.where(F.col("name").isin(*S.FORBIDDEN_FEATURES))).groupBy("name").agg(F.max("n").alias("n"))
+    return finding(hits, "leakage", "whitelist_guard", "error", F.col("name"), "label column in the whitelist")
 
 
 def leakage_checks(users: DataFrame, transactions: DataFrame, devices: DataFrame, ips: DataFrame,
@@ -160,19 +160,33 @@ def leakage_checks(users: DataFrame, transactions: DataFrame, devices: DataFrame
 
 
 def column_names(df: DataFrame) -> DataFrame:
-    """The column names of ``df`` as a one-column table."""
-    return df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
+    """``(name, rows)``: the columns of ``df`` with the number of rows read."""
+    names = F.array(*[F.lit(c) for c in df.columns])
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(names).alias("name"), "rows")
+
+
+def _counted(columns: DataFrame) -> DataFrame:
+    """Add ``n``, the rows a column holds; a name alone, or one of an empty table, counts once."""
+    return columns.withColumn("n", F.greatest(F.col("rows"), F.lit(1)) if "rows" in columns.columns else F.lit(1))
+
+
+def missing_splits(table: DataFrame, expected: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """Splits without any feature row."""
+    seen = table.agg(F.collect_set("split").alias("seen"))  # at most one entry per split
+    lacking = F.array_except(F.array(*[F.lit(s) for s in expected]), "seen")
+    rows = seen.select(F.explode(lacking).alias("split")).withColumn("n", F.lit(1))
+    return finding(rows, "feature_leakage", "feature_table_exists", "error", F.col("split"), "feature table missing")
 
 
 def feature_name_audit(columns: DataFrame) -> DataFrame:
     """Label columns and names with a label-like token, matched on whole tokens."""
-    features = columns.where(~F.col("name").isin("user_id", "label"))
+    features = _counted(columns.where(~F.col("name").isin("user_id", "label")))
     tokens = F.split(F.lower("name"), r"[_\W]+")
     listed = F.array(*[F.lit(t) for t in S.SUSPICIOUS_TOKENS])
     return combine([
-        finding(features.where(F.col("name").isin(*S.FORBIDDEN_FEATURES)).withColumn("n", F.lit(1)),
+        finding(features.where(F.col("name").isin(*S.FORBIDDEN_FEATURES)),
                 "feature_leakage", "explicit_label", "error", F.col("name"), "label column"),
-        finding(features.where(F.arrays_overlap(tokens, listed)).withColumn("n", F.lit(1)),
+        finding(features.where(F.arrays_overlap(tokens, listed)),
                 "feature_leakage", "suspicious_name", "error", F.col("name"), "name suggests a label"),
     ])
 

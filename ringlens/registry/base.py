@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ringlens.session import configure
 from ringlens.sources import star
@@ -34,6 +35,9 @@ def sql(query: str) -> str:
     return (f"WITH RECURSIVE {', '.join(steps)} " if steps else "") + query
 
 
+_STAGES: dict[tuple, object] = {}
+
+
 class Data:
     """The derived tables of one folder; each is planned once per query."""
 
@@ -52,6 +56,18 @@ class Data:
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in star.TABLE_BUILDERS}
 
+    def once(self, stage: str, build: Callable[[], object]) -> object:
+        """The stored result of an earlier stage (feature files, model, communities) that several queries follow.
+
+        It is built anew for another session or folder, and whenever an input file has changed.
+        """
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.folder)
+        state = files.agg(F.max("modificationTime"), F.sum("length"), F.count(F.lit(1))).first()
+        key = (self.spark.sparkContext.applicationId, self.folder, stage, *state)
+        if key not in _STAGES:
+            _STAGES[key] = build()
+        return _STAGES[key]
+
     @property
     def scored(self) -> DataFrame:
         return star.scored_users(self.spark, self.folder)

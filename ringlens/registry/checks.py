@@ -9,6 +9,7 @@ from ringlens.operators import distribution as X
 from ringlens.operators import graph_checks as GC
 from ringlens.operators import splits as SP
 from ringlens.operators import typed_graph as G
+from ringlens.plans import validation
 from ringlens.registry.base import REGISTRY, cte
 from ringlens.registry.graph import split_graph
 
@@ -48,6 +49,9 @@ add("spl_03_split_users", lambda d: SP.split_tables(d.users, d.transactions, "va
 add("spl_03_split_transactions", lambda d: SP.split_tables(d.users, d.transactions, "val")[1].select("transaction_id", "user_id"),
     "SELECT transaction_id, user_id FROM txns JOIN users USING (user_id) WHERE split = 'val'")
 add("spl_04_split_manifest", lambda d: SP.split_manifest(d.users, d.transactions), _MANIFEST.format(split="split"))
+add("spl_04_rings_spanning_splits", lambda d: SP.rings_spanning_splits(d.users.withColumn("split", F.expr("if(city = 'CITY_3', 'test', split)"))),
+    """SELECT ring_id, count(DISTINCT CASE WHEN city = 'CITY_3' THEN 'test' ELSE split END) AS splits FROM users
+       WHERE is_abuse_account AND ring_id <> '' GROUP BY ring_id HAVING splits > 1""")
 add("spl_05_split_identity", lambda d: SP.split_identity(d.users), "SELECT split, user_id, is_abuse_account::INT AS label FROM users")
 add("spl_05_split_identity_summary", lambda d: SP.split_identity_summary(d.users),
     "SELECT split, count(*) AS users, count(*) FILTER (is_abuse_account) AS positives FROM users GROUP BY split")
@@ -238,18 +242,26 @@ add("val_22_categorical_leakage",
 _NAMES = "SELECT unnest([{}]) AS name"
 _USER_NAMES = _NAMES.format(", ".join(f"'{c}'" for c in _USER_COLUMNS))
 _FORBIDDEN = ", ".join(f"'{c}'" for c in S.FORBIDDEN_FEATURES)
-add("val_23_whitelist_guard", lambda d: X.whitelist_guard(X.column_names(d.users)).select("check", "subject"),
-    f"""SELECT 'whitelist_guard' AS "check", name AS subject FROM ({_USER_NAMES}) WHERE name IN ({_FORBIDDEN})""")
+add("val_23_whitelist_guard", lambda d: X.whitelist_guard(X.column_names(d.users)).select("check", "subject", "n"),
+    f"""SELECT 'whitelist_guard' AS "check", name AS subject, (SELECT count(*) FROM users) AS n FROM ({_USER_NAMES}) WHERE name IN ({_FORBIDDEN})""")
 cte("txn_long", """SELECT abuse, 'amount' AS feature, amount AS value, 30 AS bins FROM labelled
   UNION ALL SELECT abuse, 'hour', hour(ts)::DOUBLE, 24 FROM labelled""")
 _overlap_sql("txn_overlap", "txn_long", "bins")
 add("val_24_transaction_overlaps", lambda d: X.transaction_overlaps(d.users, d.transactions).withColumn("overlap", F.round("overlap", 8)),
     "SELECT feature, round(overlap, 8) AS overlap FROM txn_overlap")
 _TOKENS = ", ".join(f"'{t}'" for t in S.SUSPICIOUS_TOKENS)
-add("val_25_feature_name_audit", lambda d: X.feature_name_audit(X.column_names(d.users)).select("check", "subject"),
-    f"""SELECT 'explicit_label' AS "check", name AS subject FROM ({_USER_NAMES}) WHERE name IN ({_FORBIDDEN})
+add("val_25_feature_name_audit", lambda d: X.feature_name_audit(X.column_names(d.users)).select("check", "subject", "n"),
+    f"""SELECT "check", subject, (SELECT count(*) FROM users) AS n FROM (SELECT 'explicit_label' AS "check", name AS subject FROM ({_USER_NAMES}) WHERE name IN ({_FORBIDDEN})
        UNION ALL SELECT 'suspicious_name', name FROM ({_USER_NAMES}) WHERE name <> 'user_id'
-         AND len(list_intersect(regexp_split_to_array(lower(name), '[_\\W]+'), [{_TOKENS}])) > 0""")
+         AND len(list_intersect(regexp_split_to_array(lower(name), '[_\\W]+'), [{_TOKENS}])) > 0)""")
+add("val_24_account_separability",
+    lambda d: X.low_overlap(X.overlap(X.account_values(B.account_features(d.users, d.transactions), X.SEPARABILITY_COLUMNS)), "leakage", "account_feature_separability")
+    .select("check", "subject"),
+    f"""SELECT 'account_feature_separability' AS "check", feature AS subject FROM account_overlap WHERE overlap < {X.OVERLAP_FLOOR}
+       AND feature IN ({', '.join(f"'{c}'" for c in X.SEPARABILITY_COLUMNS)})""")
+findings_query("val_25_missing_feature_table", lambda d: X.missing_splits(d.users.where("split <> 'val'")),
+               ("feature_table_exists", "error", "(s)", """SELECT s, 1 AS n FROM (SELECT unnest(['train', 'val', 'test']) AS s)
+                 WHERE s NOT IN (SELECT split FROM users WHERE split <> 'val')"""))
 findings_query("val_25_label_is_binary",
                lambda d: X.label_is_binary(d.users.selectExpr("if(user_segment = 'student', 2, cast(is_abuse_account AS int)) AS label")),
                ("label_binary", "error", "label", "SELECT count(*) AS n FROM users WHERE user_segment = 'student'"))
@@ -306,31 +318,6 @@ findings_query(
         JOIN (SELECT user_id, count(*) AS total FROM txns WHERE transaction_status = 'success' AND amount > 400000 GROUP BY user_id) USING (user_id)
         WHERE recent_transaction_count_{w}d > total""") for w in (1, 7, 30)])
 
-_QUALITY = ("transaction_count", "average_transaction_amount", "promo_usage_rate", "unique_device_count", "unique_address_count",
-            "night_activity_rate", "recent_transaction_count_30d", "recent_unique_entity_count_30d", "account_age_days")
-
-
-def _quality(d):
-    features = B.behavioural_features(d.users, d.transactions, d.devices).join(d.users.select("user_id", "split"), "user_id")
-    return X.feature_quality(features, _QUALITY)
-
-
-cte("quality_long", " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, split, coalesce({c}, 0)::DOUBLE AS value FROM behaviour JOIN users USING (user_id)" for c in _QUALITY))
-cte("quality", """SELECT feature, split, 0.0::DOUBLE AS missing_rate, count(DISTINCT value) AS unique_count, min(value) AS min, max(value) AS max,
-  avg(value) AS mean, median(value) AS median, stddev_pop(value) AS std,
-  (SELECT max(c) FROM (SELECT count(*) AS c FROM quality_long i WHERE i.feature = q.feature AND i.split = q.split GROUP BY i.value)) / count(*) AS top_share
-  FROM quality_long q GROUP BY feature, split""")
-add("val_32_feature_quality",
-    lambda d: _quality(d).select("feature", "split", "unique_count", *[F.round(c, 5).alias(c) for c in ("missing_rate", "min", "max", "mean", "median", "std", "top_share")]),
-    "SELECT feature, split, unique_count, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("missing_rate", "min", "max", "mean", "median", "std", "top_share")) + " FROM quality")
-add("val_32_feature_flags", lambda d: X.feature_flags(_quality(d)),
-    """SELECT feature, CASE WHEN unique_count <= 1 THEN 'constant' ELSE 'near_constant' END AS flag FROM quality
-       WHERE split = 'train' AND (unique_count <= 1 OR (unique_count <= 2 AND top_share > 0.99))
-       UNION ALL SELECT feature, 'distribution_shift' FROM quality a JOIN quality b USING (feature)
-       WHERE a.split = 'train' AND b.split = 'test' AND a.std > 1e-9 AND abs(a.mean - b.mean) / a.std > 1""")
-
-
 def _all_findings(d):
     t = damaged(d)
     return D.combine([D.integrity(t, START, END), D.labels(t["users"], t["transactions"]), D.splits(t["users"])])
@@ -347,3 +334,10 @@ add("val_33_summary", lambda d: D.summarize(_all_findings(d)),
 add("val_33_overall", lambda d: D.overall(_all_findings(d)),
     f"""SELECT count(*) FILTER (severity = 'error') AS total_errors, count(*) FILTER (severity = 'warning') AS total_warnings,
         count(*) FILTER (severity = 'error') = 0 AS ok FROM ({_EVERYTHING})""")
+
+
+def _validated(d):
+    return D.summarize(validation.validate_data(damaged(d), START, END))
+
+
+add("val_33_all_modules", _validated)

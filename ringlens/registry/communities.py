@@ -9,6 +9,7 @@ from ringlens.operators import projection as P
 from ringlens.operators import summaries as M
 from ringlens.registry.base import REGISTRY, cte
 from ringlens.registry.graph import whole_graph
+from ringlens.session import cut_lineage
 
 add = REGISTRY.add
 
@@ -18,8 +19,43 @@ def _louvain(d):
     return graph, C.louvain(graph)
 
 
+def detected(d):
+    """The whole user graph, its communities and their features."""
+
+    def build():
+        graph, labels = _louvain(d)
+        labels = cut_lineage(labels)
+        return graph, labels, cut_lineage(C.community_features(labels, graph))
+
+    return d.once("communities", build)
+
+
+def _properties(d):
+    """Errors against what holds for any right assignment: members, inner edges and numbers counted anew."""
+    graph, labels, features = detected(d)
+    table = features.groupBy("community_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("community_size").alias("size"), F.max("community_edge_count").alias("edges"), F.max("community_density").alias("density"))
+    ends = labels.selectExpr("user_id AS a", "raw AS ra"), labels.selectExpr("user_id AS b", "raw AS rb")
+    inside = graph.edges.join(ends[0], "a").join(ends[1], "b").where("ra = rb").agg(F.count(F.lit(1)).alias("inside"))
+    levels = C.modularity(graph, graph.nodes.selectExpr("view", "user_id", "user_id AS raw")).agg(F.min("modularity").alias("alone"))
+    found = C.modularity(graph, labels).agg(F.min("modularity").alias("reached"))
+    sums = table.agg(
+        F.sum("n").alias("users"), F.count(F.lit(1)).alias("communities"), F.max("community_id").alias("last"), F.sum("edges").alias("edges"),
+        F.expr("count_if(n <> size)").alias("sizes"),
+        F.expr("count_if(size > 1 AND abs(density - 2 * edges / (cast(size AS double) * (size - 1))) > 1e-7)").alias("densities"))
+    return graph.nodes.agg(F.count(F.lit(1)).alias("nodes")).select(F.struct("nodes").alias("g")).join(F.broadcast(sums), F.lit(True)).join(
+        F.broadcast(inside), F.lit(True)).join(F.broadcast(levels), F.lit(True)).join(F.broadcast(found), F.lit(True)).selectExpr(
+        "users", "sizes AS wrong_sizes", "densities AS wrong_densities", "edges - inside AS wrong_edges", "last + 1 - communities AS wrong_numbers",
+        "g.nodes - users AS missing_users", "reached > alone AS better_than_single")  # every side is one row
+
+
 add("com_01_communities", lambda d: _louvain(d)[1])
 add("com_01_modularity", lambda d: C.modularity(*_louvain(d)))
+add("com_02_community_properties", _properties,
+    """SELECT count(*) AS users, 0 AS wrong_sizes, 0 AS wrong_densities, 0 AS wrong_edges, 0 AS wrong_numbers, 0 AS missing_users,
+       true AS better_than_single FROM g_nodes""")
+add("com_03_detected_communities", lambda d: detected(d)[2].drop("view"))
+add("com_05_detected_overview", lambda d: M.community_overview(M.community_table(detected(d)[2], d.users)))
 
 
 def assigned(d):
@@ -55,6 +91,9 @@ add("com_05_largest", lambda d: M.largest_communities(_table(d)),
     """SELECT community_id, size, round(density, 6) AS density, round(abuse_share, 4) AS abuse_share FROM com_table ORDER BY size DESC, community_id LIMIT 10""")
 add("sum_14_legitimate_communities", lambda d: M.legitimate_communities(_table(d), 5, 60, 0.2).select("community_id", "size"),
     "SELECT community_id, size FROM com_table WHERE size BETWEEN 5 AND 60 AND abuse_share < 0.2")
+add("sum_14_mid_sized_legitimate_communities", lambda d: M.legitimate_communities(_table(d)).select("community_id", "size"),
+    "SELECT community_id, size FROM com_table WHERE size BETWEEN 15 AND 60 AND abuse_share < 0.05")
+add("inv_09_detected_context", lambda d: (lambda graph, _, features: V.community_context(features, graph.edges))(*detected(d)))
 add("sum_11_community_sizes", lambda d: M.value_histogram(_table(d), "size"), "SELECT size AS value, count(*) AS rows FROM com_table GROUP BY 1")
 
 

@@ -158,24 +158,6 @@ def _features(d):
     return B.behavioural_features(d.users, d.transactions, d.devices)
 
 
-_CF = ("promo_usage_rate", "transaction_frequency", "night_activity_rate")
-cte("cf_long", " UNION ALL ".join(f"SELECT user_id, split, '{c}' AS feature, coalesce({c}, 0)::DOUBLE AS value FROM behaviour JOIN users USING (user_id)" for c in _CF))
-cte("cf_stats", """SELECT feature, quantile_cont(value, 0.25) AS p25, median(value) AS median, quantile_cont(value, 0.75) AS p75 FROM cf_long
-  WHERE split = 'train' GROUP BY feature""")
-
-
-def _stats(d):
-    train = _features(d).join(d.users.where("split = 'train'").select("user_id"), "user_id", "left_semi")
-    return X.training_statistics(train, _CF)
-
-
-add("ex_05_training_statistics", lambda d: _stats(d).select("feature", *[F.round(c, 8).alias(c) for c in ("p25", "median", "p75")]),
-    "SELECT feature, round(p25, 8) AS p25, round(median, 8) AS median, round(p75, 8) AS p75 FROM cf_stats")
-add("ex_06_counterfactual_values",
-    lambda d: X.counterfactual_values(_features(d), _stats(d), _CF).select(
-        "user_id", "feature", F.round("original_value", 8).alias("original_value"), F.round("counterfactual_value", 8).alias("counterfactual_value")),
-    """SELECT user_id, feature, round(value, 8) AS original_value, round(cf, 8) AS counterfactual_value FROM (
-       SELECT user_id, feature, value, CASE WHEN value > median THEN median ELSE p75 END AS cf FROM cf_long JOIN cf_stats USING (feature)) WHERE abs(cf - value) >= 1e-9""")
 cte("statements", """SELECT user_id, list_filter([
   CASE WHEN transaction_frequency > 2 THEN 'High transaction frequency (' || printf('%.1f', transaction_frequency) || ' per day).'
        WHEN transaction_frequency > 0.5 THEN 'Moderate transaction frequency (' || printf('%.1f', transaction_frequency) || ' per day).' END,

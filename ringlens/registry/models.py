@@ -5,19 +5,21 @@ from pyspark.sql import functions as F
 from ringlens import schema as S
 from ringlens.operators import attribution as A
 from ringlens.operators import centrality as C
+from ringlens.operators import data_checks as DC
+from ringlens.operators import distribution as DI
+from ringlens.operators import evidence as V
 from ringlens.operators import explain as X
 from ringlens.operators import models as M
 from ringlens.operators import projection as P
 from ringlens.operators import thresholds as TH
 from ringlens.operators import typed_graph as G
-from ringlens.plans import experiment, features, investigation
+from ringlens.plans import experiment, features, investigation, validation
 from ringlens.registry.base import REGISTRY, cte
-from ringlens.registry.communities import assigned
+from ringlens.registry.communities import detected
 from ringlens.session import shared_folder
 from ringlens.sources import tables as IO
 
 add = REGISTRY.add
-ROUNDS = 15
 
 # --- Sources and sinks ------------------------------------------------------------------
 
@@ -33,12 +35,13 @@ _TXN = ("transaction_id", "user_id", "amount", "merchant_id", "payment_instrumen
 add("src_01_load_transactions",
     lambda d: _csv(d)[0]["transactions"].select(*_TXN, "promo_id", F.unix_seconds("timestamp").alias("seconds")),
     f"SELECT {', '.join(_TXN)}, coalesce(promo_id, '') AS promo_id, epoch(ts)::BIGINT AS seconds FROM txns")
-add("src_01_load_users", lambda d: _csv(d)[0]["users"].select("user_id", "user_segment", "is_abuse_account", "ring_id", "ring_type", "estimated_abuse_value", "split"),
-    "SELECT user_id, user_segment, is_abuse_account, ring_id, ring_type, estimated_abuse_value, split FROM users")
+_USER = [c for c in S.TABLES["users"].fieldNames() if c not in ("account_created_at", "group_id", "group_type")]
+add("src_01_load_users", lambda d: _csv(d)[0]["users"].select(*_USER, "group_id", "group_type", F.date_format("account_created_at", "yyyy-MM-dd").alias("created")),
+    f"SELECT {', '.join(_USER)}, nullif(group_id, '') AS group_id, nullif(group_type, '') AS group_type, strftime(account_created_at, '%Y-%m-%d') AS created FROM users")
 add("snk_01_write_tables", lambda d: _csv(d)[1],
     " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {'txns' if t == 'transactions' else t}" for t in S.TABLES))
-add("snk_04_dataset_manifest", lambda d: IO.dataset_manifest({k: d.tables[k] for k in ("users", "merchants")}).withColumn("columns", F.array_join("columns", ",")),
-    " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows, '{','.join(S.TABLES[t].fieldNames())}' AS columns FROM {t}" for t in ("users", "merchants")))
+add("snk_04_dataset_manifest", lambda d: IO.dataset_manifest(d.tables).withColumn("columns", F.array_join("columns", ",")),
+    " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows, '{','.join(S.TABLES[t].fieldNames())}' AS columns FROM {'txns' if t == 'transactions' else t}" for t in S.TABLES))
 
 
 def _saved_graph(d):
@@ -53,32 +56,38 @@ add("src_03_reloaded_nodes", lambda d: _saved_graph(d)[0], "SELECT * FROM all_no
 
 # --- Feature tables ------------------------------------------------------------------------
 
-_STORES: dict[tuple[str, str], tuple[str, list]] = {}
-
 
 def _store(d):
-    """Feature files of this folder, written once per session like the job that precedes training."""
-    key = (d.spark.sparkContext.applicationId, d.folder)
-    if key not in _STORES:
+    """Feature files, written once like the job that precedes training."""
+
+    def build():
         folder = shared_folder(d.spark)
         shapes = IO.write_features(features.build_split_features(d.tables, betweenness_pivots=250), folder)
-        _STORES[key] = folder, shapes.collect()
-    return _STORES[key]
+        return folder, shapes.collect()
+
+    return d.once("features", build)
 
 
 def feature_table(d, variant="graph", split=None):
     return IO.load_features(d.spark, _store(d)[0], variant, split)
 
 
-_EXACT = S.BASELINE_FEATURES[5:11] + S.FEATURE_GROUPS["direct"]
 add("gf_28_user_graph_features",
     lambda d: (lambda t, g: (lambda stored: features.user_graph_features(t, stored, betweenness_sources=C.pivots(stored.nodes, 16)))(g.stored()).select("user_id", *S.FEATURE_GROUPS["direct"], "two_hop_user_count"))(
         P.single_view(d.transactions), P.project_users(P.single_view(d.transactions))),
     f"SELECT d.*, coalesce(two_hop_user_count, 0) AS two_hop_user_count FROM direct d LEFT JOIN g_reach USING (user_id)")
-add("gf_29_split_features", lambda d: feature_table(d).select("user_id", "split", "label", *_EXACT, *S.FEATURE_GROUPS["two_hop"], "number_of_user_neighbors"),
-    f"""SELECT user_id, split, is_abuse_account::INT AS label, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in _EXACT + S.FEATURE_GROUPS['two_hop'])},
-        coalesce(number_of_user_neighbors, 0) AS number_of_user_neighbors
-        FROM users LEFT JOIN behaviour USING (user_id) LEFT JOIN direct USING (user_id) LEFT JOIN s_features USING (user_id)""")
+# All features but betweenness and communities, which are checked by themselves.
+_CHECKED = tuple(n for n in S.MODEL_FEATURES["graph"] if n not in ("betweenness_centrality", *S.FEATURE_GROUPS["community"]))
+cte("feature_table", f"""SELECT user_id, split, is_abuse_account::INT AS label, {', '.join(f'round(coalesce({c}, 0)::DOUBLE, 6) AS {c}' for c in _CHECKED)}
+  FROM users LEFT JOIN behaviour USING (user_id) LEFT JOIN direct USING (user_id) LEFT JOIN s_features USING (user_id) LEFT JOIN s_degrees USING (user_id)""")
+
+
+def _rounded(table):
+    return table.select("user_id", "split", "label", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in _CHECKED])
+
+
+add("gf_29_split_features", lambda d: _rounded(feature_table(d)), "SELECT * FROM feature_table")
+add("gf_29_all_features", lambda d: feature_table(d))
 add("snk_02_feature_files", lambda d: d.spark.createDataFrame(_store(d)[1], "variant string, split string, rows bigint, columns int"),
     """SELECT variant, split, count(*) AS rows, columns FROM users, (VALUES ('baseline', 25), ('graph', 52)) v(variant, columns) GROUP BY ALL""")
 add("src_02_one_split", lambda d: feature_table(d, "baseline", "val").select("user_id", "split", "label", F.col("transaction_count").cast("bigint").alias("transaction_count")),
@@ -90,8 +99,8 @@ add("snk_05_report", lambda d: d.spark.read.json(IO.write_report(TH.at_threshold
 # --- Models ----------------------------------------------------------------------------------
 
 BASE = S.MODEL_FEATURES["baseline"]
-add("ml_01_group_features", lambda d: M.select_features(feature_table(d), M.group_features(("direct",))).select("user_id", *S.FEATURE_GROUPS["direct"]),
-    "SELECT user_id, " + ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in S.FEATURE_GROUPS["direct"]) + " FROM users LEFT JOIN direct USING (user_id)")
+_GROUP = M.group_features(("direct",))
+add("ml_01_group_features", lambda d: _rounded(feature_table(d)).select("user_id", "label", *_GROUP), f"SELECT user_id, label, {', '.join(_GROUP)} FROM feature_table")
 add("ml_02_audited_matrix", lambda d: M.audited(feature_table(d, "baseline"), BASE))
 add("ml_03_class_weights", lambda d: M.class_weights(feature_table(d, "baseline", "train")).select("n_pos", "n_neg", F.round("scale_pos_weight", 8).alias("scale_pos_weight")),
     """SELECT count(*) FILTER (is_abuse_account) AS n_pos, count(*) FILTER (NOT is_abuse_account) AS n_neg,
@@ -99,7 +108,8 @@ add("ml_03_class_weights", lambda d: M.class_weights(feature_table(d, "baseline"
 
 
 def _boosted(d, **options):
-    return M.train_boosted(feature_table(d, "baseline", "train"), BASE, rounds=ROUNDS, **options)
+    name = "early stopping" if options else "baseline model"
+    return d.once(name, lambda: M.train_boosted(feature_table(d, "baseline", "train"), BASE, **options))
 
 
 def _scores(model, d):
@@ -110,30 +120,60 @@ add("ml_04_logistic_scores", lambda d: _scores(M.train_logistic(feature_table(d,
 add("ml_05_boosted_scores", lambda d: _scores(_boosted(d), d))
 add("ml_06_early_stopping", lambda d: _scores(_boosted(d, validation=feature_table(d, "baseline", "val").select("user_id", *BASE, "label", "split")), d))
 add("ml_07_scores_reloaded", lambda d: (lambda path: (M.save_model(_boosted(d), path), _scores(M.load_model(path), d))[1])(shared_folder(d.spark)))
-add("ml_08_importance", lambda d: M.importance(_boosted(d), BASE))
-add("ml_09_ablation", lambda d: experiment.ablation(feature_table(d), rounds=5))
-add("ml_10_experiment", lambda d: experiment.compare(experiment.score_all(experiment.train_all(feature_table(d), rounds=ROUNDS), feature_table(d))))
+add("ml_08_importance", lambda d: (lambda model: DC.combine([
+    M.importance(model, BASE, method=m).withColumn("method", F.lit(m)) for m in ("gain", "weight", "cover")]))(_boosted(d)))
+add("ml_09_ablation", lambda d: experiment.ablation(feature_table(d)))
+add("ml_10_experiment", lambda d: experiment.compare(experiment.score_all(experiment.train_all(feature_table(d)), feature_table(d))))
 
 # --- Explanations with a real model ------------------------------------------------------------
 
 
+FULL = S.MODEL_FEATURES["graph"]
+
+
+def _full_model(d):
+    return d.once("model", lambda: M.train_boosted(feature_table(d, split="train"), FULL))
+
+
 def _attributions(d):
-    return A.attributions(_boosted(d), feature_table(d, "baseline"), BASE)
+    return A.attributions(_full_model(d), feature_table(d), FULL)
+
+
+def _additivity(d):
+    """What a user's attributions and the base lack to the log-odds of the score."""
+    model = _full_model(d)
+    base = A.base_value(A.leaves(model))
+    sums = A.attributions(model, feature_table(d), FULL).groupBy("user_id").agg(F.sum("attribution").alias("total"))
+    return sums.join(M.score(model, feature_table(d)).select("user_id", "prob"), "user_id").select(
+        "user_id", (F.abs(F.col("total") + base - F.expr("ln(prob / (1 - prob))")) < 1e-4).alias("adds_up"))
 
 
 add("ex_01_attributions", _attributions)
+add("ex_01_additivity", _additivity, "SELECT user_id, true AS adds_up FROM users")
 add("ex_02_attribution_summary", lambda d: X.attribution_summary(_attributions(d)))
 add("ex_03_dependence", lambda d: X.dependence(_attributions(d), "average_transaction_amount"))
 add("ex_04_top_attributions", lambda d: X.top_attributions(_attributions(d)))
 add("ex_06_counterfactual_scores", lambda d: (lambda m: X.counterfactuals(
-    feature_table(d, "baseline"), X.training_statistics(feature_table(d, "baseline", "train"), ("promo_usage_rate", "transaction_frequency", "night_activity_rate")),
-    lambda rows: M.score(m, rows), ("promo_usage_rate", "transaction_frequency", "night_activity_rate")))(_boosted(d)))
+    feature_table(d), X.training_statistics(feature_table(d, split="train"), S.COUNTERFACTUAL_FEATURES), lambda rows: M.score(m, rows)))(_full_model(d)))
+
+_CF = tuple(c for c in S.COUNTERFACTUAL_FEATURES if c in _CHECKED)
+cte("cf_long", " UNION ALL ".join(f"SELECT user_id, split, '{c}' AS feature, {c} AS value FROM feature_table" for c in _CF))
+cte("cf_stats", """SELECT feature, quantile_cont(value, 0.25) AS p25, median(value) AS median, quantile_cont(value, 0.75) AS p75 FROM cf_long
+  WHERE split = 'train' GROUP BY feature""")
+add("ex_05_training_statistics", lambda d: X.training_statistics(_rounded(feature_table(d, split="train")), _CF).select(
+    "feature", *[F.round(c, 8).alias(c) for c in ("p25", "median", "p75")]),
+    "SELECT feature, round(p25, 8) AS p25, round(median, 8) AS median, round(p75, 8) AS p75 FROM cf_stats")
+add("ex_06_counterfactual_values",
+    lambda d: X.counterfactual_values(_rounded(feature_table(d)), X.training_statistics(_rounded(feature_table(d, split="train")), _CF), _CF).select(
+        "user_id", "feature", F.round("original_value", 8).alias("original_value"), F.round("counterfactual_value", 8).alias("counterfactual_value")),
+    """SELECT user_id, feature, round(value, 8) AS original_value, round(cf, 8) AS counterfactual_value FROM (
+       SELECT user_id, feature, value, CASE WHEN value > median THEN median ELSE p75 END AS cf FROM cf_long JOIN cf_stats USING (feature)) WHERE abs(cf - value) >= 1e-9""")
 
 
 def _investigated(d):
-    graph, _, communities = assigned(d)
+    graph, _, communities = detected(d)
     return investigation.investigate(
-        feature_table(d, "baseline"), feature_table(d, "baseline", "train"), d.transactions, graph, communities, _boosted(d), BASE)
+        feature_table(d), feature_table(d, split="train"), d.transactions, graph, communities, _full_model(d), FULL)
 
 
 add("inv_10_records", lambda d: _investigated(d)["record"])
@@ -142,10 +182,50 @@ add("rsk_04_assessments", lambda d: investigation.assess(_investigated(d)["recor
 
 def _audit(d):
     parts = _investigated(d)
-    return X.audit(parts["factors"], parts["held"], parts["paths"], parts["counterfactuals"], parts["scores"], parts["edges"], parts["record"], BASE)
+    return X.audit(parts["factors"], parts["held"], parts["paths"], parts["counterfactuals"], parts["scores"], parts["edges"], parts["record"], FULL)
 
 
 add("ex_08_audit", _audit, " UNION ALL ".join(
     f"""SELECT '{c}' AS "check", 0 AS errors""" for c in (
         "features_exist", "attributions_nontrivial", "graph_evidence_exists", "paths_exist", "no_labels_in_output", "counterfactual_validity")))
 add("inv_14_why_factors", lambda d: X.why_factors(X.top_attributions(_attributions(d))))
+
+
+def _why_this_user(d):
+    """All lines of the answer: links, statements, factors, community."""
+    graph, _, communities = detected(d)
+    features, held = feature_table(d), V.entities(G.user_entity_edges(d.transactions))
+    parts = (
+        X.why_links(held, V.related_accounts(graph.edges)), X.why_statements(X.behavioural_summary(features)),
+        X.why_factors(X.top_attributions(_attributions(d))), X.why_community(V.community_context(communities, graph.edges)),
+    )
+    return DC.combine([p.select("user_id", "rank", "title", "strength", "detail") for p in parts])
+
+
+add("inv_14_why_this_user", _why_this_user)
+
+# --- Quality of the feature tables ---------------------------------------------------------------
+
+
+def _quality(d):
+    return DI.feature_quality(_rounded(feature_table(d)), _CHECKED)
+
+
+cte("quality_long", " UNION ALL ".join(f"SELECT '{c}' AS feature, split, {c} AS value FROM feature_table" for c in _CHECKED))
+cte("quality", """SELECT feature, split, 0.0::DOUBLE AS missing_rate, count(DISTINCT value) AS unique_count, min(value) AS min, max(value) AS max,
+  avg(value) AS mean, median(value) AS median, stddev_pop(value) AS std, any_value(top) / count(*) AS top_share
+  FROM quality_long JOIN (SELECT feature, split, max(c) AS top FROM (SELECT feature, split, value, count(*) AS c FROM quality_long GROUP BY ALL) GROUP BY ALL)
+  USING (feature, split) GROUP BY feature, split""")
+_SHOWN = ("missing_rate", "min", "max", "mean", "median", "std", "top_share")
+add("val_32_feature_quality", lambda d: _quality(d).select("feature", "split", "unique_count", *[F.round(c, 5).alias(c) for c in _SHOWN]),
+    "SELECT feature, split, unique_count, " + ", ".join(f"round({c}, 5) AS {c}" for c in _SHOWN) + " FROM quality")
+add("val_32_feature_flags", lambda d: DI.feature_flags(_quality(d)),
+    """SELECT feature, CASE WHEN unique_count <= 1 THEN 'constant' ELSE 'near_constant' END AS flag FROM quality
+       WHERE split = 'train' AND (unique_count <= 1 OR (unique_count <= 2 AND top_share > 0.99))
+       UNION ALL SELECT feature, 'distribution_shift' FROM quality a JOIN quality b USING (feature)
+       WHERE a.split = 'train' AND b.split = 'test' AND a.std > 1e-9 AND abs(a.mean - b.mean) / a.std > 1""")
+add("val_25_feature_tables", lambda d: DI.feature_name_audit(DI.column_names(feature_table(d).drop("split"))).unionByName(
+    DI.label_is_binary(feature_table(d))).unionByName(DI.missing_splits(feature_table(d))).groupBy("check").agg(F.count(F.lit(1)).alias("findings")),
+    """SELECT 'feature_table_exists' AS "check", count(*) AS findings FROM (SELECT unnest(['train', 'val', 'test']) AS s)
+       WHERE s NOT IN (SELECT split FROM users) HAVING count(*) > 0""")
+add("val_33_graph_findings", lambda d: validation.validate_graph(d.tables, feature_table(d)).drop("context"))
