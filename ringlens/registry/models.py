@@ -78,12 +78,14 @@ add("gf_28_user_graph_features",
     f"SELECT d.*, coalesce(two_hop_user_count, 0) AS two_hop_user_count FROM direct d LEFT JOIN g_reach USING (user_id)")
 # All features but betweenness and communities, which are checked by themselves.
 _CHECKED = tuple(n for n in S.MODEL_FEATURES["graph"] if n not in ("betweenness_centrality", *S.FEATURE_GROUPS["community"]))
-cte("feature_table", f"""SELECT user_id, split, is_abuse_account::INT AS label, {', '.join(f'round(coalesce({c}, 0)::DOUBLE, 6) AS {c}' for c in _CHECKED)}
+# Days are multiples of a second: up to seven decimals, so only eight leave no halves to round.
+_DIGITS = {c: 8 if "days" in c else 6 for c in _CHECKED}
+cte("feature_table", f"""SELECT user_id, split, is_abuse_account::INT AS label, {', '.join(f'round(coalesce({c}, 0)::DOUBLE, {n}) AS {c}' for c, n in _DIGITS.items())}
   FROM users LEFT JOIN behaviour USING (user_id) LEFT JOIN direct USING (user_id) LEFT JOIN s_features USING (user_id) LEFT JOIN s_degrees USING (user_id)""")
 
 
 def _rounded(table):
-    return table.select("user_id", "split", "label", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in _CHECKED])
+    return table.select("user_id", "split", "label", *[F.round(F.col(c).cast("double"), n).alias(c) for c, n in _DIGITS.items()])
 
 
 add("gf_29_split_features", lambda d: _rounded(feature_table(d)), "SELECT * FROM feature_table")
@@ -216,9 +218,9 @@ cte("quality", """SELECT feature, split, 0.0::DOUBLE AS missing_rate, count(DIST
   avg(value) AS mean, median(value) AS median, stddev_pop(value) AS std, any_value(top) / count(*) AS top_share
   FROM quality_long JOIN (SELECT feature, split, max(c) AS top FROM (SELECT feature, split, value, count(*) AS c FROM quality_long GROUP BY ALL) GROUP BY ALL)
   USING (feature, split) GROUP BY feature, split""")
-_SHOWN = ("missing_rate", "min", "max", "mean", "median", "std", "top_share")
-add("val_32_feature_quality", lambda d: _quality(d).select("feature", "split", "unique_count", *[F.round(c, 5).alias(c) for c in _SHOWN]),
-    "SELECT feature, split, unique_count, " + ", ".join(f"round({c}, 5) AS {c}" for c in _SHOWN) + " FROM quality")
+_SHOWN = {"missing_rate": 5, "min": 9, "max": 9, "mean": 5, "median": 9, "std": 5, "top_share": 5}
+add("val_32_feature_quality", lambda d: _quality(d).select("feature", "split", "unique_count", *[F.round(c, n).alias(c) for c, n in _SHOWN.items()]),
+    "SELECT feature, split, unique_count, " + ", ".join(f"round({c}, {n}) AS {c}" for c, n in _SHOWN.items()) + " FROM quality")
 add("val_32_feature_flags", lambda d: DI.feature_flags(_quality(d)),
     """SELECT feature, CASE WHEN unique_count <= 1 THEN 'constant' ELSE 'near_constant' END AS flag FROM quality
        WHERE split = 'train' AND (unique_count <= 1 OR (unique_count <= 2 AND top_share > 0.99))
