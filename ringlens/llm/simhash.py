@@ -11,7 +11,8 @@ choices of three blocks (32 bits). Fingerprints are joined on those keys and ver
 bucket of more than ``BUCKET`` fingerprints (a cloud of near copies) is split further by the same rule applied to
 the bits not yet fixed, which fixes half of them each time; within a small bucket a spanning forest is
 kept, at most one link less than fingerprints, which connects exactly what all links connect.
-Document ids are below 2^62.
+Every distinct fingerprint is a node of its own, so documents that share an id, or have none, are linked by their
+texts alone.
 
 Null texts have fingerprint zero; null ids share their component's id but never give it one (null if no
 document of the component has an id). Extra columns are ignored; an empty table gives no rows.
@@ -26,7 +27,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ringlens.llm.components import components
 from ringlens.llm.exact_dedup import one_row_each
@@ -38,7 +39,6 @@ SEED = 42
 DISTANCE = 3
 BLOCKS = 6
 BUCKET = 64
-_NO_ID = 1 << 62
 
 
 def fingerprint(words: list[bytes]) -> int:
@@ -58,14 +58,22 @@ def fingerprint(words: list[bytes]) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, sha (of the text), fp (the fingerprint's 64 bits as a signed long)."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             values = [fingerprint((t or "").encode().lower().split()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                [batch.column("doc_id"), batch.column("sha"), pa.array(np.array(values, dtype=np.uint64).view(np.int64))],
+                names=["doc_id", "sha", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(of, "doc_id bigint, fp bigint")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint"), text_sha(text).alias("sha"), text.alias("text")) \
+        .mapInArrow(of, "doc_id bigint, sha string, fp bigint")
+
+
+def text_sha(text: Column) -> Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 def _choices(mask: int) -> list[int]:
@@ -137,25 +145,29 @@ def _bucket_links(keyed: DataFrame) -> DataFrame:
     return buckets.select("members").mapInArrow(of, "a bigint, b bigint")
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id: one row per document.
+def labelled_fingerprints(prints: DataFrame) -> DataFrame:
+    """fp, label (the smallest fingerprint of its component), head: one row per distinct fingerprint.
 
-    The node of a fingerprint is its smallest document id, so a component's label is its id. Fingerprints of
-    null ids alone get nodes above all ids; two of them can only be equal if they link anyway.
+    ``head`` is (no_id, doc_id, sha) of the fingerprint's document with the smallest id, and of its texts the smallest hash.
     """
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("head")
+    nodes = cut_lineage(prints.groupBy("fp").agg(head))
+    labels = components(near_links(nodes.select(F.col("fp").alias("node"), "fp")))  # nodes without links have no label
+    return cut_lineage(nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"), "head"))
+
+
+def simhash_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id: one row per document."""
     prints = cut_lineage(fingerprints(docs))
-    no_id = F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(_NO_ID))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("smallest")).select(
-        "fp", F.coalesce("smallest", no_id).alias("node")))
-    labels = components(near_links(nodes)).withColumnRenamed("node", "n")  # nodes without links have no label
-    label = F.coalesce("label", "node")
-    labelled = nodes.join(labels, F.col("node") == F.col("n"), "left").select("fp", F.when(label < _NO_ID, label).alias("component_id"))
+    nodes = labelled_fingerprints(prints.select("doc_id", F.lit("").alias("sha"), "fp"))
+    ids = cut_lineage(nodes.groupBy("label").agg(F.min("head.doc_id").alias("component_id")))
+    labelled = nodes.join(ids, "label").select("fp", "component_id")
     return prints.join(labelled, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component, that with the smallest id, with its columns."""
-    groups = simhash_groups(docs)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return one_row_each(docs, stays.withColumn("_sha", F.lit("")), F.lit(""))
+    """One row of each component, that with the smallest id (of its texts the smallest hash), with its columns."""
+    heads = labelled_fingerprints(cut_lineage(fingerprints(docs))).groupBy("label").agg(F.min("head").alias("head"))
+    stays = heads.select(F.col("head.doc_id").alias("_id"), F.col("head.sha").alias("_sha"))  # a text is in one component: no row twice
+    return one_row_each(docs, stays, text_sha(F.col("text").cast("string")))

@@ -194,3 +194,25 @@ def test_dropping_near_copies(documents, odd_rows):
     left = simhash.drop_near_copies(docs)
     groups = {c for _, _, c in brute_near(odd_rows)}
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(g for g in groups if g is not None)
+
+
+def test_one_row_of_each_near_component(documents):
+    """Null ids alone, and repeated ids with different texts, are still one row for each component."""
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+
+    rows = [(None, text(f"n{k}"), "en", "a") for k in range(5)] + [(None, text("n0"), "en", "b")]
+    rows += [(7, text("p"), "en", "a"), (7, text("q"), "en", "a"), (7, text("q"), "en", "a"), (8, text("q"), "en", "a"), (9, text("p"), "en", "a")]
+    docs = documents(rows)
+    left = simhash.drop_near_copies(docs).collect()
+    want = [(None, text(f"n{k}")) for k in range(5)] + [(7, text("p")), (7, text("q"))]
+    assert Counter((r.doc_id, r.text) for r in left) == Counter(want)
+    assert as_counter(simhash.simhash_groups(docs), "doc_id", "fingerprint", "component_id") == brute_near(rows)
+
+
+def test_repeated_ids_link_nothing(documents):
+    """Copies of two different texts that share their smallest id stay two components."""
+    rows = [(1, "a b c d e f", "en", "a"), (1, "u v w x y z", "en", "a"), (2, "a b c d e f", "en", "a"), (3, "u v w x y z", "en", "a"),
+            (4, "u v w x y z", "en", "a")]
+    left = simhash.drop_near_copies(documents(rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter({(1, "a b c d e f"): 1, (1, "u v w x y z"): 1})
