@@ -8,7 +8,7 @@ sketches of sources merge into those of languages and of all texts. The fences
 
     low = q25 - REACH * max(q75 - q25, least spread),  high = q75 + REACH * max(q75 - q25, least spread)
 
-come from the sketch of the source, of its language where the source has under ``ENOUGH`` texts of it, or of all
+(no spread is taken as less than the sketch can tell apart, twice ``ACCURACY`` of q75) come from the sketch of the source, of its language where the source has under ``ENOUGH`` texts of it, or of all
 texts where the language has too few. Texts outside a fence fail; so do those that fail the base rules
 (under 20 words, or over 30 % of the words repeated).
 
@@ -32,8 +32,8 @@ WINDOW = 8
 ACCURACY = 0.01
 REACH = 4.0
 ENOUGH = 200
-# measure, least spread, lower fence used, upper fence used
-MEASURES = (("word_length", 1.0, True, True), ("symbol_rate", 0.05, False, True),
+# measure, least spread, lower fence used, upper fence used; the rates are zero up to their upper quartile in most groups
+MEASURES = (("word_length", 0.0, True, True), ("symbol_rate", 0.05, False, True),
             ("repeat_rate", 0.07, False, True), ("dup_line_rate", 0.1, False, True))
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -122,7 +122,7 @@ def fences(sketch: DataFrame) -> DataFrame:
         F.min(F.when(F.col("upto") >= 0.75 * F.col("total"), value)).alias("q75"))
     columns = []
     for measure, least, use_low, use_high in MEASURES:
-        reach = REACH * F.greatest(F.col("q75") - F.col("q25"), F.lit(least))
+        reach = REACH * F.greatest(F.col("q75") - F.col("q25"), F.lit(least), 2 * ACCURACY * F.col("q75"))
         low = F.col("q25") - reach if use_low else F.lit(float("-inf"))
         high = F.col("q75") + reach if use_high else F.lit(float("inf"))
         columns.append(F.max(F.when(F.col("measure") == measure, F.struct("n", low.alias("low"), high.alias("high")))).alias(measure))

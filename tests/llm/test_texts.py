@@ -58,6 +58,20 @@ def test_fences_adapt(documents):
     assert quality.judged(documents(rows).where("false")).count() == 0
 
 
+def test_word_length_fence_follows_the_spread(documents):
+    """Words of 8 characters on average are usual where lengths vary, unusual where all texts have about 5."""
+    chance = random.Random(7)
+
+    def text(mean):
+        return " ".join("".join(chance.choice("abcdefgh") for _ in range(max(1, round(chance.gauss(mean, 1))))) for _ in range(80))
+
+    rows = [(i, text(5), "en", "narrow") for i in range(300)] + [(1000 + i, text(4 + i % 5), "en", "wide") for i in range(300)]
+    rows += [(5000, text(8), "en", "narrow"), (5001, text(8), "en", "wide")]
+    verdict = {r.doc_id: r.word_length_inside for r in quality.judged(documents(rows)).collect()}
+    assert not verdict[5000] and verdict[5001]
+    assert sum(not v for v in verdict.values()) == 1
+
+
 # --- Language --------------------------------------------------------------------
 
 def test_language_accuracy(spark):
