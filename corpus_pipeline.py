@@ -2,6 +2,10 @@
 
 Every stage takes the documents its predecessor kept and returns documents (the last one their ids); between stages
 the rows are written as Parquet in the shared folder and read again.
+
+All stages but the last return the columns they are given, whatever these are called. Null and empty texts go in the first
+stage; null ids and sources are values like others; rows repeated whole are copies, of which one stays; a table without
+rows stays one.
 """
 
 from __future__ import annotations
@@ -15,22 +19,22 @@ from ringlens.session import configure
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language; texts without a letter go."""
+    """Documents whose text is in a language; null texts and texts without a letter go, repeated rows stay."""
     return language.drop_unknown_language(docs)
 
 
 def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts, the document with the largest id; null ids lose, of repeated rows one stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies, the document with the smallest id (null ids last)."""
     return simhash.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it; the words delivered are those of op10 on the same rows."""
     return mixing.mixed_documents(docs)
 
 

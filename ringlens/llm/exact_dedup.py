@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringlens.llm.store import cut_lineage
+from ringlens.llm.store import cut_lineage, free_names
 
 KEY_BITS = 63
 BUCKET_BYTES = 64 << 20
@@ -173,8 +173,11 @@ def exact_groups(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int =
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    stays = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    """The rows of ``docs`` that stay, with their columns, whatever these are called: one row per text.
+
+    Null counts as an empty text, null ids lose against others, of repeated rows one stays; an empty table stays empty.
+    """
+    stays = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("sha"))
     return one_row_each(docs, stays, fingerprint=F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256))
 
 
@@ -184,13 +187,15 @@ def lower_ascii(text: Column) -> Column:
 
 
 def one_row_each(docs: DataFrame, stays: DataFrame, fingerprint: Column) -> DataFrame:
-    """One row of ``docs`` for each row (_id, _sha) of ``stays``; among repeated rows any one stays.
+    """One row of ``docs`` for each row (doc_id, sha) of ``stays``; among repeated rows any one stays.
 
     The join and the removal of repeated rows have one key, so the texts are shuffled once.
     """
+    row, wanted = free_names(docs, "_row", "_wanted")
+
     def key(doc_id: Column, sha: Column) -> Column:
         return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
 
-    keys = stays.select(key(F.col("_id"), F.col("_sha")).alias("_row"))
-    keyed = docs.withColumn("_row", key(F.col("doc_id"), fingerprint))
-    return keyed.join(keys, "_row").dropDuplicates(["_row"]).select(docs.columns)
+    keys = stays.select(key(F.col("doc_id"), F.col("sha")).alias(wanted))
+    keyed = docs.withColumn(row, key(F.col("doc_id"), fingerprint))
+    return keyed.join(keys, F.col(row) == F.col(wanted)).dropDuplicates([row]).drop(row, wanted)

@@ -9,8 +9,9 @@ labelled text share one symbol. For side-by-side parsing in numpy a text is laid
 phrases end with their row, which adds the same few phrases for every language.
 
 Labelled text: of the documents with a language, ``DOCUMENTS`` per language by smallest hash, cut into pieces of
-``PIECE`` characters of which ``PIECES`` per language by smallest hash are kept. These bounds are the parameters of
-the fit; predictions read every text whole.
+``PIECE`` characters. ``PIECES`` of them per language are kept, one of every document before a second of any, by
+smallest hash, so a long document is no larger part of the fit than others. These bounds are the parameters of the fit;
+predictions read every text whole.
 
 ``und`` with score 0 is the answer for null texts, texts without a letter, and when nothing could be learned. The score is one
 minus the winner's bits over the second's, cut to [0, 1] (1 if only one language was learned). Null ids stay null and
@@ -52,8 +53,10 @@ def labelled_sample(docs: DataFrame, documents: int = DOCUMENTS, pieces: int = P
     cut = texts.select("doc_id", "lang", "text", F.explode(F.sequence(
         F.lit(0), F.floor((F.length("text") - 1) / piece).cast("int"))).alias("part")).where("part >= 0") \
         .select("doc_id", "lang", "part", F.substring("text", F.col("part") * piece + 1, F.lit(piece)).alias("piece"))
-    by_piece = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "part"), "doc_id", "part", "piece")
-    rows = cut.withColumn("rank", F.row_number().over(by_piece)).where(F.col("rank") <= pieces).collect()
+    in_document = Window.partitionBy("lang", "doc_id").orderBy(F.xxhash64("doc_id", "part"), "part", "piece")
+    by_piece = Window.partitionBy("lang").orderBy("turn", F.xxhash64("doc_id", "part"), "doc_id", "part", "piece")
+    rows = cut.withColumn("turn", F.row_number().over(in_document)).where(F.col("turn") <= pieces) \
+        .withColumn("rank", F.row_number().over(by_piece)).where(F.col("rank") <= pieces).collect()
     sample: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.rank)):
         sample.setdefault(row.lang, []).append(row.piece)
@@ -184,27 +187,38 @@ class CrossParser:
 
 def predict_languages(docs: DataFrame, sample: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per document."""
-    rows = _with_prediction(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")),
-                            labelled_sample(docs) if sample is None else sample, ["doc_id"])
+    parser = _shipped(docs, labelled_sample(docs) if sample is None else sample)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            answers = parser().predict(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([a for a, _ in answers], pa.string()), pa.array([s for _, s in answers], pa.float64())],
+                names=["doc_id", "lang_pred", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")) \
+        .mapInArrow(of, "doc_id bigint, lang_pred string, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def drop_unknown_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with their columns."""
-    return _with_prediction(docs, labelled_sample(docs), docs.columns).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    """The rows of ``docs`` whose text has a language, with their columns, whatever these are called.
 
-
-def _with_prediction(docs: DataFrame, sample: dict[str, list[str]], kept: list[str]) -> DataFrame:
-    name = hashlib.sha256(repr(sorted(sample.items())).encode()).hexdigest()
-    shipped = docs.sparkSession.sparkContext.broadcast(sample)  # languages x PIECES x PIECE characters at most
+    Null and empty texts and texts without a letter go, repeated rows stay repeated, an empty table stays empty.
+    """
+    parser = _shipped(docs, labelled_sample(docs))
+    place = docs.columns.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = worker_model("language", name, lambda: CrossParser(shipped.value))
         for batch in text_slices(batches, "text"):
-            answers = parser.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array([a for a, _ in answers]), pa.array([s for _, s in answers], pa.float64())],
-                names=[*kept, "lang_pred", "score"])
+            answers = parser().predict(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([a != UNKNOWN for a, _ in answers], pa.bool_()))
+
+    return docs.mapInArrow(of, docs.schema)
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(of, f"{schema}, lang_pred string, score double")
+
+def _shipped(docs: DataFrame, sample: dict[str, list[str]]):
+    """A function that gives the worker's parser."""
+    name = hashlib.sha256(repr(sorted(sample.items())).encode()).hexdigest()
+    shipped = docs.sparkSession.sparkContext.broadcast(sample)  # languages x PIECES x PIECE characters at most
+    return lambda: worker_model("language", name, lambda: CrossParser(shipped.value))

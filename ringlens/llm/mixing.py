@@ -10,12 +10,12 @@ rates. The multiplier l of each source minimises a convex dual; all sources take
 aggregation over the counts of (source, size) per step, kept inside a bracket that every step narrows.
 
 Copies: a document is taken floor(r_i + u_i + shift) times, between 0 and ``most``, with u_i uniform from a hash
-of its id. The shift of each source is found by three rounds of histograms, once for all its documents and once more for
+of its id, its text and, among rows that agree in both, their number. The shift of each source is found by three rounds of histograms, once for all its documents and once more for
 those up to the mean size, so that where ids differ the words taken miss the target by about half a small document.
 Nothing is random: reruns agree.
 
-Null texts have size 0, null ids hash as such, extra columns are ignored; a source without words keeps its
-documents once (nothing is taken from them); an empty table gives no rows.
+Null texts have size 0, null ids hash as such, repeated rows are documents of their own, extra columns are ignored; a
+source without words keeps its documents once (nothing is taken from them); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,26 +27,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ringlens.llm.store import cut_lineage
+from ringlens.llm.store import cut_lineage, free_names, row_hash
 from ringlens.llm.words import Words, text_slices
 
 WEIGHTS = (3.0, 1.0, 2.0)
 VOLUME = 1.5
 MOST = 2
 BINS = 1024
+LOT = 10_000  # repeated rows dealt out by one task
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the whole text), u (uniform in [0, 1) from the id and the text's size)."""
+    """doc_id, source, size (words of the whole text), text_key, u (uniform in [0, 1)): one row per document.
+
+    Rows of one id, source and text are counted before they are numbered, so a document repeated by a third of all rows
+    is a number of each task until its copies are dealt out in lots.
+    """
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             sizes = np.diff(Words(batch.column("text")).first).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(sizes)],
-                                             names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("doc_id", "source", "text_key")] + [pa.array(sizes)],
+                                             names=["doc_id", "source", "text_key", "size"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), text_key(), F.col("text").cast("string")) \
+        .mapInArrow(of, "doc_id bigint, source string, text_key string, size bigint")
+    counted = cut_lineage(rows.groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("rows")))
+    lots = counted.where("rows > 1").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(rows - 1) DIV {LOT}")))) \
+        .repartition("text_key", "lot").withColumn("number", F.explode(F.sequence(
+            F.col("lot") * LOT, F.least((F.col("lot") + 1) * LOT, "rows") - 1))).drop("lot", "rows")
+    single = counted.where("rows = 1").select("doc_id", "source", "text_key", "size", F.lit(0).cast("bigint").alias("number"))
+    u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_key", "number", F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
+    return cut_lineage(single.union(lots).select("doc_id", "source", "size", "text_key", u.alias("u")))
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string")) \
-        .mapInArrow(of, "doc_id bigint, source string, size bigint")
-    return cut_lineage(rows.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)))
+
+def text_key() -> Column:
+    """Two 64-bit hashes of the text; null counts as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.concat_ws(":", *[F.hex(F.xxhash64(F.lit(seed), text)) for seed in (1, 2)]).alias("text_key")
 
 
 def share_targets(sizes: DataFrame, weights=WEIGHTS, volume: float = VOLUME, most: int = MOST) -> DataFrame:
@@ -119,7 +136,7 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, most: int = MOST, toleranc
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, volume: float = VOLUME, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken: one row per document."""
+    """doc_id, source, text_key, size, source_size, target, rate, copies, taken: one row per document."""
     sizes = sized(docs)
     targets = cut_lineage(share_targets(sizes, weights, volume, most))
     solved = solve_rates(sizes, targets, most)
@@ -129,13 +146,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, volume: float = VOLUME, most: int = MO
         _rate(F.col("multiplier"), F.col("size") / F.col("mean"), most))
     with_plan = sizes.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rated = cut_lineage(with_plan.withColumn("rate", rate).select(
-        "doc_id", "source", "size", "source_size", "documents", "target", "rate", (F.col("rate") + F.col("u")).alias("place")))
+        "doc_id", "source", "text_key", "size", "source_size", "documents", "target", "rate", (F.col("rate") + F.col("u")).alias("place")))
     # first all documents, then those up to the mean size again, to place what one large document leaves over
     rounded = _round(rated.withColumns({"free": (F.col("rate") < most) & (F.col("size") > 0),
                                         "copies": F.when(F.col("rate") >= most, most).otherwise(1).cast("bigint")}), targets, most)
     small = F.col("free") & (F.col("size") * F.col("documents") <= F.col("source_size"))
     rounded = _round(cut_lineage(rounded.withColumn("free", small)), targets, most)
-    return rounded.select("doc_id", "source", "size", "source_size", "target", "rate", "copies",
+    return rounded.select("doc_id", "source", "text_key", "size", "source_size", "target", "rate", "copies",
                           (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -183,8 +200,26 @@ def _shifts(rated: DataFrame, targets: DataFrame, most: int) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; repeated rows of one id in one source share its copies."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies.where("_copies > 0"),
-                       docs.doc_id.eqNullSafe(F.col("_id")) & docs.source.eqNullSafe(F.col("_source")))
-    return joined.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select(docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it, with their columns, whatever these are called.
+
+    The words delivered are those of ``mix``: where rows agree in id, source and text, the copies of all of them are
+    dealt out among them in the order of a hash of the whole row. Rows without words are taken once, null sources are a
+    source, an empty table stays empty.
+    """
+    copies = mix(docs).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("copies"))
+    row, number, lot = free_names(docs, "_row", "_number", "_lot")
+    id_, source = F.col("doc_id").cast("bigint"), F.col("source").cast("string")
+    kinds = cut_lineage(docs.select(id_.alias("d"), source.alias("s"), text_key().alias("k"), row_hash(docs).alias("h"))
+                        .groupBy("d", "s", "k", "h").agg(F.count("*").alias("n")))
+    # identical rows stand for one another: each kind of row gets the copies of its stretch of the n rows
+    upto = Window.partitionBy("d", "s", "k").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = kinds.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("d", "s", "k")))
+    dealt = ranged.join(copies, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("k") == F.col("text_key"))) \
+        .select(F.col("h").alias("wanted"), F.expr("(copies * upto) DIV all - (copies * (upto - n)) DIV all").alias("quota")).where("quota > 0")
+    # a row of very many copies joins as several lots, which Spark may split
+    wanted = dealt.select(F.col("wanted").alias(row), F.col("quota").alias(number)) \
+        .withColumn(lot, F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(`{number}` - 1) DIV {LOT}"))))
+    first = docs.withColumn(row, row_hash(docs)).dropDuplicates([row])
+    joined = first.join(wanted, row).withColumn(number, F.explode(F.sequence(
+        F.lit(1).cast("bigint"), F.least(F.col(number) - F.col(lot) * LOT, F.lit(LOT)))))
+    return joined.select([F.col(f"`{c}`") for c in docs.columns])

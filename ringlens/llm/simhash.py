@@ -167,7 +167,10 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component, that with the smallest id (of its texts the smallest hash), with its columns."""
+    """One row of each component, that with the smallest id (of its texts the smallest hash), with its columns, whatever these are called.
+
+    Null counts as an empty text; a component without any id keeps one row too; an empty table stays empty.
+    """
     heads = labelled_fingerprints(cut_lineage(fingerprints(docs))).groupBy("label").agg(F.min("head").alias("head"))
-    stays = heads.select(F.col("head.doc_id").alias("_id"), F.col("head.sha").alias("_sha"))  # a text is in one component: no row twice
+    stays = heads.select("head.doc_id", "head.sha")  # a text is in one component: no row twice
     return one_row_each(docs, stays, text_sha(F.col("text").cast("string")))
