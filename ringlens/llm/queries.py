@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringlens.llm import bpe, exact_dedup, html_text, language, mixing, quality, simhash, substring_dedup, token_files, warc
+from ringlens.llm import alignment, bpe, exact_dedup, html_text, language, mixing, quality, simhash, substring_dedup, token_files, warc
 from ringlens.llm.store import read_documents, read_table
 from ringlens.session import configure
 
@@ -75,6 +75,11 @@ def op5_html_text(spark, folder):
     return html_text.main_text(read_table(spark, folder, "pages"))
 
 
+@query
+def op13_alignment(spark, folder):
+    return alignment.alignment_digests(read_documents(spark, folder), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 # --- SQL counterparts where SQL can express the result on whole tables --------------
 
 ORACLES["op3_exact_dedup"] = """
