@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringlens.llm import alignment, bpe, exact_dedup, html_text, language, mixing, quality, simhash, substring_dedup, token_files, warc
+from ringlens.llm import alignment, bpe, exact_dedup, html_text, language, mixing, neighbours, quality, search, simhash, substring_dedup, token_files, warc
 from ringlens.llm.store import read_documents, read_table
 from ringlens.session import configure
 
@@ -80,6 +80,16 @@ def op13_alignment(spark, folder):
     return alignment.alignment_digests(read_documents(spark, folder), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+@query
+def op11_lexical_search(spark, folder):
+    return search.ranked_documents(read_documents(spark, folder), read_table(spark, folder, "benchmark"))
+
+
+@query
+def op12_nearest_neighbours(spark, folder):
+    return neighbours.nearest_of_every(read_table(spark, folder, "embeddings"))
+
+
 # --- SQL counterparts where SQL can express the result on whole tables --------------
 
 ORACLES["op3_exact_dedup"] = """
@@ -96,3 +106,19 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < latest THEN latest END AS refers_to
 FROM g"""
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLES["op11_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS all_docs, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM d),
+q AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+t AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, s GROUP BY term, all_docs),
+i AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * all_docs) // all_terms))) AS impact
+  FROM f JOIN w USING (term), s),
+r AS (SELECT item_id, doc_id, CAST(sum(repeats * impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20"""

@@ -91,8 +91,12 @@ class Words:
     """
 
     def __init__(self, column: pa.Array) -> None:
-        self.data, self.offsets = text_bytes(column)
-        inside = ~IS_SPACE[self.data]
+        self._find(*text_bytes(column), IS_SPACE)
+
+    def _find(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> None:
+        """Cut the texts where bytes are ``between`` words."""
+        self.data, self.offsets = data, offsets
+        inside = ~between[self.data]
         before = np.zeros(len(inside) + 1, dtype=bool)
         before[1:] = inside
         cuts = self.offsets[(self.offsets > 0) & (self.offsets < len(inside))]
