@@ -15,14 +15,10 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringlens.operators.models import tree_nodes
-
-# Spark's boosted margin is half the log-odds.
-LOG_ODDS = 2.0
+from ringlens.operators.boosting import BoostedModel
 
 
 @dataclass(frozen=True)
@@ -56,23 +52,22 @@ def _leaf_tables(values: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     return tables
 
 
-def leaves(model: PipelineModel) -> list[Leaf]:
-    """The leaves of all trees; the node table is bounded by the model's size."""
-    nodes = {(r.tree, r.node): r for r in tree_nodes(model).collect()}
+def leaves(model: BoostedModel) -> list[Leaf]:
+    """The leaves of all trees; their number is bounded by the model's size."""
     paths = []
-    for (tree, number), root in nodes.items():
-        if number != 0:
-            continue
-        stack = [(root, {})]
+    for tree in range(model.trees):
+        stack = [(0, {})]
         while stack:
             node, path = stack.pop()
-            if node.left < 0:
-                paths.append((path, LOG_ODDS * node.weight * node.value))
+            feature = int(model.feature[tree, node])
+            if feature < 0:
+                paths.append((path, float(model.value[tree, node])))
                 continue
-            for child, is_left in ((nodes[tree, node.left], True), (nodes[tree, node.right], False)):
-                low, high, ratio = path.get(node.feature, (-np.inf, np.inf, 1.0))
-                bounds = (low, min(high, node.threshold)) if is_left else (max(low, node.threshold), high)
-                stack.append((child, {**path, node.feature: (*bounds, ratio * child.cover / node.cover)}))
+            threshold = float(model.threshold[tree, node])
+            for child, is_left in ((2 * node + 1, True), (2 * node + 2, False)):
+                low, high, ratio = path.get(feature, (-np.inf, np.inf, 1.0))
+                bounds = (low, min(high, threshold)) if is_left else (max(low, threshold), high)
+                stack.append((child, {**path, feature: (*bounds, ratio * model.cover[tree, child] / model.cover[tree, node])}))
     found = []
     for depth in sorted({len(path) for path, _ in paths}):
         alike = [(path, value) for path, value in paths if len(path) == depth]
@@ -114,7 +109,7 @@ def base_value(trees: Sequence[Leaf]) -> float:
     return float(sum(leaf.base for leaf in trees))
 
 
-def attributions(model: PipelineModel, table: DataFrame, names: Sequence[str]) -> DataFrame:
+def attributions(model: BoostedModel, table: DataFrame, names: Sequence[str]) -> DataFrame:
     """``(user_id, feature, value, attribution)``, one row per user and feature.
 
     Per user the attributions sum to the log-odds of the score minus :func:`base_value`.

@@ -155,9 +155,11 @@ def scenario_recall(tagged: DataFrame, scored: DataFrame, threshold: float) -> D
     ).withColumn("recall", F.round(F.col("detected") / F.col("n_users"), 4))
 
 
-def connected_legit_fpr(users: DataFrame, scored: DataFrame, threshold: float, *, min_size: int = 20, split: str = "test") -> DataFrame:
-    """False positive rate over legitimate members of large groups in one split."""
-    legit = users.where((F.col("split") == split) & ~F.col("is_abuse_account") & present("group_id")).select("user_id", "group_id")
+def connected_legit_fpr(
+    users: DataFrame, scored: DataFrame, threshold: float, *, min_size: int = 20, split: str = "test", group_prefix: str = "GRP_HIDDEN"
+) -> DataFrame:
+    """False positive rate over legitimate members of the large groups of hidden scenarios in one split."""
+    legit = users.where((F.col("split") == split) & ~F.col("is_abuse_account") & F.col("group_id").startswith(group_prefix)).select("user_id", "group_id")
     large = legit.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("group_id")
     rows = legit.join(large, "group_id", "left_semi").join(scored.select("user_id", "prob"), "user_id")
     return rows.agg(F.count(F.lit(1)).alias("n_users"), F.expr(f"count_if(prob >= {threshold}D)").alias("false_positives")).withColumn(

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringlens import schema as S
+from ringlens.operators import boosting
+from ringlens.operators.boosting import BoostedModel
 from ringlens.operators.distribution import column_names, feature_name_audit, label_is_binary
-from ringlens.session import shared_folder
 
 
 def feature_names(variant: str) -> tuple[str, ...]:
@@ -73,65 +74,55 @@ def train_logistic(train: DataFrame, names: Sequence[str], *, c: float = 1.0, ma
 
 
 def train_boosted(
-    train: DataFrame, names: Sequence[str], *, rounds: int = 60, depth: int = 5, step: float = 0.2,
-    subsample: float = 0.8, feature_share: float = 0.8, seed: int = 42,
-    validation: DataFrame | None = None, tolerance: float = 0.001,
-) -> PipelineModel:
-    """Boosted trees weighted by ``scale_pos_weight``; ``validation`` turns on early stopping."""
-    rows = _weighted(train, "scale_pos_weight", "1.0D")
-    settings = dict(
-        featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=step,
-        subsamplingRate=subsample, featureSubsetStrategy=str(feature_share), seed=seed, maxBins=64,
-    )
+    train: DataFrame, names: Sequence[str], *, validation: DataFrame | None = None, **options
+) -> BoostedModel:
+    """One boosted model; ``validation`` turns on early stopping after 50 rounds without a better PR-AUC there."""
     if validation is not None:
-        held = validation.withColumns({"weight": F.lit(1.0), "label": F.col("label").cast("double"), "held_out": F.lit(True)})
-        rows = rows.withColumn("held_out", F.lit(False)).unionByName(held.select(*rows.columns, "held_out"))
-        settings |= {"validationIndicatorCol": "held_out", "validationTol": tolerance}
-    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features"), GBTClassifier(**settings)]).fit(rows)
+        options.setdefault("patience", 50)
+    return boosting.fit_models(train, {"model": names}, boosting.with_settings(**options), validation=validation)["model"]
 
 
-def score(model: PipelineModel, table: DataFrame) -> DataFrame:
+def score(model: PipelineModel | BoostedModel, table: DataFrame) -> DataFrame:
     """``table`` with ``prob``, the probability of the positive class."""
+    if isinstance(model, BoostedModel):
+        return boosting.score(model, table)
     helpers = [c for c in ("raw_features", "features", "rawPrediction", "probability", "prediction") if c not in table.columns]
     rows = table.withColumn("label", F.col("label").cast("double")) if "label" in table.columns else table
     scored = model.transform(rows).withColumn("prob", vector_to_array("probability")[1]).drop(*helpers)
     return scored.withColumn("label", F.col("label").cast("int")) if "label" in table.columns else scored
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save_model(spark: SparkSession, model: PipelineModel | BoostedModel, path: str) -> None:
+    """A folder ``linear`` or ``boosted`` under ``path``."""
+    if isinstance(model, BoostedModel):
+        boosting.save(spark, model, f"{path}/boosted")
+    else:
+        model.write().overwrite().save(f"{path}/linear")
 
 
-# --- Trees as tables -------------------------------------------------------------------
+def load_model(spark: SparkSession, path: str, kind: str = "boosted") -> PipelineModel | BoostedModel:
+    return boosting.load(spark, f"{path}/boosted") if kind == "boosted" else PipelineModel.load(f"{path}/linear")
 
 
-def tree_nodes(model: PipelineModel) -> DataFrame:
-    """``(tree, node, weight, value, cover, gain, left, right, feature, threshold)`` of a boosted model."""
-    booster = model.stages[-1]
-    session = SparkSession.getActiveSession()
-    path = shared_folder(session)
-    booster.write().save(path)
-    weights = session.createDataFrame([(i, float(w)) for i, w in enumerate(booster.treeWeights)], "tree int, weight double")
-    return session.read.parquet(f"{path}/data").selectExpr(
-        "treeID AS tree", "nodeData.id AS node", "nodeData.prediction AS value", "cast(nodeData.rawCount AS double) AS cover",
-        "nodeData.gain AS gain", "nodeData.leftChild AS left", "nodeData.rightChild AS right",
-        "nodeData.split.featureIndex AS feature", "get(nodeData.split.leftCategoriesOrThreshold, 0) AS threshold",
-    ).join(F.broadcast(weights), "tree")
+# --- Importance --------------------------------------------------------------------------
 
 
-def importance(model: PipelineModel, names: Sequence[str], *, method: str = "gain", top_k: int = 50) -> DataFrame:
+def importance(spark: SparkSession, model: BoostedModel, *, method: str = "gain", top_k: int = 50) -> DataFrame:
     """``(feature, group, importance)``: mean gain, number of splits, or mean cover per feature."""
     measure = {"gain": F.avg("gain"), "weight": F.count(F.lit(1)).cast("double"), "cover": F.avg("cover")}
     if method not in measure:
         raise ValueError(f"unknown importance: {method}")
     group_of = {n: g for g, members in {**S.FEATURE_GROUPS, "baseline": S.BASELINE_FEATURES}.items() for n in members}
-    labels = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(group_of.get(n, "unknown")).alias("group")) for n in names])
+    labels = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(group_of.get(n, "unknown")).alias("group")) for n in model.names])
     return (
-        tree_nodes(model).where("left >= 0").groupBy("feature").agg(measure[method].alias("importance"))
+        boosting.nodes(spark, model).where("left >= 0").groupBy("feature").agg(measure[method].alias("importance"))
         .withColumn("l", labels[F.col("feature")]).select("l.feature", "l.group", "importance")
         .orderBy(F.desc("importance"), "feature").limit(top_k)
     )
+
+
+def grouped_importance(importances: DataFrame) -> DataFrame:
+    """``(group, features, importance, share)``: the importances of a model summed by feature group."""
+    groups = importances.groupBy("group").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("importance"))
+    total = importances.agg(F.sum("importance")).scalar()
+    return groups.withColumn("share", F.col("importance") / F.nullif(total, F.lit(0.0)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringlens.operators.boosting import BoostedModel
 from ringlens.operators import attribution, evidence, explain, models, risk, typed_graph
 from ringlens.operators.projection import UserGraph
 from ringlens.session import cut_lineage
@@ -13,7 +13,7 @@ from ringlens.session import cut_lineage
 
 def investigate(
     features: DataFrame, train: DataFrame, transactions: DataFrame, graph: UserGraph, communities: DataFrame,
-    model: PipelineModel, names: tuple[str, ...], *, top_k: int = 10,
+    model: BoostedModel, names: tuple[str, ...], *, top_k: int = 10,
 ) -> dict[str, DataFrame]:
     """The parts of every user's record, keyed by user: ``record`` plus the long lists.
 

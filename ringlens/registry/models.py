@@ -16,7 +16,7 @@ from ringlens.operators import typed_graph as G
 from ringlens.plans import experiment, features, investigation, validation
 from ringlens.registry.base import REGISTRY, cte
 from ringlens.registry.communities import detected
-from ringlens.session import shared_folder
+from ringlens.session import cut_lineage, shared_folder
 from ringlens.sources import tables as IO
 
 add = REGISTRY.add
@@ -100,7 +100,7 @@ add("snk_05_report", lambda d: d.spark.read.json(IO.write_report(TH.at_threshold
 
 # --- Models ----------------------------------------------------------------------------------
 
-BASE = S.MODEL_FEATURES["baseline"]
+BASE, FULL = S.MODEL_FEATURES["baseline"], S.MODEL_FEATURES["graph"]
 _GROUP = M.group_features(("direct",))
 add("ml_01_group_features", lambda d: _rounded(feature_table(d)).select("user_id", "label", *_GROUP), f"SELECT user_id, label, {', '.join(_GROUP)} FROM feature_table")
 add("ml_02_audited_matrix", lambda d: M.audited(feature_table(d, "baseline"), BASE))
@@ -109,43 +109,104 @@ add("ml_03_class_weights", lambda d: M.class_weights(feature_table(d, "baseline"
        round(n_neg / greatest(n_pos, 1), 8) AS scale_pos_weight FROM users WHERE split = 'train'""")
 
 
-def _boosted(d, **options):
-    name = "early stopping" if options else "baseline model"
-    return d.once(name, lambda: M.train_boosted(feature_table(d, "baseline", "train"), BASE, **options))
+def _experiment(d):
+    """All models of the experiment and the ablation, trained once, and their stored scores."""
+    def build():
+        trained = experiment.train_all(feature_table(d))
+        return trained, cut_lineage(experiment.score_all(list(trained.values()), feature_table(d)))
 
+    return d.once("experiment", build)
 
-def _scores(model, d):
-    return M.score(model, feature_table(d, "baseline")).select("user_id", "split", "label", "prob")
 
+def _model(d, name):
+    return _experiment(d)[0][name].model
 
-add("ml_04_logistic_scores", lambda d: _scores(M.train_logistic(feature_table(d, "baseline", "train"), BASE), d))
-add("ml_05_boosted_scores", lambda d: _scores(_boosted(d), d))
-add("ml_06_early_stopping", lambda d: _scores(_boosted(d, validation=feature_table(d, "baseline", "val").select("user_id", *BASE, "label", "split")), d))
-add("ml_07_scores_reloaded", lambda d: (lambda path: (M.save_model(_boosted(d), path), _scores(M.load_model(path), d))[1])(shared_folder(d.spark)))
-add("ml_08_importance", lambda d: (lambda model: DC.combine([
-    M.importance(model, BASE, method=m).withColumn("method", F.lit(m)) for m in ("gain", "weight", "cover")]))(_boosted(d)))
-add("ml_09_ablation", lambda d: experiment.ablation(feature_table(d)))
-add("ml_10_experiment", lambda d: experiment.compare(experiment.score_all(experiment.train_all(feature_table(d)), feature_table(d))))
 
-# --- Explanations with a real model ------------------------------------------------------------
+def _scores(d, *names):
+    return _experiment(d)[1].where(F.col("model_id").isin(*names))
+
+
+def _reloaded(d):
+    path = shared_folder(d.spark)
+    M.save_model(d.spark, _model(d, "C"), path)
+    return M.load_model(d.spark, path)
+
+
+def _reports(d):
+    return d.once("reports", lambda: {name: cut_lineage(t) for name, t in experiment.reports(
+        _scores(d, *experiment.MAIN), d.users, scenario="city", hidden_groups="GRP_").items()})
+
+
+_SCORE = ("user_id", "split", "label", "prob")
+add("ml_04_logistic_scores", lambda d: _scores(d, "A").select(*_SCORE))
+add("ml_05_boosted_scores", lambda d: _scores(d, "B", "C").select("model_id", *_SCORE))
+add("ml_06_early_stopping", lambda d: _scores(d, "B_stopped").select(*_SCORE))
+add("ml_07_scores_reloaded", lambda d: M.score(_reloaded(d), feature_table(d)).select(*_SCORE))
+add("ml_07_reloaded_agrees", lambda d: M.score(_reloaded(d), feature_table(d)).select("user_id", "prob").join(
+    _scores(d, "C").select("user_id", F.col("prob").alias("stored")), "user_id").select("user_id", (F.col("prob") == F.col("stored")).alias("same")),
+    "SELECT user_id, true AS same FROM users")
+_METHODS = ("gain", "weight", "cover")
 
 
-FULL = S.MODEL_FEATURES["graph"]
+def _importances(d, grouped=False):
+    tables = [M.importance(d.spark, _model(d, "C"), method=m, top_k=len(FULL)) for m in _METHODS]
+    return DC.combine([(M.grouped_importance(t) if grouped else t).withColumn("method", F.lit(m)) for t, m in zip(tables, _METHODS)])
+
+
+add("ml_08_importance", lambda d: _importances(d))
+add("ml_08_importance_by_group", lambda d: _importances(d, grouped=True))
+add("ml_09_ablation", lambda d: (lambda own: experiment.ablation(_experiment(d)[1], own))([t for n, t in _experiment(d)[0].items() if n in S.ABLATIONS]))
+add("ml_10_experiment", lambda d: _reports(d)["metrics"])
+for _part in ("costs", "intervals", "rings", "ring_summary", "scenarios", "connected_legit", "false_positives", "false_negatives",
+              "false_positives_by_group", "false_negatives_by_ring_type", "fp_rate_by_group", "recall_by_ring_type"):
+    add(f"ml_10_{_part}", lambda d, part=_part: _reports(d)[part])
+
+
+def _agreement(d):
+    """Rows by which each report differs from plain SQL over the stored scores and the users."""
+    found = _reports(d)
+    metrics = found["metrics"].where("split = 'test'").select("model_id", "threshold")
+    rows = _scores(d, *experiment.MAIN).where("split = 'test'").join(metrics, "model_id").join(d.users.drop("split"), "user_id")
+    rows = cut_lineage(rows.selectExpr("*", "prob >= threshold AS hit", "nullif(ring_id, '') AS ring", "nullif(group_type, '') AS kind"))
+    final = rows.where("model_id = 'C'")
+    expected = {
+        "metrics": (rows.groupBy("model_id").agg(F.expr("count_if(hit AND label = 1) AS tp"), F.expr("count_if(hit AND label = 0) AS fp"),
+                                                 F.expr("count_if(NOT hit AND label = 1) AS fn")), found["metrics"].where("split = 'test'")),
+        "costs": (rows.groupBy("model_id").agg(F.expr("5000.0D * count_if(hit AND label = 0) + 25000.0D * count_if(NOT hit AND label = 1) AS total_cost")), found["costs"]),
+        "rings": (rows.where("is_abuse_account AND ring IS NOT NULL").groupBy("model_id", "ring_id").agg(F.expr("avg(cast(hit AS double)) >= 0.5 AS detected")), found["rings"]),
+        "scenarios": (rows.where("is_abuse_account").groupBy("model_id", F.col("city").alias("scenario")).agg(F.expr("count_if(hit) AS detected")), found["scenarios"]),
+        "false_positives": (final.where("hit AND label = 0").select("user_id"), found["false_positives"]),
+        "false_negatives": (final.where("NOT hit AND label = 1").select("user_id"), found["false_negatives"]),
+        "false_positives_by_group": (final.where("hit AND label = 0").groupBy(F.expr("coalesce(kind, 'individual') AS group_type")).agg(
+            F.count("*").alias("false_positives")), found["false_positives_by_group"]),
+    }
+    parts = []
+    for name, (want, got) in expected.items():
+        counted = want.withColumn("side", F.lit(1)).unionByName(got.select(want.columns).withColumn("side", F.lit(-1)))
+        parts.append(counted.groupBy(*want.columns).agg(F.sum("side").alias("n")).where("n <> 0").agg(F.count("*").alias("differences")).select(
+            F.lit(name).alias("report"), "differences"))
+    return DC.combine(parts)
+
+
+add("ml_10_agreement", _agreement, " UNION ALL ".join(f"SELECT '{n}' AS report, 0 AS differences" for n in (
+    "metrics", "costs", "rings", "scenarios", "false_positives", "false_negatives", "false_positives_by_group")))
+
+# --- Explanations with a real model ------------------------------------------------------------
 
 
 def _full_model(d):
-    return d.once("model", lambda: M.train_boosted(feature_table(d, split="train"), FULL))
+    return _model(d, "C")
 
 
 def _attributions(d):
-    return A.attributions(_full_model(d), feature_table(d), FULL)
+    return d.once("attributions", lambda: cut_lineage(A.attributions(_full_model(d), feature_table(d), FULL)))
 
 
 def _additivity(d):
     """What a user's attributions and the base lack to the log-odds of the score."""
     model = _full_model(d)
     base = A.base_value(A.leaves(model))
-    sums = A.attributions(model, feature_table(d), FULL).groupBy("user_id").agg(F.sum("attribution").alias("total"))
+    sums = _attributions(d).groupBy("user_id").agg(F.sum("attribution").alias("total"))
     return sums.join(M.score(model, feature_table(d)).select("user_id", "prob"), "user_id").select(
         "user_id", (F.abs(F.col("total") + base - F.expr("ln(prob / (1 - prob))")) < 1e-4).alias("adds_up"))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringlens.operators import attribution as A
+from ringlens.operators import boosting
 from ringlens.operators import evidence as V
 from ringlens.operators import explain as X
 from ringlens.operators import models as M
@@ -35,12 +36,12 @@ def test_attributions_add_up_to_the_log_odds(table, boosted):
 
 
 def test_attributions_match_brute_force(table, boosted):
-    nodes = {(n.tree, n.node): n for n in M.tree_nodes(boosted).collect()}
+    nodes = {(n.tree, n.node): n for n in boosting.nodes(table.sparkSession, boosted).collect()}
 
     def expected(x, known, tree, number=0):
         n = nodes[tree, number]
         if n.left < 0:
-            return 2 * n.weight * n.value
+            return n.value
         if n.feature in known:
             return expected(x, known, tree, n.left if x[n.feature] <= n.threshold else n.right)
         return sum(nodes[tree, c].cover / n.cover * expected(x, known, tree, c) for c in (n.left, n.right))
@@ -69,10 +70,12 @@ def test_counterfactuals_of_a_logistic_model(table):
 
 
 def test_early_stopping_and_importance(table):
-    model = M.train_boosted(table, NAMES, rounds=12, depth=2, validation=table.limit(60))
-    assert 1 <= model.stages[-1].getNumTrees <= 12
-    top = M.importance(model, NAMES, method="weight").collect()
+    model = M.train_boosted(table, NAMES, rounds=12, depth=2, validation=table.limit(60), feature_share=1.0)
+    assert 1 <= model.trees <= 12
+    top = M.importance(table.sparkSession, model, method="weight").collect()
     assert {top[0].feature, top[1].feature} == {"f0", "f1"}
+    groups = M.grouped_importance(M.importance(table.sparkSession, model, method="gain")).collect()
+    assert [(r.group, r.features) for r in groups] == [("unknown", len(top))] and groups[0].share == pytest.approx(1.0)
 
 
 def test_audited_refuses_label_columns(table):
