@@ -242,12 +242,12 @@ def neighbours(embeddings: DataFrame, asked: DataFrame, top: int = TOP) -> DataF
     radius2 = vectors.select("v").mapInArrow(longest, "n double").agg(F.max("n")).first()[0]
     known = _matrix(sample.column("v"))
     forest = fit_forest(known, radius2)
-    fitted = spark.sparkContext.broadcast(forest)  # TREES * SAMPLE / LEAF nodes
+    fitted = spark.sparkContext.broadcast(tuple(forest))  # TREES * SAMPLE / LEAF nodes
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaves = fitted.value.leaf_of(_matrix(batch.column("v")))
+                leaves = Forest(*fitted.value).leaf_of(_matrix(batch.column("v")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(
                     pa.array(np.arange(0, leaves.size + 1, leaves.shape[1], dtype=np.int32)), pa.array(leaves.reshape(-1)))],
                     names=["k1", "k2", "ids", "v", "leaves"])
@@ -264,7 +264,7 @@ def neighbours(embeddings: DataFrame, asked: DataFrame, top: int = TOP) -> DataF
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The blocks that each query visits, with the leaves there, and a score that its top rows reach."""
-        forest, (sizes, first, parts, known, known_leaves) = fitted.value, plan.value
+        forest, (sizes, first, parts, known, known_leaves) = Forest(*fitted.value), plan.value
         for batch in batches:
             blocks, visits, owner, bounds = [], [], [], []
             for i, query in enumerate(_matrix(batch.column("v")) if batch.num_rows else ()):
@@ -288,7 +288,8 @@ def neighbours(embeddings: DataFrame, asked: DataFrame, top: int = TOP) -> DataF
                 [pa.array(blocks, pa.int64()), pa.array(visits, pa.list_(pa.int64())), *(batch.column(c).take(at) for c in ("k1", "k2", "v")),
                  pa.array(bounds, pa.float64())], names=["block", "leaves", "k1", "k2", "v", "least"])
 
-    asks = cut_lineage(distinct.mapInArrow(search, "block bigint, leaves array<bigint>, k1 bigint, k2 bigint, v binary, least double"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: as many tasks as a shuffle has
+    asks = cut_lineage(distinct.repartition(tasks, "k1").mapInArrow(search, "block bigint, leaves array<bigint>, k1 bigint, k2 bigint, v binary, least double"))
     lots = cut_lineage(asks.groupBy("block").agg(F.expr(f"(count(*) + {LOT} - 1) DIV {LOT}").alias("lots")))
     leaf_table = spark.createDataFrame(pa.table({"leaf": np.arange(len(sizes)), "first": first, "parts": parts}))
     indexed = placed.withColumn("leaf", F.explode("leaves")).join(F.broadcast(leaf_table), "leaf") \

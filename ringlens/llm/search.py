@@ -79,15 +79,16 @@ class Vocabulary:
         self.may_hold = np.zeros(1 << 20, dtype=bool)
         self.may_hold[self.first & np.uint64((1 << 20) - 1)] = True
 
-    def find(self, words: Terms) -> tuple[np.ndarray, np.ndarray]:
-        """(places among the words, their numbers) of the words that are terms."""
-        hashes = words.hashes()
-        at = np.flatnonzero(self.may_hold[hashes & np.uint64((1 << 20) - 1)])
-        numbers = np.minimum(np.searchsorted(self.first, hashes[at]), len(self.first) - 1)
-        same = self.first[numbers] == hashes[at]
-        at, numbers = at[same], numbers[same]
-        same = self.second[numbers] == span_hashes(words.data, words.starts[at], words.ends[at], 1)
-        return at[same], numbers[same]
+
+def find_terms(words: Terms, first: np.ndarray, second: np.ndarray, may_hold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places among the words, their numbers) of the words that are terms of a vocabulary."""
+    hashes = words.hashes()
+    at = np.flatnonzero(may_hold[hashes & np.uint64((1 << 20) - 1)])
+    numbers = np.minimum(np.searchsorted(first, hashes[at]), len(first) - 1)
+    same = first[numbers] == hashes[at]
+    at, numbers = at[same], numbers[same]
+    same = second[numbers] == span_hashes(words.data, words.starts[at], words.ends[at], 1)
+    return at[same], numbers[same]
 
 
 def _stretches(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -108,19 +109,19 @@ def _stretches(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]
 
 def term_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n (all terms of the document), terms (numbers), counts: one row per document that has a term."""
-    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary.first, vocabulary.second, vocabulary.may_hold))  # of one pass
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
-        size = max(len(known.first), 1)
+        size = max(len(known[0]), 1)
         for batch in text_slices(batches, "text"):
             n = np.zeros(batch.num_rows, dtype=np.int64)
             keys, counts = [], []
             for data, offsets, first in _stretches(batch.column("text")):
                 words = Terms(data, offsets)
                 n[first : first + len(offsets) - 1] += np.diff(words.first)
-                if len(known.first):
-                    at, numbers = known.find(words)
+                if len(known[0]):
+                    at, numbers = find_terms(words, *known)
                     own, times = np.unique((np.searchsorted(words.first, at, "right") - 1) * size + numbers, return_counts=True)
                     keys.append(own)
                     counts.append(times)
@@ -211,7 +212,8 @@ def _ranked_pass(docs: DataFrame, items: list[tuple[int | None, list[bytes]]], t
     weight = weights(documents, holding, len(vocabulary.first))
     numbered = [Counter(vocabulary.number[t] for t in terms) for _, terms in items]
     tiles = [(first, numbered[first : first + TILE_ITEMS]) for first in range(0, len(numbered), TILE_ITEMS)]
-    shipped = spark.sparkContext.broadcast(([(first, len(own), tile_slices(own, weight)) for first, own in tiles], weight, [i for i, _ in items]))
+    shipped = spark.sparkContext.broadcast(([(first, len(own), [tuple(x) for x in tile_slices(own, weight)]) for first, own in tiles],
+                                             weight, [i for i, _ in items]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
