@@ -14,7 +14,8 @@ BLOCKS = frozenset((
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head script style noscript template iframe object svg math textarea select button title canvas audio video".split())
+DROPPED = frozenset("head script style template iframe textarea select button title".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title script style template noscript head".split())
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
                   "option": {"option"}}
 SCOPES = frozenset("ul ol menu dl table body html".split())
@@ -29,7 +30,7 @@ TOKEN_GROUPS = ("content article post entry story body text main", "nav menu nav
                 "meta byline author tags date")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|svg)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)|[^<]++|<", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|x-keep)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -53,7 +54,11 @@ class Node:
 
 
 def parse(source: str) -> list[Node]:
-    """Nodes in page order, the root first; every text run is a leaf with its white space collapsed."""
+    """Nodes in page order, the root first; every text run is a leaf with its white space collapsed.
+
+    An open head ends where content begins. A button or list of options that is never closed hides nothing, one that is closed
+    late ends with its parent.
+    """
     nodes = [Node("#root", -1, 0)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements: tag and block node, -1 for inline
     block, run, links = 0, -1, 0
@@ -68,9 +73,12 @@ def parse(source: str) -> list[Node]:
         block = next(node for _, node in reversed(stack) if node >= 0)
 
     dropped, dropped_depth = None, 0
+    last_end = {tag: max((m.start() for m in re.finditer(f"</{tag}\\b", source, re.I)), default=-1) for tag in ("button", "select", "template")}
     for token in _TOKEN.finditer(source):
         raw = token.group()
         if raw[0] != "<" or raw == "<":
+            if dropped == "head" and not raw.isspace():
+                dropped = None
             if dropped:
                 continue
             text = html.unescape(raw) if "&" in raw else raw
@@ -87,15 +95,18 @@ def parse(source: str) -> list[Node]:
         tag = (token.group(3) or "").lower()
         if not tag:
             continue  # a comment, a declaration, or an element without readable text
+        if dropped == "head" and not token.group(2) and tag not in IN_HEAD:
+            dropped = None
         if dropped:
+            parent_ends = token.group(2) and tag != dropped and any(name == tag for name, _ in stack)
             if tag == dropped:
                 dropped_depth += -1 if token.group(2) else 1
-                if not dropped_depth:
-                    dropped = None
-            elif tag == "body" and dropped == "head":
-                dropped, dropped_depth = None, 0
-            if dropped or tag != "body":
+            if not dropped_depth or parent_ends:
+                dropped = None
+            if not parent_ends:
                 continue
+        if tag in ("html", "body"):  # may be left out: a page reads the same with and without them
+            continue
         if token.group(2):  # an end tag
             for position in range(len(stack) - 1, 0, -1):
                 if stack[position][0] == tag:
@@ -105,7 +116,7 @@ def parse(source: str) -> list[Node]:
                     break
             continue
         if tag in DROPPED:
-            if not token.group(4).endswith("/"):
+            if not token.group(4).endswith("/") and last_end.get(tag, token.start()) >= token.start():
                 dropped, dropped_depth = tag, 1
             continue
         if tag in VOID and tag != "hr":

@@ -153,6 +153,31 @@ def test_decoding_never_keeps_inside_removed():
         assert all(not kept[i] or n.parent < 0 or kept[n.parent] for i, n in enumerate(nodes))
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>x</title><p>one<p>two", ["one", "two"]),
+    ("<head><meta charset=u><script>no</script>bare text<p>two", ["bare text", "two"]),
+    ("<html><head><title>t</title></head><p>one</html>", ["one"]),
+    ("<head><noscript><link rel=x></noscript><style>no</style></head><body><p>one", ["one"]),
+    ("<body><div><button>Menu</div><p>one</p><p>two</p></body>", ["Menu", "one", "two"]),
+    ("<div><select><option>no</div><p>one</p></select><p>two</p>", ["one", "two"]),
+    ("<div><button>no</button><p>one</p></div><button>no</button>", ["one"]),
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>", ["a x=2 b"]),
+    ("<noscript><p>plain</p></noscript><object data=x>fallback</object><canvas>drawn</canvas><video>clip</video>", ["plain", "fallbackdrawnclip"]),
+    ("<svg viewBox='0 0 1 1'><text>label</text></svg><iframe><p>no</p></iframe><template><p>no</p></template><p>one", ["label", "one"]),
+])
+def test_no_text_is_lost_to_markup(page, want):
+    assert [n.text for n in parse(page) if n.text] == want
+
+
+def test_pages_without_body_tags_are_extracted(spark):
+    """The same article with and without head and body tags gives the same text."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(120).collect()]
+    extractor = html_text.Extractor(pages[:100])
+    for page in pages[100:]:
+        bare = re.sub(r"</?body[^>]*>|</head>|</html>", "", page)
+        assert bare != page and extractor.texts([bare]) == extractor.texts([page])
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>a"), (3, "u", "<" * 50 + "<a href='x>" * 30), (4, "u", "plain  text &amp; more"),
             (5, "u", "<div>" * 3000 + "deep"), (3, "u", "<" * 50), (6, "u", "<article><p>" + "word " * 100_000 + "</p></article>")]
