@@ -35,6 +35,7 @@ SCALE = float(1 << 20)
 SCORE_BINS = 1 << 14
 KEEP = 20
 BLOCK_ROWS = 2048  # rows of a block
+TASK_ROWS = 512  # rows that are worth a task of their own
 LARGE_PARTITION = 1 << 18  # rows of a task when there are more tasks than cores
 
 
@@ -269,7 +270,7 @@ def fit_models(
     cuts = cut_points(train, names, s.bins)
     cores = train.sparkSession.sparkContext.defaultParallelism
     total = counts.pos + counts.neg
-    parts = max(1, min(-(-total // BLOCK_ROWS), cores), -(-total // LARGE_PARTITION))
+    parts = max(1, min(-(-total // TASK_ROWS), cores), -(-total // LARGE_PARTITION))
     state: RDD = _blocks(rows.repartition(parts, "key"), names, cuts).rdd.mapPartitions(_unpacked).persist(StorageLevel.MEMORY_AND_DISK)
     plans = {name: _Plan(np.array([names.index(n) for n in own]), rounds.get(name, s.rounds), patience.get(name, s.patience), [])
              for name, own in models.items()}
