@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlens import schema as S
 from ringlens.functions.exprs import present, unpivot_ids
 from ringlens.functions.ordered import exact_quantiles
-from ringlens.operators.projection import COUNTS, UserGraph, both_directions, pairs_within
+from ringlens.operators.projection import COUNTS, UserGraph, both_directions
+from ringlens.session import cut_lineage
 
 _DIRECT_COUNTS = {
     "device": "unique_devices", "ip": "unique_ips", "address": "unique_addresses",
@@ -92,23 +93,54 @@ def neighbour_features(arcs: DataFrame, totals: DataFrame, thresholds: DataFrame
     )
 
 
-def two_hop_users(arcs: DataFrame) -> DataFrame:
-    """Distinct users exactly two hops away, per user (users with none are absent).
+def sharing_totals(members: DataFrame) -> DataFrame:
+    """The four sums of shared physical entities per user, for users who share one.
 
-    The neighbours of a node are paired block by block, so the wedges of a hub spread over many tasks.
-    Direct neighbours ride along as marked rows, so one aggregation both removes duplicates
-    and drops them; it combines on the map side before the shuffle.
+    Every entity of n users adds n - 1 to each of them, so the sums come straight from ``members(view, kind, entity_id,
+    user_id)`` (distinct rows, as ``entity_users`` gives them): no pair of users is formed.
     """
-    links = arcs.select("view", "u", "v")
-    wedges = pairs_within(links, ["view", "v"], "u").selectExpr("view", "a AS u", "b AS w", "false AS linked")
-    near = links.where("u < v").selectExpr("view", "u", "v AS w", "true AS linked")
-    pairs = wedges.unionByName(near).groupBy("view", "u", "w").agg(F.max("linked").alias("linked")).where("NOT linked")
-    return _per_end(pairs)
+    entity = ["view", "kind", "entity_id"]
+    sizes = members.groupBy(*entity).agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    kinds = {kind: _SHARING[count] for kind, count in S.SHARED_COUNTS.items() if kind != "promotion"}
+    return members.join(sizes, entity).groupBy("view", "user_id").agg(
+        *[F.expr(f"sum(if(kind = '{kind}', others, 0L))").alias(name) for kind, name in kinds.items()])
+
+
+MASK_BITS = 64  # users of one mask
 
 
-def _per_end(pairs: DataFrame) -> DataFrame:
-    ends = pairs.select("view", F.explode(F.array("u", "w")).alias("user_id"))
-    return ends.groupBy("view", "user_id").agg(F.count(F.lit(1)).alias("two_hop_user_count"))
+def two_hop_users(arcs: DataFrame) -> DataFrame:
+    """Distinct users exactly two hops away, per user (users with none are absent).
+
+    Users are numbered densely, those with the same smallest neighbour side by side, and a set of users is rows of (chunk of
+    64 numbers, bit mask). A user's two-hop set is the OR of its neighbours' masks, less its own and itself: masks are
+    combined before they are shuffled, and nothing is kept per pair of users.
+    """
+    users = _numbered(arcs)
+    ids = users.select("view", "user_id", "id")
+    linked = cut_lineage(
+        arcs.select("view", "u", "v").join(ids.select("view", F.col("user_id").alias("u"), F.col("id").alias("from")), ["view", "u"])
+        .join(ids.select("view", F.col("user_id").alias("v"), F.col("id").alias("to")), ["view", "v"]).select("from", "to"))
+    chunk, mask = F.expr(f"to DIV {MASK_BITS}").alias("chunk"), F.expr(f"shiftleft(1L, cast(to % {MASK_BITS} AS int))")
+    near = cut_lineage(linked.groupBy("from", chunk).agg(F.bit_or(mask).alias("mask")))
+    reached = linked.join(near.select(F.col("from").alias("to"), "chunk", F.col("mask").alias("far")), "to").select(
+        "from", "chunk", "far", F.lit(0).cast("bigint").alias("near"))
+    own = ids.select(F.col("id").alias("from"), F.expr(f"id DIV {MASK_BITS}").alias("chunk"), F.expr(f"shiftleft(1L, cast(id % {MASK_BITS} AS int))").alias("mask"))
+    known = near.select("from", "chunk", "mask").union(own).select("from", "chunk", F.lit(0).cast("bigint").alias("far"), F.col("mask").alias("near"))
+    sets = reached.union(known).groupBy("from", "chunk").agg(F.bit_or("far").alias("far"), F.bit_or("near").alias("near"))
+    counts = sets.groupBy("from").agg(F.sum(F.expr("bit_count(far & ~near)")).alias("two_hop_user_count")).where("two_hop_user_count > 0")
+    return ids.join(counts, ids.id == counts["from"]).select("view", "user_id", "two_hop_user_count")
+
+
+def _numbered(arcs: DataFrame) -> DataFrame:
+    """``(view, user_id, id)`` with dense ids from 0: ranges of an order are numbered by themselves, behind the ranges before."""
+    order = [F.col("view"), F.col("first"), F.col("user_id")]
+    nodes = arcs.groupBy("view", F.col("u").alias("user_id")).agg(F.least(F.min("v"), F.col("u")).alias("first"))
+    ranges = cut_lineage(nodes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return cut_lineage(ranges.join(F.broadcast(offsets), "range").withColumn("id", F.col("before") + place - 1).select("view", "user_id", "id"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -171,4 +203,4 @@ def projection_features(graph: UserGraph) -> DataFrame:
     return table.select("view", "user_id", *wanted).na.fill(0)
 
 
-__all__ = ["COUNTS", "degree_and_clustering", "direct_features", "projection_features", "triangles", "two_hop_users"]
+__all__ = ["COUNTS", "degree_and_clustering", "direct_features", "projection_features", "sharing_totals", "triangles", "two_hop_users"]

@@ -188,7 +188,11 @@ def _totals(d):
 
 
 for _i, _name in enumerate(S.FEATURE_GROUPS["shared_entity"] + ("number_of_user_neighbors",), start=9):
-    add(f"gf_{_i:02d}_{_name}", lambda d, n=_name: _totals(d)[2].select("user_id", n), f"SELECT user_id, {_name} FROM g_totals")
+    if _i <= 12:  # straight from the links of users and entities
+        _build = lambda d, n=_name: GF.sharing_totals(P.entity_users(P.single_view(d.transactions))).select("user_id", n)
+    else:
+        _build = lambda d, n=_name: _totals(d)[2].select("user_id", n)
+    add(f"gf_{_i:02d}_{_name}", _build, f"SELECT user_id, {_name} FROM g_totals")
 
 
 def _threshold(d):

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -51,16 +52,33 @@ def test_edges_do_not_depend_on_labels(txns):
     assert typed_graph.build_edges(df).exceptAll(typed_graph.build_edges(bare)).isEmpty()
 
 
-@pytest.mark.parametrize("block", [1, 3, 1000])
-def test_two_hop_users_match_brute_force(user_graph, monkeypatch, block):
-    monkeypatch.setattr(projection, "BLOCK_USERS", block)
+def test_two_hop_users_match_brute_force(user_graph, spark):
+    chance = random.Random(6)
     pairs = [("h", f"n{i}") for i in range(8)] + [("n0", "x"), ("x", "y"), ("n1", "n2"), ("h2", "n3"), ("h2", "n4"), ("h2", "z"), ("h", "h2")]
+    pairs += sorted({tuple(sorted(chance.sample([f"m{i:03}" for i in range(150)], 2))) for _ in range(260)})
     nodes = sorted({n for p in pairs for n in p})
     near = {n: {b if a == n else a for a, b in pairs if n in (a, b)} for n in nodes}
     want = {n: len(set().union(*(near[v] for v in near[n])) - near[n] - {n}) for n in nodes}
-    rows = graph_features.two_hop_users(both_directions(user_graph(pairs, nodes).edges)).collect()
-    got = {r.user_id: r.two_hop_user_count for r in rows}
-    assert {n: got.get(n, 0) for n in nodes} == want
+    arcs = both_directions(user_graph(pairs, nodes).edges)
+    twice = arcs.unionByName(arcs.withColumn("view", F.lit("other")))
+    rows = graph_features.two_hop_users(twice.repartition(5)).collect()
+    for view in ("all", "other"):
+        got = {r.user_id: r.two_hop_user_count for r in rows if r.view == view}
+        assert {n: got.get(n, 0) for n in nodes} == want
+    assert graph_features.two_hop_users(arcs.where("false")).count() == 0
+
+
+def test_sharing_sums_need_no_pairs(txns):
+    """The sums from links are those from the edges, and their plan joins links with entities only."""
+    chance = random.Random(2)
+    rows = [(f"U{chance.randrange(30):02}", chance.choice(["", *"ABCDE"]), chance.choice(["", *"vwxyz"]), "") for _ in range(120)]
+    df = projection.single_view(txns(rows))
+    found = graph_features.sharing_totals(projection.entity_users(df))
+    names = [c for c in found.columns if c.startswith("number")]
+    totals = graph_features.node_totals(both_directions(projection.project_users(df).edges))
+    assert sorted(map(tuple, found.select("user_id", *names).collect())) == sorted(map(tuple, totals.select("user_id", *names).collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
 
 
 def test_triangles_and_clustering(user_graph):
