@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlens.functions.exprs import present
-from ringlens.functions.ordered import exact_quantiles, running_totals
+from ringlens.functions.ordered import exact_quantiles
 from ringlens.operators import thresholds as TH
+from ringlens.operators.bootstrap import bootstrap_metrics
 
 # Cost of one wrong decision.
 FALSE_POSITIVE_COST, FALSE_NEGATIVE_COST = 5000.0, 25000.0
@@ -62,52 +63,6 @@ def cost_optimal(curve: DataFrame) -> DataFrame:
 # --- Bootstrap --------------------------------------------------------------------
 
 
-def bootstrap_metrics(scored: DataFrame, threshold: float, *, replicates: int = 500, seed: int = 42) -> DataFrame:
-    """Precision, recall, F1, PR-AUC and ROC-AUC of every bootstrap replicate.
-
-    Resampling n of n rows gives each row a nearly Poisson(1) multiplicity. The multiplicity
-    is read off a hash of (user, replicate), so it survives task retries, and rows collapse
-    to (replicate, score) before accumulation.
-    """
-    chance = F.expr(f"(pmod(xxhash64(user_id, replicate, {seed}L), 9007199254740992L) + 0.5D) / 9007199254740992D")
-    weight = "CASE " + " ".join(f"WHEN chance < {edge!r}D THEN {k}" for k, edge in enumerate(_poisson_edges())) + f" ELSE {len(_poisson_edges())} END"
-    drawn = (
-        scored.select("user_id", "label", "prob", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-        .withColumn("chance", chance).withColumn("w", F.expr(weight)).where("w > 0")
-    )
-    by_score = drawn.groupBy("replicate", "prob").agg(
-        F.sum(F.expr("if(label = 1, w, 0)")).alias("pos"), F.sum(F.expr("if(label = 1, 0, w)")).alias("neg")
-    )
-    totals = by_score.groupBy("replicate").agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
-        F.sum(F.expr(f"if(prob >= {threshold}D, pos, 0L)")).alias("tp"), F.sum(F.expr(f"if(prob >= {threshold}D, neg, 0L)")).alias("fp"),
-    )
-    areas = (
-        running_totals(by_score, ["replicate"], "prob", ["pos", "neg"], descending=True)
-        .join(F.broadcast(totals), "replicate")
-        .groupBy("replicate")
-        .agg(
-            F.sum(F.expr("pos * (n_neg - cum_neg + neg / 2.0D) / nullif(n_pos * cast(n_neg AS double), 0)")).alias("roc_auc"),
-            F.sum(F.expr("pos / nullif(cast(n_pos AS double), 0) * cum_pos / (cum_pos + cum_neg)")).alias("pr_auc"),
-        )
-    )
-    return totals.join(areas, "replicate").selectExpr(
-        "replicate", "if(tp + fp > 0, tp / (tp + fp), 0D) AS precision", "if(n_pos > 0, tp / n_pos, 0D) AS recall",
-        "if(tp + fp + n_pos > 0, 2 * tp / (tp + fp + n_pos), 0D) AS f1", "pr_auc", "roc_auc",
-    )
-
-
-def _poisson_edges() -> list[float]:
-    """Cumulative Poisson(1) probabilities up to the point where doubles stop growing."""
-    edges, term, total, k = [], 2.718281828459045 ** -1, 0.0, 0
-    while total + term > total and k < 15:
-        total += term
-        edges.append(total)
-        k += 1
-        term /= k
-    return edges
-
-
 def bootstrap_intervals(
     scored: DataFrame, threshold: float, *, replicates: int = 500, confidence: float = 0.95, seed: int = 42
 ) -> DataFrame:

@@ -12,16 +12,16 @@ from ringlens.functions.ordered import exact_quantiles
 from ringlens.operators.distribution import long_features
 
 # --- Behavioural statements -----------------------------------------------------------
-# Bounds and texts. Rates enter rounded to four decimals, as they are shown.
+# Bounds and texts. Values enter rounded to four decimals, as they are shown; shown digits are rounded half to even.
 
-_PERCENT = "format_string('%.0f%%', {x} * 100)"
+_PERCENT = "format_string('%.0f%%', bround({x} * 100, 0))"
 _STATEMENTS = (
-    """CASE WHEN transaction_frequency > 2.0 THEN concat('High transaction frequency (', format_string('%.1f', transaction_frequency), ' per day).')
-       WHEN transaction_frequency > 0.5 THEN concat('Moderate transaction frequency (', format_string('%.1f', transaction_frequency), ' per day).') END""",
+    """CASE WHEN transaction_frequency > 2.0 THEN concat('High transaction frequency (', format_string('%.1f', bround(transaction_frequency, 1)), ' per day).')
+       WHEN transaction_frequency > 0.5 THEN concat('Moderate transaction frequency (', format_string('%.1f', bround(transaction_frequency, 1)), ' per day).') END""",
     f"""CASE WHEN promo_usage_rate > 0.5 THEN concat('High promotion usage rate (', {_PERCENT.format(x='promo_usage_rate')}, ' of transactions).')
        WHEN promo_usage_rate > 0.1 THEN concat('Moderate promotion usage rate (', {_PERCENT.format(x='promo_usage_rate')}, ' of transactions).') END""",
     """CASE WHEN average_transaction_amount > 0 THEN
-       concat('Average transaction amount: ₹', format_number(average_transaction_amount, 0), '.') END""",
+       concat('Average transaction amount: ₹', format_number(bround(average_transaction_amount, 0), 0), '.') END""",
     "CASE WHEN transaction_count > 0 THEN concat('Total transactions: ', cast(transaction_count AS bigint), '.') END",
     """CASE WHEN unique_merchant_count <= 2 AND transaction_count > 5 THEN 'Low merchant diversity relative to transaction count.'
        WHEN unique_merchant_count > 10 THEN concat('High merchant diversity (', cast(unique_merchant_count AS bigint), ' unique merchants).') END""",
@@ -30,14 +30,14 @@ _STATEMENTS = (
     f"CASE WHEN weekend_activity_rate > 0.5 THEN concat('Predominantly weekend activity (', {_PERCENT.format(x='weekend_activity_rate')}, ' of transactions).') END",
     """CASE WHEN recent_transaction_count_7d > 10 THEN
        concat('High recent activity (', cast(recent_transaction_count_7d AS bigint), ' transactions in last 7 days).') END""",
-    "CASE WHEN account_age_days < 7 THEN concat('Very new account (', format_string('%.0f', account_age_days), ' days old).') END",
+    "CASE WHEN account_age_days < 7 THEN concat('Very new account (', format_string('%.0f', bround(account_age_days, 0)), ' days old).') END",
 )
 _NOTHING = "No notable behavioural patterns detected."
 
 
 def behavioural_summary(features: DataFrame) -> DataFrame:
     """``(user_id, statements, feature_values)`` from the behavioural features."""
-    shown = features.select("user_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in S.BASELINE_FEATURES])
+    shown = features.select("user_id", *[F.round(F.round(F.col(c).cast("double"), 10), 4).alias(c) for c in S.BASELINE_FEATURES])
     listed = F.array_compact(F.array(*[F.expr(s) for s in _STATEMENTS]))
     values = F.create_map(*[x for c in S.BASELINE_FEATURES for x in (F.lit(c), F.col(c))])
     return shown.select(

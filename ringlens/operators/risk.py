@@ -61,7 +61,7 @@ _GRAPH_REASONS = (
      "concat('User is directly connected to ', n_related, ' other account(s) via shared entities.')"),
     ("GRAPH_MULTI_HOP", "n_paths > 0", "concat('User is part of ', n_paths, ' multi-hop path(s) spanning across the network.')"),
     ("GRAPH_DENSE_COMMUNITY", "community_density > 0.5",
-     "concat('User is in a highly dense community (density: ', format_string('%.2f', community_density), ').')"),
+     "concat('User is in a highly dense community (density: ', format_string('%.2f', bround(community_density, 2)), ').')"),
 )
 _BEHAVIOUR_REASONS = (
     ("BEHAVIORAL_HIGH_ACTIVITY", "transaction_frequency > 2.0", "'User exhibits high transaction frequency.'"),

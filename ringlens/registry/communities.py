@@ -6,8 +6,11 @@ from ringlens.operators import communities as C
 from ringlens.operators import evidence as V
 from ringlens.operators import explain as X
 from ringlens.operators import projection as P
+from ringlens.operators import risk as R
 from ringlens.operators import summaries as M
+from ringlens.operators import typed_graph as G
 from ringlens.registry.base import REGISTRY, cte
+from ringlens.registry.evidence import GRAPH_REASON_LINES, graph_evidence_counts
 from ringlens.registry.graph import whole_graph
 from ringlens.session import cut_lineage
 
@@ -107,3 +110,16 @@ add("inv_09_community_context", _context,
        LEFT JOIN (SELECT u AS user_id, count(*) AS n FROM g_arcs GROUP BY u) USING (user_id)""")
 add("inv_14_why_community", lambda d: X.why_community(_context(d)).select("user_id", "title", "strength"),
     "SELECT user_id, 'Community Context' AS title, 'INDIRECT' AS strength FROM com WHERE community_size > 1")
+
+
+def _graph_reasons(d):
+    edges = cut_lineage(G.user_entity_edges(d.transactions))
+    graph, _, features = assigned(d)
+    counts = graph_evidence_counts(d, edges, graph.edges, V.multi_hop_paths(edges), features.select("user_id", "community_density"))
+    return counts.select("user_id", F.explode(R.reasons(counts)).alias("r")).select("user_id", "r.code", "r.description")
+
+
+add("rsk_03_graph_reasons", _graph_reasons, " UNION ALL ".join(
+    f"SELECT user_id, '{code}' AS code, {text} AS description FROM ({q})" for code, text, q in (
+        *GRAPH_REASON_LINES, ("GRAPH_DENSE_COMMUNITY", "'User is in a highly dense community (density: ' || printf('%.2f', round_even(n, 2)) || ').'",
+                              "SELECT user_id, community_density AS n FROM com WHERE community_density > 0.5"))))

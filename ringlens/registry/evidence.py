@@ -151,32 +151,35 @@ add("inv_14_why_links", _why, _LINES)
 
 # --- Explanation --------------------------------------------------------------------
 
-cte("shown", "SELECT user_id, " + ", ".join(f"round(coalesce({c}, 0)::DOUBLE, 4) AS {c}" for c in S.BASELINE_FEATURES) + " FROM behaviour")
+cte("shown", "SELECT user_id, " + ", ".join(f"round(round(coalesce({c}, 0)::DOUBLE, 10)::DECIMAL(38, 10), 4)::DOUBLE AS {c}" for c in S.BASELINE_FEATURES) + " FROM behaviour")
 
 
 def _features(d):
     return B.behavioural_features(d.users, d.transactions, d.devices)
 
 
-cte("statements", """SELECT user_id, list_filter([
-  CASE WHEN transaction_frequency > 2 THEN 'High transaction frequency (' || printf('%.1f', transaction_frequency) || ' per day).'
-       WHEN transaction_frequency > 0.5 THEN 'Moderate transaction frequency (' || printf('%.1f', transaction_frequency) || ' per day).' END,
-  CASE WHEN promo_usage_rate > 0.5 THEN 'High promotion usage rate' WHEN promo_usage_rate > 0.1 THEN 'Moderate promotion usage rate' END,
-  CASE WHEN average_transaction_amount > 0 THEN 'Average transaction amount' END,
+def _share(column):
+    return f"printf('%.0f', round_even({column} * 100, 0)) || '%"
+
+
+cte("statements", f"""SELECT user_id, list_filter([
+  CASE WHEN transaction_frequency > 2 THEN 'High transaction frequency (' || printf('%.1f', round_even(transaction_frequency, 1)) || ' per day).'
+       WHEN transaction_frequency > 0.5 THEN 'Moderate transaction frequency (' || printf('%.1f', round_even(transaction_frequency, 1)) || ' per day).' END,
+  CASE WHEN promo_usage_rate > 0.5 THEN 'High promotion usage rate (' || {_share('promo_usage_rate')} of transactions).'
+       WHEN promo_usage_rate > 0.1 THEN 'Moderate promotion usage rate (' || {_share('promo_usage_rate')} of transactions).' END,
+  CASE WHEN average_transaction_amount > 0 THEN 'Average transaction amount: ₹' || format('{{:,}}', round_even(average_transaction_amount, 0)::BIGINT) || '.' END,
   CASE WHEN transaction_count > 0 THEN 'Total transactions: ' || transaction_count::BIGINT || '.' END,
   CASE WHEN unique_merchant_count <= 2 AND transaction_count > 5 THEN 'Low merchant diversity relative to transaction count.'
        WHEN unique_merchant_count > 10 THEN 'High merchant diversity (' || unique_merchant_count::BIGINT || ' unique merchants).' END,
-  CASE WHEN failed_transaction_rate > 0.1 THEN 'Elevated failed transaction rate' END, CASE WHEN night_activity_rate > 0.3 THEN 'Significant night-time activity' END,
-  CASE WHEN weekend_activity_rate > 0.5 THEN 'Predominantly weekend activity' END,
+  CASE WHEN failed_transaction_rate > 0.1 THEN 'Elevated failed transaction rate (' || {_share('failed_transaction_rate')}).' END,
+  CASE WHEN night_activity_rate > 0.3 THEN 'Significant night-time activity (' || {_share('night_activity_rate')} of transactions).' END,
+  CASE WHEN weekend_activity_rate > 0.5 THEN 'Predominantly weekend activity (' || {_share('weekend_activity_rate')} of transactions).' END,
   CASE WHEN recent_transaction_count_7d > 10 THEN 'High recent activity (' || recent_transaction_count_7d::BIGINT || ' transactions in last 7 days).' END,
-  CASE WHEN account_age_days < 7 THEN 'Very new account' END], lambda x: x IS NOT NULL) AS said FROM shown""")
-# Percentages are cut from the compared text: the two engines round halves differently.
-add("ex_07_statements",
-    lambda d: X.behavioural_summary(_features(d)).select("user_id", F.expr(
-        "array_join(transform(statements, s -> if(s RLIKE '%|₹|days old', regexp_extract(s, '^[A-Za-z -]+?(?=:| \\\\()', 0), s)), '|') AS said")),
+  CASE WHEN account_age_days < 7 THEN 'Very new account (' || printf('%.0f', round_even(account_age_days, 0)) || ' days old).' END], lambda x: x IS NOT NULL) AS said FROM shown""")
+add("ex_07_statements", lambda d: X.behavioural_summary(_features(d)).select("user_id", F.array_join("statements", "|").alias("said")),
     "SELECT user_id, CASE WHEN len(said) = 0 THEN 'No notable behavioural patterns detected.' ELSE array_to_string(said, '|') END AS said FROM statements")
-add("ex_07_feature_values", lambda d: X.behavioural_summary(_features(d)).select("user_id", F.explode("feature_values").alias("feature", "value")).where("feature NOT LIKE '%amount%' AND feature NOT LIKE '%days%'"),
-    " UNION ALL ".join(f"SELECT user_id, '{c}' AS feature, {c} AS value FROM shown" for c in S.BASELINE_FEATURES if "amount" not in c and "days" not in c))
+add("ex_07_feature_values", lambda d: X.behavioural_summary(_features(d)).select("user_id", F.explode("feature_values").alias("feature", "value")),
+    " UNION ALL ".join(f"SELECT user_id, '{c}' AS feature, {c} AS value FROM shown" for c in S.BASELINE_FEATURES))
 
 
 def _bad_evidence(d):
@@ -214,14 +217,8 @@ def graph_evidence_counts(d, edges, graph_edges, paths, density=None):
     return table.withColumn("community_density", F.lit(0.0)) if density is None else table.join(density, "user_id", "left")
 
 
-def _graph_reasons(d):
-    edges = cut_lineage(_edges(d))
-    counts = graph_evidence_counts(d, edges, whole_graph(d).edges, V.multi_hop_paths(edges))
-    return counts.select("user_id", F.explode(R.reasons(counts)).alias("r")).select("user_id", "r.code", "r.description")
-
-
 _COUNT = "SELECT user_id, count(*) AS n FROM {src} {w} GROUP BY user_id"
-_GRAPH_LINES = (
+GRAPH_REASON_LINES = (
     ("GRAPH_SHARED_DEVICE", "'User shares ' || n || ' device(s).'", _COUNT.format(src="ent", w="WHERE node_type = 'device'")),
     ("GRAPH_SHARED_IP", "'User shares ' || n || ' IP address(es).'", _COUNT.format(src="ent", w="WHERE node_type = 'ip'")),
     ("GRAPH_SHARED_ADDRESS", "'User shares ' || n || ' physical address(es).'", _COUNT.format(src="ent", w="WHERE node_type = 'address'")),
@@ -230,5 +227,3 @@ _GRAPH_LINES = (
     ("GRAPH_MULTI_HOP", "'User is part of ' || n || ' multi-hop path(s) spanning across the network.'",
      _COUNT.format(src="(SELECT user_id FROM pa_k1 UNION ALL SELECT user_id FROM pa_k2 UNION ALL SELECT user_id FROM pa_k3)", w="")),
 )
-add("rsk_03_graph_reasons", _graph_reasons, " UNION ALL ".join(
-    f"SELECT user_id, '{code}' AS code, {text} AS description FROM ({q})" for code, text, q in _GRAPH_LINES))

@@ -247,6 +247,7 @@ def _betweenness_sql(p: str, cap: int) -> None:
 
 
 _betweenness_sql("s_", PIVOTS)
+_betweenness_sql("g_", PIVOTS)
 add("gf_24_betweenness_per_split", lambda d: (lambda g: C.betweenness(g, C.pivots(g.nodes, PIVOTS)))(split_graph(d).stored()),
     "SELECT * FROM s_betweenness")
 

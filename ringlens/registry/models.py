@@ -16,6 +16,7 @@ from ringlens.operators import typed_graph as G
 from ringlens.plans import experiment, features, investigation, validation
 from ringlens.registry.base import REGISTRY, cte
 from ringlens.registry.communities import detected
+from ringlens.registry.graph import PIVOTS
 from ringlens.session import cut_lineage, shared_folder
 from ringlens.sources import tables as IO
 
@@ -72,10 +73,17 @@ def feature_table(d, variant="graph", split=None):
     return IO.load_features(d.spark, _store(d)[0], variant, split)
 
 
-add("gf_28_user_graph_features",
-    lambda d: (lambda t, g: (lambda stored: features.user_graph_features(t, stored, betweenness_sources=C.pivots(stored.nodes, 16)))(g.stored()).select("user_id", *S.FEATURE_GROUPS["direct"], "two_hop_user_count"))(
-        P.single_view(d.transactions), P.project_users(P.single_view(d.transactions))),
-    f"SELECT d.*, coalesce(two_hop_user_count, 0) AS two_hop_user_count FROM direct d LEFT JOIN g_reach USING (user_id)")
+def _whole_features(d):
+    transactions = P.single_view(d.transactions)
+    graph = P.project_users(transactions).stored()
+    table = features.user_graph_features(transactions, graph, betweenness_sources=C.pivots(graph.nodes, PIVOTS))
+    return table.drop("view").withColumn("average_neighbor_degree", F.round("average_neighbor_degree", 8))
+
+
+_WHOLE = {g: S.FEATURE_GROUPS[g] for g in ("direct", "shared_entity", "neighbor", "two_hop", "centrality")}
+add("gf_28_user_graph_features", _whole_features,
+    f"""SELECT d.user_id, {', '.join(f'coalesce({c}, 0) AS {c}' for own in _WHOLE.values() for c in own)} FROM direct d
+        LEFT JOIN g_features USING (user_id) LEFT JOIN g_degrees USING (user_id) LEFT JOIN g_betweenness USING (user_id)""")
 # All features but betweenness and communities, which are checked by themselves.
 _CHECKED = tuple(n for n in S.MODEL_FEATURES["graph"] if n not in ("betweenness_centrality", *S.FEATURE_GROUPS["community"]))
 # Days are multiples of a second: up to seven decimals, so only eight leave no halves to round.
@@ -234,12 +242,27 @@ add("ex_06_counterfactual_values",
 
 
 def _investigated(d):
-    graph, _, communities = detected(d)
-    return investigation.investigate(
-        feature_table(d), feature_table(d, split="train"), d.transactions, graph, communities, _full_model(d), FULL)
+    def build():
+        graph, _, communities = detected(d)
+        parts = investigation.investigate(
+            feature_table(d), feature_table(d, split="train"), d.transactions, graph, communities, _full_model(d), FULL)
+        return {name: cut_lineage(part) for name, part in parts.items()}
+
+    return d.once("investigation", build)
 
 
 add("inv_10_records", lambda d: _investigated(d)["record"])
+add("inv_10_entities", lambda d: _investigated(d)["entities"],
+    "SELECT user_id, node_type, row_number() OVER (PARTITION BY user_id, node_type ORDER BY entity_id) AS rank, entity_id FROM ent")
+add("inv_10_related", lambda d: _investigated(d)["related"].withColumn("relationship_types", F.array_join("relationship_types", ",")),
+    """SELECT user_id, related_id, array_to_string(types, ',') AS relationship_types, shared_entity_count,
+       row_number() OVER (PARTITION BY user_id ORDER BY shared_entity_count DESC, related_id) AS rank FROM related""")
+add("inv_10_list_counts", lambda d: _investigated(d)["record"].select("user_id", "n_devices", "n_ips", "n_addresses", "n_payments", "n_related"),
+    """SELECT user_id, coalesce(n_devices, 0) AS n_devices, coalesce(n_ips, 0) AS n_ips, coalesce(n_addresses, 0) AS n_addresses,
+       coalesce(n_payments, 0) AS n_payments, coalesce(n_related, 0) AS n_related FROM users
+       LEFT JOIN (SELECT user_id, count(*) FILTER (node_type = 'device') AS n_devices, count(*) FILTER (node_type = 'ip') AS n_ips,
+         count(*) FILTER (node_type = 'address') AS n_addresses, count(*) FILTER (node_type = 'payment_instrument') AS n_payments FROM ent GROUP BY user_id) USING (user_id)
+       LEFT JOIN (SELECT user_id, count(*) AS n_related FROM related GROUP BY user_id) USING (user_id)""")
 add("rsk_04_assessments", lambda d: investigation.assess(_investigated(d)["record"], model_version="boosted-1"))
 
 

@@ -186,37 +186,38 @@ FEATURE_DESCRIPTIONS = {
     "recent_unique_entity_count_30d": "Distinct entities used in the last 30 days",
 }
 
-# --- Table schemas --------------------------------------------------------------
-
-
-def _fields(text: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "d": T.DoubleType(), "i": T.IntegerType(), "b": T.BooleanType(),
-             "t": T.TimestampType(), "dt": T.DateType()}
-    parts = (item.split(":") for item in text.split())
-    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in parts])
-
-
-TABLES = {
-    "users": _fields(
-        "user_id:s account_created_at:dt user_segment:s city:s age_group:s is_abuse_account:b "
-        "ring_id:s ring_type:s group_id:s group_type:s estimated_abuse_value:d split:s"
-    ),
-    "transactions": _fields(
-        "transaction_id:s user_id:s timestamp:t amount:d merchant_id:s payment_instrument_id:s "
-        "device_id:s ip_id:s address_id:s promo_id:s transaction_status:s "
-        "is_abuse_transaction:b ring_id:s"
-    ),
-    "devices": _fields("device_id:s device_type:s device_fingerprint_group:s first_seen_at:dt"),
-    "ips": _fields("ip_id:s network_type:s city:s network_cluster:s"),
-    "addresses": _fields("address_id:s address_type:s city:s household_group:s"),
-    "payment_instruments": _fields("payment_instrument_id:s instrument_type:s issuer_group:s"),
-    "promotions": _fields(
-        "promo_id:s promo_type:s discount_value:d discount_percentage:d eligibility_type:s max_usage:i"
-    ),
-    "merchants": _fields("merchant_id:s merchant_category:s city:s"),
+# --- Fixed values: table layouts and primary keys ------------------------------------
+
+_TABLE_DDL = {
+    "users":
+        "user_id STRING, account_created_at DATE, user_segment STRING, city STRING, age_group STRING, "
+        "is_abuse_account BOOLEAN, ring_id STRING, ring_type STRING, group_id STRING, group_type STRING, "
+        "estimated_abuse_value DOUBLE, split STRING",
+    "transactions":
+        "transaction_id STRING, user_id STRING, timestamp TIMESTAMP, amount DOUBLE, merchant_id STRING, "
+        "payment_instrument_id STRING, device_id STRING, ip_id STRING, address_id STRING, promo_id STRING, "
+        "transaction_status STRING, is_abuse_transaction BOOLEAN, ring_id STRING",
+    "devices": "device_id STRING, device_type STRING, device_fingerprint_group STRING, first_seen_at DATE",
+    "ips": "ip_id STRING, network_type STRING, city STRING, network_cluster STRING",
+    "addresses": "address_id STRING, address_type STRING, city STRING, household_group STRING",
+    "payment_instruments": "payment_instrument_id STRING, instrument_type STRING, issuer_group STRING",
+    "promotions":
+        "promo_id STRING, promo_type STRING, discount_value DOUBLE, discount_percentage DOUBLE, "
+        "eligibility_type STRING, max_usage INT",
+    "merchants": "merchant_id STRING, merchant_category STRING, city STRING",
 }
 PRIMARY_KEYS = {
     "users": "user_id", "devices": "device_id", "ips": "ip_id", "addresses": "address_id",
     "payment_instruments": "payment_instrument_id", "promotions": "promo_id",
     "merchants": "merchant_id", "transactions": "transaction_id",
 }
+
+_TYPES = {t.simpleString(): t for t in (T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType(), T.TimestampType(), T.DateType())}
+
+
+def _layout(ddl: str) -> T.StructType:
+    """A DDL string as a schema, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind.lower()]) for name, kind in (column.split() for column in ddl.split(","))])
+
+
+TABLES = {name: _layout(ddl) for name, ddl in _TABLE_DDL.items()}

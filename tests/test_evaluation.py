@@ -1,5 +1,7 @@
+import numpy as np
 import pytest
 
+from ringlens.operators import bootstrap
 from ringlens.operators import evaluation as E
 from ringlens.operators import risk as R
 from ringlens.operators import thresholds as TH
@@ -59,6 +61,30 @@ def test_bootstrap_is_deterministic_and_covers_the_estimate(spark):
         assert lower <= round(point[metric], 4) <= upper and upper - lower < 0.3
 
 
+@pytest.mark.parametrize("rows", [3, 256])
+def test_bootstrap_matches_brute_force(spark, monkeypatch, rows):
+    """Every replicate against its own list of drawn rows, with long ties and matrices that end inside them."""
+    monkeypatch.setattr(bootstrap, "ROWS", rows)
+    rng = np.random.default_rng(4)
+    data = [(f"u{i}", int(rng.random() < 0.4), float(rng.choice([0.1, 0.25, 0.5, 0.5, 0.75, round(rng.random(), 3)]))) for i in range(300)]
+    data += [("none", None, 0.5), ("gone", 1, None)]
+    df = spark.createDataFrame(data, "user_id string, label int, prob double").repartition(4)
+    keys = {r.user_id: r.k for r in df.selectExpr("user_id", "xxhash64(user_id, 42) AS k").collect()}
+    drawn = bootstrap.multiplicities(np.array([keys[u] for u, *_ in data[:-2]]), 20)
+    assert 0.9 < drawn.mean() < 1.1 and drawn.max() >= 4
+    got = {r.replicate: r for r in bootstrap.bootstrap_metrics(df, 0.5, replicates=20).collect()}
+    assert sorted(got) == list(range(1, 21))
+    for b in range(20):
+        sample = [(y, p) for (_, y, p), n in zip(data, drawn[:, b]) for _ in range(n)]
+        pos, neg = [p for y, p in sample if y], [p for y, p in sample if not y]
+        tp, fp = sum(p >= 0.5 for p in pos), sum(p >= 0.5 for p in neg)
+        roc = sum((a > c) + 0.5 * (a == c) for a in pos for c in neg) / (len(pos) * len(neg))
+        ap = sum(sum(p >= s for p in pos) / sum(p >= s for _, p in sample) for s in pos) / len(pos)
+        want = (tp / (tp + fp), tp / len(pos), 2 * tp / (tp + fp + len(pos)), ap, roc)
+        r = got[b + 1]
+        assert (r.precision, r.recall, r.f1, r.pr_auc, r.roc_auc) == pytest.approx(want, rel=1e-12)
+
+
 def test_ring_detection(spark, scored):
     users = spark.createDataFrame(
         [("a", True, "R1", "x"), ("d", True, "R1", "x"), ("c", True, "R2", "y"), ("gone", True, "R2", "y"), ("lost", True, "R2", "y"), ("b", False, "", "")],
