@@ -76,21 +76,29 @@ def build_directory(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int
         if fine >= key_bits or not ((bins > bucket_bytes) & several).any():
             break
         fine += 1
-    depth, directory = initial, np.arange(1 << initial, dtype=np.int32)
-    local, sizes = [initial] * len(directory), bins.reshape(len(directory), -1).sum(axis=1).tolist()
-    while full := [b for b, size in enumerate(sizes) if size > bucket_bytes and local[b] < fine]:
-        for bucket in full:
-            if local[bucket] == depth:  # doubling: every entry is followed by its copy
-                directory, depth = np.repeat(directory, 2), depth + 1
-            entries = np.flatnonzero(directory == bucket)
-            lower, upper = entries[: len(entries) // 2], entries[len(entries) // 2 :]
-            directory[upper] = len(sizes)
-            local[bucket] += 1
-            local.append(local[bucket])
-            span = bins.reshape(1 << depth, -1).sum(axis=1)
-            sizes[bucket] = int(span[lower].sum())
-            sizes.append(int(span[upper].sum()))
-    return directory
+    return split_directory(bins, initial, bucket_bytes)
+
+
+def split_directory(bins: np.ndarray, initial: int, bucket_bytes: int) -> np.ndarray:
+    """The directory over 2^fine bins of leading key bits, from 2^initial buckets.
+
+    A bucket is a range of bins; it is split while it is overfull, and the directory doubles to the deepest bucket. Bucket
+    sizes are differences of one running sum, so the work grows with the buckets made.
+    """
+    fine = len(bins).bit_length() - 1
+    upto = np.concatenate([[0], np.cumsum(bins)])
+    depth, level, done = initial, np.arange(1 << initial, dtype=np.int64), []  # prefixes of the buckets of the present depth
+    while len(level):
+        width = fine - depth
+        sizes = upto[(level + 1) << width] - upto[level << width]
+        full = (sizes > bucket_bytes) & (depth < fine)
+        done.append((level[~full], depth))
+        level = np.sort(np.concatenate([level[full] * 2, level[full] * 2 + 1]))
+        depth += bool(len(level))
+    starts = np.concatenate([prefixes << (depth - own) for prefixes, own in done])
+    spans = np.concatenate([np.full(len(prefixes), 1 << (depth - own)) for prefixes, own in done])
+    order = np.argsort(starts)
+    return np.repeat(np.arange(len(starts), dtype=np.int32), spans[order])
 
 
 def index_texts(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -98,10 +106,12 @@ def index_texts(docs: DataFrame, key_bits: int = KEY_BITS, bucket_bytes: int = B
     directory = build_directory(docs, key_bits, bucket_bytes)
     depth = len(directory).bit_length() - 1
     slots = int(directory.max()) + 1
+    shipped = docs.sparkSession.sparkContext.broadcast(directory)  # about four entries of 4 bytes per bucket_bytes of text
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        directory = shipped.value
         part = TaskContext.get().partitionId()
         row_key = part << 36
         for batch in batches:

@@ -9,7 +9,7 @@ of a document is that offset plus the totals of the ranges before, one number pe
 Texts are encoded with the tokenizers library. They are cut at borders where the vocabulary's pattern cuts in any
 surroundings, and a stretch between two borders is encoded once per worker and remembered under a 128-bit hash.
 
-Null texts count as empty (only the end id). Null ids come first; rows of one id keep any order. Extra columns are
+Null texts count as empty (only the end id). Null ids come first; rows of one id stand in the order of a hash of their text. Extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -173,8 +173,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
             offset += int(ends[-1])
 
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # rows of one id, or without any, are spread by their texts
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
     ordered = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")) \
-        .repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
+        .repartitionByRange(ranges, F.col("doc_id"), mark).sortWithinPartitions("doc_id", mark)
     writer = ordered.mapInArrow(of, _DDL).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01") \
         .option("orc.row.index.stride", str(INDEX_ROWS)).option("orc.create.index", "true")
     writer.orc(folder)

@@ -100,6 +100,23 @@ def test_directory_doubles(documents, odd_rows):
     assert exact_dedup.exact_groups(docs.where("false")).count() == 0
 
 
+def test_directory_covers_every_prefix():
+    """Buckets are whole prefixes, none of several bins is overfull, and splitting keeps up with many buckets."""
+    rng = np.random.default_rng(1)
+    bins = rng.integers(0, 100, 1 << 12) * (rng.random(1 << 12) < 0.3)
+    bins[1000] = 5000
+    directory = exact_dedup.split_directory(bins, 3, 700)
+    depth = len(directory).bit_length() - 1
+    sizes, places = np.bincount(directory, bins.reshape(len(directory), -1).sum(axis=1)), np.bincount(directory)
+    assert sorted(set(directory.tolist())) == list(range(directory.max() + 1)) and (np.diff(directory) >= 0).all()
+    for bucket, (size, span) in enumerate(zip(sizes, places)):
+        first = int(np.argmax(directory == bucket))
+        assert span & (span - 1) == 0 and first % span == 0 and span <= 1 << (depth - 3)
+        assert size <= 700 or (1 << (12 - depth)) * span == 1
+    large = exact_dedup.split_directory(np.full(1 << 20, 10), 4, 20)
+    assert len(large) == 1 << 19
+
+
 def test_dropping_exact_copies(documents, odd_rows):
     docs = documents(odd_rows)
     left = exact_dedup.drop_exact_copies(docs)
