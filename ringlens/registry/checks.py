@@ -298,6 +298,20 @@ findings_query("val_29_label_independence", lambda d: GC.label_independence(d.ta
                ("label_independence", "error", "edges", "SELECT 0 AS n"))
 
 
+def _label_dependent(transactions):
+    """A faulty builder: where labels are at hand, it leaves out what abuse transactions add."""
+    rows = transactions.where("NOT is_abuse_transaction") if "is_abuse_transaction" in transactions.columns else transactions
+    return G.user_entity_edges(rows)
+
+
+cte("abuse_edges", """SELECT e.src, e.dst, e.edge_type, e.weight, count(t.transaction_id) AS abusive FROM entity_edges e LEFT JOIN txns t
+  ON t.user_id = e.src AND t.is_abuse_transaction AND e.dst IN (t.device_id, t.ip_id, t.address_id, t.payment_instrument_id) GROUP BY ALL""")
+findings_query("val_29_planted_dependency", lambda d: GC.label_independence(d.tables, _label_dependent),
+               ("label_independence", "error", "edges", "SELECT sum(CASE WHEN abusive = 0 THEN 0 WHEN abusive = weight THEN 1 ELSE 2 END) AS n FROM abuse_edges"))
+add("val_29_lost_edges", lambda d: (lambda edges: GC.changed_edges(edges, edges.where("NOT (edge_type = 'connects_from' AND dst LIKE '%_N')")))(
+    G.user_entity_edges(d.transactions)), "SELECT src, dst, edge_type, weight, 1 AS surplus FROM entity_edges WHERE edge_type = 'connects_from' AND dst LIKE '%_N'")
+
+
 def _isolation(d):
     graph = split_graph(d)
     moved = d.users.withColumn("split", F.expr("CASE WHEN cast(substr(user_id, 5) AS bigint) % 40 = 1 THEN 'test' ELSE split END"))
