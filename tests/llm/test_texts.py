@@ -1,6 +1,7 @@
 """Quality, language, extraction, archives, encoding and mixing."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -72,6 +73,36 @@ def test_word_length_fence_follows_the_spread(documents):
     assert sum(not v for v in verdict.values()) == 1
 
 
+def test_fences_against_exact_quantiles(spark):
+    """The verdict of every document from exact quartiles of its group; documents as near to a fence as a sketch errs are left out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.measured(quality.base_counts(docs)).collect()
+    judged = {r.doc_id: r for r in quality.judged(docs).collect()}
+    good = [r for r in rows if not r.base_failed]
+    compared = outside = 0
+    for measure, least, use_low, use_high in quality.MEASURES:
+        groups = defaultdict(list)
+        for r in good:
+            for key in ((0, r.lang, r.source), (1, r.lang), (2,)):
+                if r[measure] is not None:
+                    groups[key].append(r[measure])
+        for r in rows:
+            if r[measure] is None:
+                assert judged[r.doc_id][f"{measure}_inside"]
+                continue
+            own = next(groups[k] for k in ((0, r.lang, r.source), (1, r.lang), (2,)) if len(groups[k]) >= quality.ENOUGH or k == (2,))
+            ordered = sorted(own)
+            q25, q75 = (ordered[math.ceil(q * len(ordered)) - 1] for q in (0.25, 0.75))
+            reach = quality.REACH * max(q75 - q25, least, 2 * quality.ACCURACY * q75)
+            low, high = q25 - reach if use_low else -math.inf, q75 + reach if use_high else math.inf
+            slack = (2 * quality.REACH + 1) * quality.ACCURACY * q75 + 1e-12
+            if min(abs(r[measure] - low), abs(r[measure] - high)) > slack:
+                compared += 1
+                outside += not low <= r[measure] <= high
+                assert judged[r.doc_id][f"{measure}_inside"] == (low <= r[measure] <= high), (measure, r)
+    assert compared > 3.5 * len(rows) and outside > 10
+
+
 # --- Language --------------------------------------------------------------------
 
 def test_language_accuracy(spark):
@@ -110,6 +141,16 @@ def test_cross_parsing_is_greedy_longest_match():
                         end += 1
                     at, phrases = end, phrases + 1
             assert got == phrases
+    # the prediction is the language of the fewest bits a symbol, the score how far the second lies behind
+    for text, answer in zip(texts, parser.predict(texts)):
+        if not re.search(r"[^\W\d_]", text):
+            assert answer == ("und", 0.0)
+            continue
+        size = max(len(parser.symbols.of(text)), 1)
+        bits = [parser.phrases([text])[0][0, k] * math.log2(sum(len(parser.symbols.of(p)) + 1 for p in sample[name]) + 1) / size
+                for k, name in enumerate(parser.languages)]
+        assert answer[0] == parser.languages[int(np.argmin(bits))]
+        assert answer[1] == pytest.approx(min(max(1 - min(bits) / max(bits), 0), 1))
 
 
 # --- HTML ------------------------------------------------------------------------
@@ -281,7 +322,14 @@ def test_token_files(spark, documents, odd_rows, small_documents):
         got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.tokens_round_trip(df, path).collect()}
         assert got == want
     nulls = token_files.tokens_round_trip(documents(odd_rows), path)
-    assert Counter(r.doc_id for r in nulls.collect()) == Counter(r[0] for r in odd_rows)
+    rows = sorted(nulls.collect(), key=lambda r: r.start)
+    assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in odd_rows)
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))]
+    assert [r.doc_id for r in rows] == sorted((r[0] for r in odd_rows), key=lambda i: (i is not None, i or 0))
+    one_id = documents([(None if i % 2 else 7, f"text number {i}", None, None) for i in range(60)])
+    folder = shared_folder(spark)
+    token_files.write_token_files(one_id, path, folder)
+    assert token_files.read_token_files(spark, folder).count() == 60 and spark.read.orc(folder).select("part").distinct().count() > 2
     assert token_files.tokens_round_trip(small_documents.where("false"), path).count() == 0
 
 
