@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringlens import schema as S
 from ringlens.functions.exprs import present, unpivot_ids
-from ringlens.functions.ordered import exact_quantiles
+from ringlens.functions.ordered import dense_numbers, exact_quantiles
 from ringlens.operators.projection import COUNTS, UserGraph, both_directions
 from ringlens.session import cut_lineage
 
@@ -116,8 +116,8 @@ def two_hop_users(arcs: DataFrame) -> DataFrame:
     64 numbers, bit mask). A user's two-hop set is the OR of its neighbours' masks, less its own and itself: masks are
     combined before they are shuffled, and nothing is kept per pair of users.
     """
-    users = _numbered(arcs)
-    ids = users.select("view", "user_id", "id")
+    nodes = arcs.groupBy("view", F.col("u").alias("user_id")).agg(F.least(F.min("v"), F.col("u")).alias("first"))
+    ids = dense_numbers(nodes, ["view", "first", "user_id"], "id").select("view", "user_id", "id")
     linked = cut_lineage(
         arcs.select("view", "u", "v").join(ids.select("view", F.col("user_id").alias("u"), F.col("id").alias("from")), ["view", "u"])
         .join(ids.select("view", F.col("user_id").alias("v"), F.col("id").alias("to")), ["view", "v"]).select("from", "to"))
@@ -132,17 +132,6 @@ def two_hop_users(arcs: DataFrame) -> DataFrame:
     return ids.join(counts, ids.id == counts["from"]).select("view", "user_id", "two_hop_user_count")
 
 
-def _numbered(arcs: DataFrame) -> DataFrame:
-    """``(view, user_id, id)`` with dense ids from 0: ranges of an order are numbered by themselves, behind the ranges before."""
-    order = [F.col("view"), F.col("first"), F.col("user_id")]
-    nodes = arcs.groupBy("view", F.col("u").alias("user_id")).agg(F.least(F.min("v"), F.col("u")).alias("first"))
-    ranges = cut_lineage(nodes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    offsets = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
-    return cut_lineage(ranges.join(F.broadcast(offsets), "range").withColumn("id", F.col("before") + place - 1).select("view", "user_id", "id"))
-
-
 def triangles(edges: DataFrame) -> DataFrame:
     """Triangles per user. Edges point from lower to higher (degree, id), which bounds every
     node's out-degree by the square root of twice the edge count."""

@@ -122,6 +122,36 @@ def test_components_of_a_long_chain(spark):
     assert sizes == {"n000": 61, "x": 2, "solo": 1}
 
 
+def test_contraction_rewrites_fewer_rows_each_round(spark):
+    """A long chain in the order of its names, a hub, and random links: rows fall by the round, labels are those of a plain search."""
+    chance = random.Random(9)
+    pairs = [(f"c{i:04}", f"c{i + 1:04}") for i in range(600)] + [("hub", f"h{i:03}") for i in range(200)]
+    pairs += [(f"r{chance.randrange(300):03}", f"r{chance.randrange(300):03}") for _ in range(180)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        front = [start] if start not in want else []
+        while front:
+            node = front.pop()
+            if node not in want:
+                want[node] = start
+                front += near[node]
+    arcs = both_directions(spark.createDataFrame(pairs, "a string, b string")).repartition(3)
+    nodes = spark.createDataFrame([(n,) for n in [*near, "alone"]], "id string")
+    assert {r.id: r.component for r in components.connected_components(nodes, arcs).collect()} == {**want, "alone": "alone"}
+    numbers = {n: i for i, n in enumerate(sorted(near))}
+    live, sizes = spark.createDataFrame([(numbers[r.u], numbers[r.v]) for r in arcs.where("u <> v").distinct().collect()], "u bigint, v bigint"), []
+    while not live.isEmpty():
+        step, left = components.contract(live, len(sizes))
+        sizes.append((step.count(), live.count()))
+        live = left
+    assert all(b[0] < 0.8 * a[0] and b[1] < a[1] for a, b in zip(sizes, sizes[1:])) and len(sizes) < 12
+    assert components.connected_components(nodes, arcs.where("false")).count() == len(near) + 1
+
+
 def test_users_without_transactions_get_zero_features(spark, txns):
     df = txns([("U1", "D1", "I1", "P1"), ("U1", "", "I1", "")])
     users = spark.createDataFrame([("U1", "2023-12-31"), ("U2", "2023-12-31")], "user_id string, account_created_at string")
