@@ -8,6 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringlens.operators.components import connected_components
 from ringlens.operators.projection import UserGraph, both_directions
 from ringlens.session import cut_lineage
 
@@ -123,7 +124,24 @@ def louvain(graph: UserGraph, *, resolution: float = 1.0, seed: int = 42) -> Dat
             .join(to.selectExpr("view", "node AS v", "community AS cv"), ["view", "v"])
             .groupBy("view", F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
         )
-    return label.selectExpr("view", "node AS user_id", "community AS raw")
+    return cut_lineage(connected_parts(graph, label.selectExpr("view", "node AS user_id", "community AS raw")))
+
+
+def connected_parts(graph: UserGraph, labels: DataFrame) -> DataFrame:
+    """``labels(view, user_id, raw)`` with every community that is not connected inside split into its components.
+
+    A part is named after its smallest user. Nodes that leave a community may cut the rest of it in two; parts that share no
+    edge only cost modularity together, so splitting never lowers it.
+    """
+    def node(user: str):
+        return F.concat_ws("\n", "view", user)
+
+    ends = [labels.select("view", F.col("user_id").alias(end), F.col("raw").alias(f"raw_{end}")) for end in ("a", "b")]
+    inside = graph.edges.select("view", "a", "b").join(ends[0], ["view", "a"]).join(ends[1], ["view", "b"]).where("raw_a = raw_b")
+    arcs = both_directions(inside.select(node("a").alias("a"), node("b").alias("b"))).select("u", "v")
+    parts = connected_components(labels.select(node("user_id").alias("id")), arcs)
+    cut = [F.substring_index(c, "\n", n).alias(name) for c, n, name in (("id", 1, "view"), ("id", -1, "user_id"), ("component", -1, "raw"))]
+    return parts.select(*cut)
 
 
 def modularity(graph: UserGraph, labels: DataFrame, resolution: float = 1.0) -> DataFrame:

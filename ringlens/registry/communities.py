@@ -52,8 +52,19 @@ def _properties(d):
         "g.nodes - users AS missing_users", "reached > alone AS better_than_single")  # every side is one row
 
 
-add("com_01_communities", lambda d: _louvain(d)[1])
-add("com_01_modularity", lambda d: C.modularity(*_louvain(d)))
+add("com_01_communities", lambda d: detected(d)[1])
+add("com_01_modularity", lambda d: C.modularity(*detected(d)[:2]))
+
+
+def _disconnected(d):
+    """Users, and communities that fall apart inside: counted from the components of their inner edges."""
+    graph, labels, _ = detected(d)
+    parts = C.connected_parts(graph, labels).select("view", "user_id", F.col("raw").alias("part"))
+    per = labels.join(parts, ["view", "user_id"]).groupBy("view", "raw").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("parts"))
+    return per.agg(F.sum("n").alias("users"), F.expr("count_if(parts > 1)").alias("disconnected"))
+
+
+add("com_01_connected", _disconnected, "SELECT count(*) AS users, 0 AS disconnected FROM g_nodes")
 add("com_02_community_properties", _properties,
     """SELECT count(*) AS users, 0 AS wrong_sizes, 0 AS wrong_densities, 0 AS wrong_edges, 0 AS wrong_numbers, 0 AS missing_users,
        true AS better_than_single FROM g_nodes""")

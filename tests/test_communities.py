@@ -23,6 +23,16 @@ def test_two_cliques_with_a_bridge(user_graph):
     assert C.modularity(graph, labels).first().modularity > C.modularity(graph, singles).first().modularity
 
 
+def test_communities_that_fall_apart_are_split(user_graph, spark):
+    graph, left, right = two_cliques(user_graph)
+    rows = [("all", u, "both" if u in left[:4] + right[1:] else "rest") for u in [*left, *right, "z"]]
+    labels = spark.createDataFrame(rows, "view string, user_id string, raw string")
+    got = {r.user_id: r.raw for r in C.connected_parts(graph, labels).collect()}
+    assert got == {**{u: "a0" for u in left[:4]}, **{u: "b1" for u in right[1:]}, "a4": "a4", "b0": "a4", "z": "z"}
+    before, after = (C.modularity(graph, x).first().modularity for x in (labels, spark.createDataFrame([("all", u, r) for u, r in got.items()], labels.schema)))
+    assert after > before
+
+
 def test_graph_without_edges(user_graph, spark):
     graph, _, _ = two_cliques(user_graph)
     empty = type(graph)(graph.edges.limit(0), graph.nodes, None)
