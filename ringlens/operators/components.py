@@ -37,7 +37,7 @@ def contract(arcs: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     """
     nearest = arcs.groupBy("u").agg(F.min(_shuffled(F.col("v"), number)).alias("near"))
     lowest = F.least(_shuffled(F.col("u"), number), F.col("near"))
-    hooked = cut_lineage(nearest.select(F.col("u").alias("id"), _unshuffled(lowest, number).alias("rep")))
+    hooked = nearest.select(F.col("u").alias("id"), _unshuffled(lowest, number).alias("rep"))
     onward = hooked.select(F.col("id").alias("rep"), F.col("rep").alias("further"))
     step = cut_lineage(hooked.join(onward, "rep").select("id", F.col("further").alias("rep")))
     ends = [step.select(F.col("id").alias(end), F.col("rep").alias(f"r{end}")) for end in ("u", "v")]

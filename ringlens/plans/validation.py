@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from ringlens.operators import behaviour, data_checks, distribution, graph_checks, projection, typed_graph
+from ringlens.session import cut_lineage
 from ringlens.sources.tables import write_report
 
 
@@ -37,7 +38,8 @@ def validate_graph(tables: Mapping[str, DataFrame], features: DataFrame) -> Data
 
 
 def report(findings: DataFrame, folder: str) -> None:
-    """Findings and their summaries as JSON."""
-    write_report(findings, folder, "findings")
+    """The findings of each module in a folder of its own, the counts per module, and the overall counts, as JSON."""
+    findings = cut_lineage(findings)  # checked once, reported three times
+    findings.write.mode("overwrite").partitionBy("module").json(f"{folder.rstrip('/')}/findings")
     write_report(data_checks.summarize(findings), folder, "modules")
     write_report(data_checks.overall(findings), folder, "overall")

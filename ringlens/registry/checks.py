@@ -12,6 +12,7 @@ from ringlens.operators import typed_graph as G
 from ringlens.plans import validation
 from ringlens.registry.base import REGISTRY, cte
 from ringlens.registry.graph import split_graph
+from ringlens.session import shared_folder
 
 add = REGISTRY.add
 START, END = "1995-06-01", "2001-01-01"
@@ -342,14 +343,26 @@ _EVERYTHING = " UNION ALL ".join(
     f"SELECT '{_MODULE_OF[int(name[4:6])]}' AS module, severity FROM ({union})"
     for name, union in _FINDING_SQL.items() if int(name[4:6]) in _MODULE_OF
 )
-add("val_33_summary", lambda d: D.summarize(_all_findings(d)),
-    f"""SELECT module, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings,
-        count(*) FILTER (severity = 'error') = 0 AS ok FROM ({_EVERYTHING}) GROUP BY module""")
+_SUMMARY_SQL = f"""SELECT module, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings,
+        count(*) FILTER (severity = 'error') = 0 AS ok FROM ({_EVERYTHING}) GROUP BY module"""
+add("val_33_summary", lambda d: D.summarize(_all_findings(d)), _SUMMARY_SQL)
 add("val_33_overall", lambda d: D.overall(_all_findings(d)),
     f"""SELECT count(*) FILTER (severity = 'error') AS total_errors, count(*) FILTER (severity = 'warning') AS total_warnings,
         count(*) FILTER (severity = 'error') = 0 AS ok FROM ({_EVERYTHING})""")
 
 
+def _reported(d, part, schema):
+    """What a report folder holds, read back."""
+    folder = shared_folder(d.spark)
+    validation.report(_all_findings(d), folder)
+    return d.spark.read.schema(schema).json(f"{folder}/{part}")
+
+
+add("snk_05_module_reports", lambda d: _reported(d, "modules", "module string, errors bigint, warnings bigint, ok boolean"), _SUMMARY_SQL)
+add("snk_05_findings_of_modules", lambda d: _reported(d, "findings", "severity string, module string").where("severity <> 'info'").groupBy("module", "severity").agg(F.count(F.lit(1)).alias("findings")),
+    f"SELECT module, severity, count(*) AS findings FROM ({_EVERYTHING}) WHERE severity <> 'info' GROUP BY ALL")
+
+
 def _validated(d):
     return D.summarize(validation.validate_data(damaged(d), START, END))
 
