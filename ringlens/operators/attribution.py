@@ -68,8 +68,9 @@ def leaves(model: BoostedModel) -> list[Leaf]:
                 low, high, ratio = path.get(feature, (-np.inf, np.inf, 1.0))
                 bounds = (low, min(high, threshold)) if is_left else (max(low, threshold), high)
                 stack.append((child, {**path, feature: (*bounds, ratio * model.cover[tree, child] / model.cover[tree, node])}))
-    found = []
-    for depth in sorted({len(path) for path, _ in paths}):
+    # a tree without a split adds the same to every row
+    found = [Leaf((), np.zeros(0), np.zeros(0), np.zeros((1, 0)), value) for path, value in paths if not path]
+    for depth in sorted({len(path) for path, _ in paths if path}):
         alike = [(path, value) for path, value in paths if len(path) == depth]
         names = [tuple(sorted(path)) for path, _ in alike]
         low, high, ratios = (np.array([[path[f][part] for f in n] for n, (path, _) in zip(names, alike)]).reshape(-1, depth) for part in range(3))

@@ -78,6 +78,16 @@ def test_early_stopping_and_importance(table):
     assert [(r.group, r.features) for r in groups] == [("unknown", len(top))] and groups[0].share == pytest.approx(1.0)
 
 
+def test_trees_without_a_split_have_no_attributions(table):
+    """Few rows a leaf may hold: some trees are a single leaf, and sums still give the log-odds."""
+    model = M.train_boosted(table, NAMES, rounds=12, depth=2, step=0.3, min_child=13.0, subsample=0.5)
+    single = (model.feature < 0).all(axis=1)
+    assert single.any() and not single.all()
+    base = A.base_value(A.leaves(model))
+    sums = A.attributions(model, table, NAMES).groupBy("user_id").agg(F.sum("attribution").alias("s")).join(M.score(model, table), "user_id").collect()
+    assert all(r.s + base == pytest.approx(np.log(r.prob / (1 - r.prob)), abs=1e-9) for r in sums)
+
+
 def test_audited_refuses_label_columns(table):
     with pytest.raises(ValueError, match="ring_hint"):
         M.audited(table.withColumn("ring_hint", F.lit(1.0)), (*NAMES, "ring_hint"))
