@@ -16,6 +16,8 @@ for that many rounds, and keeps the trees up to its best round.
 
 from __future__ import annotations
 
+import functools
+import pickle
 import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
@@ -117,6 +119,21 @@ def _nodes(tree: dict, bins: np.ndarray, depth: int) -> np.ndarray:
     return node
 
 
+def _moved_margin(margin: np.ndarray, trees: Sequence[dict], bins: np.ndarray, depth: int) -> np.ndarray:
+    """``margin`` after ``trees``, which are walked side by side and added in their order."""
+    margin = margin.copy()
+    if trees:
+        feature, cut, value = (np.stack([t[k] for t in trees]) for k in ("feature", "bin", "value"))
+        tree, at = np.arange(len(trees))[:, None], np.arange(len(bins))[None, :]
+        node = np.zeros((len(trees), len(bins)), dtype=np.int64)
+        for _ in range(depth):
+            own = feature[tree, node]
+            node = np.where(own < 0, node, 2 * node + 1 + (bins[at, own] > cut[tree, node]))
+        for step in value[tree, node]:
+            margin += step
+    return margin
+
+
 def _chosen(keys: np.ndarray, number: int, share: float) -> np.ndarray:
     """Rows of a round's sample, by a hash of row and round."""
     v = keys.view(np.uint64) ^ np.uint64((number * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 64))
@@ -134,16 +151,14 @@ def gradients(margin: np.ndarray, label: np.ndarray, weight: float) -> tuple[np.
 
 
 def _histograms(blocks: Iterator[dict], jobs: dict, settings: Settings, weight: float, number: int) -> Iterator[dict]:
-    """{model: (histogram of its nodes, score histogram or None)} of one task."""
+    """{model: (histogram of its nodes over the drawn features, score histogram or None)} of one task."""
     out: dict = {}
     for block in blocks:
         bins, label, held = block["bins"], block["label"], block["held"]
-        offsets = np.arange(bins.shape[1]) * settings.bins
+        sample = ~held & _chosen(block["keys"], number, settings.subsample)
         for name, job in jobs.items():
             margin = block["margins"].get(name)
-            margin = np.zeros(len(label)) if margin is None else margin.copy()
-            for tree in job["recent"]:
-                margin += tree["value"][_nodes(tree, bins, settings.depth)]
+            margin = _moved_margin(np.zeros(len(label)) if margin is None else margin, job["recent"], bins, settings.depth)
             sums, scores = out.setdefault(name, [None, None])
             if job["judged"] and held.any():
                 place = np.minimum((SCORE_BINS / (1.0 + np.exp(-margin[held]))).astype(np.int64), SCORE_BINS - 1)
@@ -151,21 +166,25 @@ def _histograms(blocks: Iterator[dict], jobs: dict, settings: Settings, weight:
                 out[name][1] = own if scores is None else scores + own
             if not len(job["nodes"]):
                 continue
-            rows = ~held & _chosen(block["keys"], number, settings.subsample)
             slot = np.full(2 ** (settings.depth + 1), -1, dtype=np.int64)
             slot[job["nodes"]] = np.arange(len(job["nodes"]))
             at = slot[_nodes(job["tree"], bins, settings.depth)]
-            rows = np.flatnonzero(rows & (at >= 0))
+            rows = np.flatnonzero(sample & (at >= 0))
             g, h = gradients(margin[rows], label[rows], weight)
-            width = bins.shape[1] * settings.bins
-            index = (at[rows, None] * width + offsets[job["columns"]] + bins[rows][:, job["columns"]]).reshape(-1)
             repeats = len(job["columns"])
-            own = np.stack([np.bincount(index, np.repeat(v, repeats), len(job["nodes"]) * width) for v in (g, h)], axis=1)
-            own = own.astype(np.int64).reshape(len(job["nodes"]), bins.shape[1], settings.bins, 2)
+            index = ((at[rows, None] * repeats + np.arange(repeats)) * settings.bins + bins[rows][:, job["columns"]]).reshape(-1)
+            shape = len(job["nodes"]), repeats, settings.bins
+            own = np.stack([np.bincount(index, np.repeat(v, repeats), int(np.prod(shape))) for v in (g, h)], axis=1)
+            own = own.astype(np.int64).reshape(*shape, 2)
             out[name][0] = own if sums is None else sums + own
     yield out
 
 
+def _run(code: bytes, work: bytes, blocks: Iterator[dict]) -> Iterator[dict]:
+    """:func:`_histograms`, serialised once for all rounds, on one task's blocks."""
+    return pickle.loads(code)(blocks, *pickle.loads(work))
+
+
 def _added(left: dict, right: dict) -> dict:
     for name, parts in right.items():
         mine = left.setdefault(name, [None, None])
@@ -181,21 +200,17 @@ def _newton(g: np.ndarray, h: np.ndarray, s: Settings) -> tuple[np.ndarray, np.n
 
 
 def best_splits(hist: np.ndarray, columns: np.ndarray, cuts: Sequence[np.ndarray], s: Settings) -> list[tuple[float, int, int]]:
-    """(gain, feature, bin) of each node; the first of equal gains in the order of features and bins."""
-    found = []
-    last = np.array([len(cuts[c]) for c in columns])
-    usable = np.arange(hist.shape[2])[None, :] < last[:, None]
-    for node in hist[:, columns]:
-        total = node[0].sum(axis=0)
-        left = node.cumsum(axis=1)
-        right = total - left
-        gain = _newton(left[..., 0], left[..., 1], s)[1] + _newton(right[..., 0], right[..., 1], s)[1] - _newton(*total, s)[1]
-        allowed = usable & (left[..., 1] >= s.min_child * SCALE) & (right[..., 1] >= s.min_child * SCALE)
-        gain = np.where(allowed, gain, -np.inf)
-        at = int(gain.argmax())
-        feature, cut = divmod(at, gain.shape[1])
-        found.append((float(gain[feature, cut]), int(columns[feature]), cut))
-    return found
+    """(gain, place in ``columns``, bin) of each node of ``hist`` (node x column x bin x 2); the first of equal gains in this order."""
+    usable = np.arange(hist.shape[2])[None, :] < np.array([len(cuts[c]) for c in columns])[:, None]
+    total = hist[:, 0].sum(axis=1)
+    left = hist.cumsum(axis=2)
+    right = total[:, None, None] - left
+    whole = _newton(total[:, 0], total[:, 1], s)[1]
+    gain = _newton(left[..., 0], left[..., 1], s)[1] + _newton(right[..., 0], right[..., 1], s)[1] - whole[:, None, None]
+    allowed = usable & (left[..., 1] >= s.min_child * SCALE) & (right[..., 1] >= s.min_child * SCALE)
+    gain = np.where(allowed, gain, -np.inf).reshape(len(hist), -1)
+    at = gain.argmax(axis=1)
+    return [(float(own[i]), *map(int, divmod(i, hist.shape[2]))) for own, i in zip(gain, at)]
 
 
 def average_precision(scores: np.ndarray) -> float:
@@ -206,8 +221,8 @@ def average_precision(scores: np.ndarray) -> float:
 
 def cut_points(table: DataFrame, names: Sequence[str], bins: int) -> list[np.ndarray]:
     """Ascending values between which bins lie, one pass for all features; at most ``bins - 1`` each."""
-    shares = [i / bins for i in range(1, bins)]
-    row = table.agg(*[F.percentile_approx(F.col(f"`{n}`").cast("double"), shares, 10_000).alias(f"c{i}") for i, n in enumerate(names)],
+    shares = F.expr(f"array({', '.join(f'{i / bins}D' for i in range(1, bins))})")
+    row = table.agg(*[F.percentile_approx(F.col(f"`{n}`").cast("double"), shares, F.lit(10_000)).alias(f"c{i}") for i, n in enumerate(names)],
                     *[F.max(F.col(f"`{n}`").cast("double")).alias(f"m{i}") for i, n in enumerate(names)]).first()
     return [np.array(sorted({c for c in row[f"c{i}"] or () if c < row[f"m{i}"]})) for i in range(len(names))]
 
@@ -232,17 +247,15 @@ def _unpacked(rows: Iterator) -> Iterator[dict]:
     for r in rows:
         keys = np.frombuffer(r.keys, np.int64)
         yield {"keys": keys, "label": np.frombuffer(r.label, np.int8).astype(np.int64), "held": np.frombuffer(r.held, bool),
-               "bins": np.frombuffer(r.bins, np.uint8).reshape(len(keys), -1).astype(np.int64), "margins": {}}
+               "bins": np.frombuffer(r.bins, np.uint8).reshape(len(keys), -1), "margins": {}}
 
 
 def _moved(blocks: Iterator[dict], recent: dict[str, list[dict]], depth: int) -> Iterator[dict]:
     for block in blocks:
         margins = dict(block["margins"])
         for name, trees in recent.items():
-            margin = margins[name].copy() if name in margins else np.zeros(len(block["label"]))
-            for tree in trees:
-                margin += tree["value"][_nodes(tree, block["bins"], depth)]
-            margins[name] = margin
+            margin = margins[name] if name in margins else np.zeros(len(block["label"]))
+            margins[name] = _moved_margin(margin, trees, block["bins"], depth)
         yield {**block, "margins": margins}
 
 
@@ -277,8 +290,10 @@ def fit_models(
     moved = {name: 0 for name in models}  # trees that the blocks' margins hold
     last = max((p.rounds for p in plans.values()), default=0) if total else -1
 
+    code = cloudpickle.dumps(_histograms)
+
     def gather(jobs: dict, number: int) -> dict:
-        partial = state.mapPartitions(lambda blocks: _histograms(blocks, jobs, s, weight, number))
+        partial = state.mapPartitions(functools.partial(_run, code, pickle.dumps((jobs, s, weight, number))))
         return partial.treeReduce(_added, depth=2) if parts > 64 else partial.reduce(_added)
 
     for number in range(last + 1):
@@ -312,7 +327,7 @@ def fit_models(
                     plan.ended, wanted[name] = True, []
                     continue
                 if hist is None:  # no row was drawn
-                    hist = np.zeros((len(job["nodes"]), len(names), s.bins, 2), np.int64)
+                    hist = np.zeros((len(job["nodes"]), len(drawn[name]), s.bins, 2), np.int64)
                 own = dict(zip(job["nodes"], hist))
                 for n in wanted[name]:
                     if n not in own:
@@ -320,12 +335,12 @@ def fit_models(
                         own[n] = hists[name][(n - 1) // 2] - own[sibling]
                 ready = [n for n in wanted[name] if n in own]
                 following, tree["light"] = [], set()
-                for n, (gain, feature, cut) in zip(ready, best_splits(np.stack([own[n] for n in ready]), drawn[name], cuts, s)):
-                    g, h = own[n][feature].sum(axis=0)
+                for n, (gain, place, cut) in zip(ready, best_splits(np.stack([own[n] for n in ready]), drawn[name], cuts, s)):
+                    g, h = own[n][place].sum(axis=0)
                     tree["cover"][n], tree["value"][n] = h / SCALE, s.step * _newton(g, h, s)[0]
                     if gain > 1e-6:
-                        tree["feature"][n], tree["bin"][n], tree["gain"][n], tree["value"][n] = feature, cut, gain, 0.0
-                        left = own[n][feature, : cut + 1].sum(axis=0)
+                        tree["feature"][n], tree["bin"][n], tree["gain"][n], tree["value"][n] = drawn[name][place], cut, gain, 0.0
+                        left = own[n][place, : cut + 1].sum(axis=0)
                         for child, (cg, ch) in ((2 * n + 1, left), (2 * n + 2, np.array([g, h]) - left)):
                             tree["cover"][child], tree["value"][child] = ch / SCALE, s.step * _newton(cg, ch, s)[0]
                         following += [2 * n + 1, 2 * n + 2]
