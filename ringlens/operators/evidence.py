@@ -5,7 +5,7 @@ Lists that may grow with the data stay in rows; only short, bounded lists are ne
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlens import schema as S
@@ -205,30 +205,50 @@ def ego_hidden_counts(edges: DataFrame, graph_edges: DataFrame, subjects: DataFr
     )
 
 
+def _next_level(arcs: DataFrame, levels: list[DataFrame], live: DataFrame, kept: Column) -> DataFrame:
+    """The next level of the fronts of the ``live`` origins. A neighbour of level d lies on level d - 1, d or d + 1."""
+    last = levels[-1].join(live, "origin", "left_semi").withColumnRenamed("node", "u")
+    reached = last.join(arcs, "u").groupBy("origin", F.col("v").alias("node")).agg(kept)
+    for level in levels[-2:]:
+        reached = reached.join(level, ["origin", "node"], "left_anti")
+    return cut_lineage(reached)
+
+
 def shortest_paths(arcs: DataFrame, pairs: DataFrame, *, max_depth: int = 6) -> DataFrame:
     """``(source, target, path, length)`` for each requested pair within ``max_depth`` steps.
 
-    ``arcs(u, v)`` lists both directions. All pairs advance together one step per round; among
-    equally short paths the one with the smallest ids wins. Unreachable pairs are absent.
+    ``arcs(u, v)`` lists both directions; among equally short paths the one with the smallest ids wins. Unreachable pairs are
+    absent, and so are pairs with a null; a pair of equal ids has a path of that id alone, whether or not it has arcs.
+
+    The search goes from both ends in turn, so each side takes half of the steps, and keeps one front per distinct source
+    or target, not per pair. A pair is at distance d when its fronts, d steps together, first share a node. Fronts of ends all of
+    whose pairs have met stop growing. A source's level keeps the smallest way to each node (half a path); a target's
+    level only the smallest next node, and the rest of a path is read off those for the pairs that met.
     """
-    arcs = arcs.select("u", "v").distinct()
+    arcs = cut_lineage(arcs.select("u", "v").distinct())
     asked = cut_lineage(pairs.select("source", "target").distinct())
-    frontier = asked.selectExpr("source", "target", "source AS at", "array(source) AS path")
-    done = frontier.where("source = target")
-    frontier = frontier.where("source <> target")
-    seen = frontier.select("source", "target", "at")
-    for _ in range(max_depth):
-        stepped = (
-            frontier.withColumnRenamed("at", "u").join(arcs, "u")
-            .groupBy("source", "target", F.col("v").alias("at")).agg(F.min("path").alias("path"))
-            .withColumn("path", F.expr("path || array(at)"))
-            .join(seen, ["source", "target", "at"], "left_anti")
+    found = asked.where("source = target").selectExpr("source", "target", "array(source) AS path")
+    waiting = asked.where("source <> target")
+    forward = [waiting.selectExpr("source AS origin").distinct().selectExpr("origin", "origin AS node", "array(origin) AS path")]
+    backward = [waiting.selectExpr("target AS origin").distinct().selectExpr("origin", "origin AS node")]
+    for step in range(max_depth):
+        if step % 2 == 0:
+            backward.append(_next_level(arcs, backward, waiting.selectExpr("target AS origin"), F.min("u").alias("next")))
+        else:
+            forward.append(_next_level(arcs, forward, waiting.selectExpr("source AS origin"), F.min(F.expr("path || array(v)")).alias("path")))
+        met = (
+            waiting.join(forward[-1].withColumnRenamed("origin", "source"), "source")
+            .join(backward[-1].withColumnRenamed("origin", "target"), ["target", "node"], "left_semi")
+            .groupBy("source", "target").agg(F.min("path").alias("path"))
         )
-        stepped = cut_lineage(stepped)
-        arrived = stepped.where("at = target")
-        done = done.unionByName(arrived)
-        seen = seen.unionByName(stepped.select("source", "target", "at"))
-        frontier = stepped.join(arrived.select("source", "target"), ["source", "target"], "left_anti")
-        if frontier.isEmpty():
+        for level in backward[:0:-1]:
+            met = (
+                met.withColumn("node", F.element_at("path", -1)).join(level.withColumnRenamed("origin", "target"), ["target", "node"])
+                .selectExpr("source", "target", "path || array(next) AS path")
+            )
+        met = cut_lineage(met)
+        found = found.unionByName(met)
+        waiting = cut_lineage(waiting.join(met, ["source", "target"], "left_anti"))
+        if waiting.isEmpty():
             break
-    return done.selectExpr("source", "target", "path", "size(path) - 1 AS length")
+    return found.selectExpr("source", "target", "path", "size(path) - 1 AS length")

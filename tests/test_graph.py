@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringlens.operators import behaviour, centrality, components, graph_features, projection, typed_graph
+from ringlens.operators import evidence as V
 from ringlens.operators.projection import both_directions
 
 
@@ -164,3 +165,59 @@ def test_users_without_transactions_get_zero_features(spark, txns):
     assert one.unique_device_count == 2  # a blank id counts as a value here
     assert one.recent_unique_entity_count_30d == 2  # but is no entity
     assert one.days_since_first_device_seen == pytest.approx(10 + 10 / 24)
+
+
+def _smallest_path(neighbours, source, target, max_depth):
+    """Breadth-first over whole paths in the order of their ids."""
+    level, seen = [[source]], {source}
+    for _ in range(max_depth + 1):
+        for path in level:
+            if path[-1] == target:
+                return path
+        longer = {}
+        for path in level:  # ascending, so the first path to a node is its smallest
+            for v in sorted(neighbours.get(path[-1], ())):
+                if v not in seen:
+                    longer.setdefault(v, path + [v])
+        seen |= set(longer)
+        level = sorted(longer.values())
+    return None
+
+
+@pytest.mark.parametrize("max_depth", [1, 3, 6])
+def test_shortest_paths_meet_in_the_middle(spark, monkeypatch, max_depth):
+    """Random graph with a chain, a separate part, repeated arcs and loops; every pair of a request against brute force."""
+    chance = random.Random(5)
+    links = {(f"n{chance.randrange(40)}", f"n{chance.randrange(40)}") for _ in range(48)}
+    links |= {(f"c{i}", f"c{i + 1}") for i in range(8)} | {("c0", "n0"), ("z1", "z2"), ("n3", "n3")}
+    both = sorted({(a, b) for a, b in links} | {(b, a) for a, b in links})
+    neighbours = {}
+    for u, v in both:
+        neighbours.setdefault(u, set()).add(v)
+    names = [f"n{i}" for i in range(0, 40, 3)] + ["c0", "c4", "c7", "c8", "z1", "gone"]
+    pairs = [(a, b) for a in names for b in names] + [("n0", "n3"), (None, "n1"), ("n1", None)]
+    levels = []
+    cut = V.cut_lineage
+
+    def counted(df):
+        stored = cut(df)
+        if "origin" in stored.columns:
+            levels.append(("next" in stored.columns, stored.count()))
+        return stored
+
+    monkeypatch.setattr(V, "cut_lineage", counted)
+    rows = V.shortest_paths(spark.createDataFrame(both + both[:9], "u string, v string"), spark.createDataFrame(pairs, "source string, target string"), max_depth=max_depth).collect()
+    want = {p: path for p in set(pairs) if None not in p and (path := _smallest_path(neighbours, *p, max_depth)) is not None}
+    assert len(rows) == len(want) and {(r.source, r.target): r.path for r in rows} == want
+    assert all(r.length == len(r.path) - 1 for r in rows)
+    for side in (True, False):  # a front per end and half of the steps, whatever the number of pairs
+        own = [n for backward, n in levels if backward == side]
+        assert len(own) <= (max_depth + side) // 2 and sum(own) <= len(names) * len(neighbours)
+
+
+def test_shortest_paths_of_nothing(spark):
+    arcs = spark.createDataFrame([("a", "b"), ("b", "a")], "u string, v string")
+    none = spark.createDataFrame([], "source string, target string")
+    assert V.shortest_paths(arcs, none).collect() == []
+    same = spark.createDataFrame([("x", "x"), ("a", "b")], "source string, target string")
+    assert {(r.source, tuple(r.path)) for r in V.shortest_paths(arcs.limit(0), same).collect()} == {("x", ("x",))}
